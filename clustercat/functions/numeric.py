@@ -12,7 +12,7 @@ INFINITY = float("inf")
 
 def clean(c: Column) -> Column:
     """NaN to NULL, so that comparisons drop it and aggregates skip it."""
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None))
 
 
 def clean_floats(df: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def histogram(
     if by:
         ranged = rows.join(ranges, by)
     else:
-        row = ranges.select(F.struct("lo", "hi").alias("r")).scalar()
-        ranged = rows.withColumns({"lo": row["lo"], "hi": row["hi"]})
+        row = ranges.first() or (None, None)  # one range
+        ranged = rows.withColumns({"lo": F.lit(row[0]), "hi": F.lit(row[1])})
     lo, hi = F.col("lo"), F.col("hi")
     counts = (
         ranged.filter((F.col("x") >= lo) & (F.col("x") <= hi))
@@ -123,11 +123,11 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int) -> DataFrame:
             (((x_hi + pad) - (x_lo - pad)) / gridsize).alias("sx"),
             y_lo.alias("y0"),
             ((y_hi - y_lo) / hex_rows(gridsize)).alias("sy"),
-        ).alias("f")
+        )
     ).scalar()
-    placed = rows.select(
-        ((F.col("x") - frame["x0"]) / frame["sx"]).alias("u"),
-        ((F.col("y") - frame["y0"]) / frame["sy"]).alias("v"),
+    placed = rows.withColumn("f", frame).select(
+        ((F.col("x") - F.col("f.x0")) / F.col("f.sx")).alias("u"),
+        ((F.col("y") - F.col("f.y0")) / F.col("f.sy")).alias("v"),
     ).withColumn("lattice", hex_lattice(F.col("u"), F.col("v")))
     whole = F.col("lattice") == 1
     cells = placed.groupBy(
@@ -136,9 +136,9 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int) -> DataFrame:
         F.when(whole, F.rint("v")).otherwise(F.floor("v").cast("double")).alias("j"),
     ).agg(F.count("*").alias("n"))
     half = F.when(whole, 0.0).otherwise(0.5)
-    return cells.select(
-        ((F.col("i") + half) * frame["sx"] + frame["x0"]).alias("cell_x"),
-        ((F.col("j") + half) * frame["sy"] + frame["y0"]).alias("cell_y"),
+    return cells.withColumn("f", frame).select(
+        ((F.col("i") + half) * F.col("f.sx") + F.col("f.x0")).alias("cell_x"),
+        ((F.col("j") + half) * F.col("f.sy") + F.col("f.y0")).alias("cell_y"),
         "lattice",
         "n",
         F.log10("n").alias("log10_n"),
@@ -373,12 +373,10 @@ def radial_profile(
     if isinstance(center, tuple):
         ra0, dec0 = F.lit(float(center[0])), F.lit(float(center[1]))
     elif center == "circular":
-        c = data.agg(F.struct(_circular_mean(F.col("ra")).alias("ra"), F.avg("dec").alias("dec")).alias("c")).scalar()
-        ra0, dec0 = c["ra"], c["dec"]
+        ra0, dec0 = map(F.lit, data.agg(_circular_mean(F.col("ra")), F.avg("dec")).first())
     else:
-        medians = keep(group_quantiles(data, [], {"ra": [0.5], "dec": [0.5]}), "center")
-        c = medians.select(F.struct("ra_q0", "dec_q0").alias("c")).scalar()
-        ra0, dec0 = c["ra_q0"], c["dec_q0"]
+        medians = group_quantiles(data, [], {"ra": [0.5], "dec": [0.5]})
+        ra0, dec0 = map(F.lit, medians.select("ra_q0", "dec_q0").first())
     r = data.select(angular_distance(F.col("ra"), F.col("dec"), ra0, dec0).alias("r"))
     reach = group_quantiles(r, [], {"r": [0.995]}).select("r_q0").scalar()
     bins = histogram(r, "r", n_bins, limits=(F.lit(0.0), reach))

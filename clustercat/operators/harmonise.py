@@ -40,10 +40,15 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
+def rename_exact(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
+    """Rename by exact spelling, whatever the session's case sensitivity."""
+    return df.toDF(*[renames.get(c, c) for c in df.columns])
+
+
 def rename_by_map(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
     """Rename source columns that are present; ``mapping`` is role to source name."""
     renames = {source: role for role, source in (mapping or {}).items() if source in df.columns}
-    return df.withColumnsRenamed(renames) if renames else df
+    return rename_exact(df, renames)
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def rename_aliases(df: DataFrame) -> DataFrame:
     for alias, role in ALIASES:
         if alias in df.columns and role not in df.columns and role not in renames.values():
             renames[alias] = role
-    return df.withColumnsRenamed(renames) if renames else df
+    return rename_exact(df, renames)
 
 
 def with_pm_magnitude(df: DataFrame) -> DataFrame:
@@ -182,10 +187,9 @@ def unit_ratio_check(catalog: DataFrame, reference: DataFrame) -> DataFrame:
     columns = {"parallax": [0.5], "_pm_mag": [0.5]}
     ours = group_quantiles(with_pm_magnitude(catalog), [], columns)
     theirs = group_quantiles(with_pm_magnitude(reference), [], columns)
-    their_row = theirs.select(F.struct("*").alias("r")).scalar()
-    ratios = ours.select(
-        F.try_divide(their_row["parallax_q0"], F.col("parallax_q0")).alias("parallax_ratio"),
-        F.try_divide(their_row["_pm_mag_q0"], F.col("_pm_mag_q0")).alias("pm_ratio"),
+    ratios = ours.withColumn("r", theirs.select(F.struct("*")).scalar()).select(
+        F.try_divide(F.col("r.parallax_q0"), F.col("parallax_q0")).alias("parallax_ratio"),
+        F.try_divide(F.col("r._pm_mag_q0"), F.col("_pm_mag_q0")).alias("pm_ratio"),
     )
     inside = [(F.col(c) > 2) & (F.col(c) < 100) for c in ("parallax_ratio", "pm_ratio")]
     return ratios.withColumn("suspicious", F.coalesce(inside[0] & inside[1], F.lit(False)))

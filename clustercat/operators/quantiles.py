@@ -58,8 +58,8 @@ def group_quantiles(
         joined = slim.join(brackets, by)
         bracket = F.col
     else:
-        row = brackets.select(F.struct("*").alias("b")).scalar()
-        joined, bracket = slim, lambda name: row[name]
+        row = brackets.first()  # one row of bounds
+        joined, bracket = slim, lambda name: F.lit(row[name])
     rows = []
     for i, (c, j, _) in enumerate(targets):
         x, lo, hi = F.col(f"`{c}`"), bracket(f"{c}_lo{j}"), bracket(f"{c}_hi{j}")
@@ -109,8 +109,8 @@ def group_quantiles(
     numbers = [f"{c}_n" for c in columns]
     if by:
         return brackets.select(*by, *numbers).join(wide, by, "left").select(*by, *numbers, *outputs)
-    values = wide.select(F.struct(*outputs).alias("v")).scalar()
-    return brackets.select(*numbers, *[values[o].alias(o) for o in outputs])
+    values = wide.select(F.struct(*outputs)).scalar()
+    return brackets.select(*numbers, values.alias("v")).select(*numbers, "v.*")
 
 
 def median_mad(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:
@@ -124,14 +124,13 @@ def median_mad(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> Data
             *by, *[F.abs(F.col(c) - F.col(f"{c}_median")).alias(c) for c in columns]
         )
     else:
-        row = medians.select(F.struct("*").alias("m")).scalar()
-        off = slim.select(*[F.abs(F.col(c) - row[f"{c}_median"]).alias(c) for c in columns])
+        row = medians.first()  # one row of medians
+        off = slim.select(*[F.abs(F.col(c) - F.lit(row[f"{c}_median"])).alias(c) for c in columns])
     mads = group_quantiles(off, by, {c: [0.5] for c in columns})
     mads = mads.select(*by, *[F.col(f"{c}_q0").alias(f"{c}_mad") for c in columns])
     if by:
         return medians.join(mads, by)
-    row = mads.select(F.struct("*").alias("m")).scalar()
-    return medians.select("*", *[row[f"{c}_mad"].alias(f"{c}_mad") for c in columns])
+    return medians.withColumn("m", mads.select(F.struct("*")).scalar()).select(*medians.columns, "m.*")
 
 
 def robust_limits(df: DataFrame, column: str, lo: float = 0.5, hi: float = 99.5) -> DataFrame:

@@ -144,7 +144,6 @@ def describe_table(
     columns, probabilities = list(columns), list(probabilities)
     rows = df.select(*[coerce(F.col(c)).alias(c) for c in columns])
     quantiles = group_quantiles(rows, [], {c: probabilities for c in columns})
-    q = quantiles.select(F.struct("*").alias("q")).scalar()
     stats = []
     for c in columns:
         stats += [
@@ -158,9 +157,11 @@ def describe_table(
         F.struct(
             F.lit(c).alias("column"),
             *[F.col(f"{c}_{s}").alias(s) for s in ("count", "mean", "std", "min")],
-            *[q[f"{c}_q{j}"].alias(f"p{round(p * 100):02d}") for j, p in enumerate(probabilities)],
+            *[F.col(f"q.{c}_q{j}").alias(f"p{round(p * 100):02d}") for j, p in enumerate(probabilities)],
             F.col(f"{c}_max").alias("max"),
         )
         for c in columns
     ]
-    return rows.agg(*stats).select(F.inline(F.array(*records)))
+    # One scalar row of quantiles, read once.
+    stats = rows.agg(*stats).withColumn("q", quantiles.select(F.struct("*")).scalar())
+    return stats.select(F.inline(F.array(*records)))

@@ -89,6 +89,9 @@ def load_catalog(
         return df
     wanted = list(mapping.values()) + [*SKY_SPELLINGS] + ([key] if key else [])
     columns = [c for c in dict.fromkeys(wanted) if c in df.columns]
+    if spark.conf.get("spark.sql.caseSensitive") == "false":
+        # Two spellings of one name cannot be told apart; the mapped one stays.
+        columns = list({c.lower(): c for c in reversed(columns)}.values())[::-1]
     return df.select([F.col(f"`{c}`") for c in columns]) if columns else df
 
 
@@ -100,7 +103,7 @@ def load_reference(spark: SparkSession, path: str, mapping: dict[str, str] | Non
         for target in REFERENCE_TARGETS
         if mapping and mapping.get(target) in df.columns
     }
-    return df.withColumnsRenamed(renames) if renames else df
+    return df.toDF(*[renames.get(c, c) for c in df.columns])
 
 
 def save_table(df: DataFrame, path: str) -> str:
