@@ -134,7 +134,6 @@ def visit(queries: DataFrame, points: DataFrame, task, schema: str) -> DataFrame
     """
     queries = keep(queries, "queries")
     chunks = queries.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    chunks = keep(chunks, "chunks")
     chunk = F.pmod(F.xxhash64("point_id"), F.col("chunks")).cast("int")
     left = queries.join(chunks, "cell").withColumn("chunk", chunk).drop("chunks")
     right = points.join(chunks, "cell").withColumn(

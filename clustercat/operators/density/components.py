@@ -9,28 +9,23 @@ from clustercat.storage import drop_kept, keep
 
 
 def roots(pointers: DataFrame) -> DataFrame:
-    """``node, root``: where each pointer ``node -> parent`` ends, by doubling.
+    """``node, root``: where each pointer ``node -> parent`` ends, by pointer jumping.
 
     The pointers may not form a cycle. Each pass follows four times as far.
     """
     now = keep(pointers.select("node", F.col("parent").alias("root")), "pointers")
     while True:
-        then = now.withColumn("moved", F.lit(False))
-        for _ in range(2):
+        then = now
+        for _ in range(3):
             ahead = now.select(F.col("node").alias("root"), F.col("root").alias("ahead"))
-            then = then.join(ahead, "root", "left").select(
-                "node",
-                F.coalesce("ahead", "root").alias("root"),
-                (F.col("moved") | F.col("ahead").isNotNull()).alias("moved"),
+            then = then.select("node", "root").join(ahead, "root", "left").select(
+                "node", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moving")
             )
         then = keep(then, "pointers")
         drop_kept(now)
-        now = then.select("node", "root")
-        now._kept_at = then._kept_at
-        if then.filter("moved").isEmpty():
-            return now
-
-
+        if then.filter("moving").isEmpty():
+            return then.select("node", "root")
+        now = then
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for each node of the edges ``u, v``; ``comp`` is the smallest node.
 

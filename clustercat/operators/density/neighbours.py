@@ -31,6 +31,18 @@ def distinct_points(df: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values per row, in order; of equal values the first columns."""
+    if d.shape[1] <= k:
+        return np.argsort(d, axis=1, kind="stable")
+    order = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(d, order, axis=1)
+    tied = (d <= near.max(axis=1)[:, None]).sum(axis=1) > k
+    order = np.take_along_axis(order, np.argsort(near, axis=1, kind="stable"), axis=1)
+    order[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return order
+
+
 def _nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
     """For each asked point its k nearest held ones, itself excluded, by distance then id."""
     held = held.sort_values("point_id")
@@ -40,7 +52,7 @@ def _nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, metric: str) -> pd
     for start in range(0, len(a), BLOCK):
         d = distances(a[start : start + BLOCK], x, metric)
         d[a_ids[start : start + BLOCK, None] == ids[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        order = _least(d, k)
         for dist, near in zip(np.take_along_axis(d, order, axis=1), order):
             found = np.isfinite(dist)
             out["dist"].append(dist[found])
@@ -96,7 +108,8 @@ def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
 
 def _prepare(df: DataFrame, k: int, metric: str, cell_rows: int, key: str):
     check_metric(metric)
-    placed, cells = build_cells(distinct_points(df, key), max(cell_rows, 4 * k), metric)
+    points = keep(distinct_points(df, key), "points")
+    placed, cells = build_cells(points, max(cell_rows, 4 * k), metric)
     return placed, cells, neighbour_lists(placed, cells, k)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from clustercat.operators.ranking import positions
 from clustercat.storage import keep
 
 METHODS = ("eom", "leaf")
+ONE_TASK_ROWS = 200_000
 
 
 def _depths(clusters: DataFrame) -> DataFrame:
@@ -50,23 +54,42 @@ def _topmost(clusters: DataFrame, flagged: DataFrame) -> DataFrame:
     return now.select("cluster", "chosen")
 
 
-def _excess_of_mass(stable: DataFrame) -> DataFrame:
-    """Clusters at least as stable as the best choice below them, from the deepest level up."""
-    levels = keep(stable.select("cluster", "parent", "stability").join(_depths(stable), "cluster"), "levels")
-    deepest = levels.agg(F.max("depth")).first()[0]
-    below, flagged = None, None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        level = levels.filter(F.col("depth") == depth)
-        if below is None:
-            level = level.withColumn("best_below", F.lit(0.0))
-        else:
+def _best_choice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Excess of mass for a whole tree in one task, deepest clusters first."""
+    below = dict.fromkeys(pdf["cluster"], 0.0)
+    won = []
+    for cluster, parent, stability in pdf.sort_values("depth", ascending=False)[
+        ["cluster", "parent", "stability"]
+    ].itertuples(index=False):
+        if stability >= below[cluster]:
+            won.append(cluster)
+        if not pd.isna(parent):
+            below[int(parent)] += max(stability, below[cluster])
+    return pd.DataFrame({"cluster": won})
+
+
+def _excess_of_mass(stable: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Clusters at least as stable as the best choice below them.
+
+    A tree of clusters is far smaller than the data. Up to ``one_task_rows``
+    clusters it is walked in one task; a larger one level by level, one job each.
+    """
+    levels = stable.select("cluster", "parent", "stability").join(_depths(stable), "cluster")
+    levels = keep(levels, "levels")
+    n, deepest = levels.agg(F.count("*"), F.max("depth")).first()
+    if n <= one_task_rows:
+        return levels.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(_best_choice, "cluster bigint")
+    below, flagged = None, []
+    for depth in range(deepest, -1, -1):
+        level = levels.filter(F.col("depth") == depth).withColumn("best_below", F.lit(0.0))
+        if below is not None:
             sums = below.groupBy("parent").agg(F.sum("best").alias("best_below"))
-            level = level.join(sums.withColumnRenamed("parent", "cluster"), "cluster", "left").fillna(0.0, ["best_below"])
+            level = level.drop("best_below").join(sums.withColumnRenamed("parent", "cluster"), "cluster", "left")
+            level = level.fillna(0.0, ["best_below"])
         level = level.withColumn("best", F.greatest("stability", "best_below"))
         below = keep(level.withColumn("wins", F.col("stability") >= F.col("best_below")), "level")
-        won = below.filter("wins").select("cluster")
-        flagged = won if flagged is None else flagged.unionByName(won)
-    return stable.select("cluster").limit(0) if flagged is None else flagged
+        flagged.append(below.filter("wins").select("cluster"))
+    return reduce(DataFrame.unionByName, flagged)
 
 
 def select_clusters(

@@ -100,18 +100,47 @@ def _merge_in_cell(pdf: pd.DataFrame, metric: str) -> pd.DataFrame:
 
 
 def _picks(left: pd.DataFrame, right: pd.DataFrame, metric: str) -> pd.DataFrame:
-    """Each left component's shortest edge to a right point of another component."""
-    right = right.sort_values("point_id")
+    """Each left component's shortest edge to a right point of another component.
+
+    An edge is never shorter than either end's core distance. Rows come in the
+    order of theirs, and one that cannot improve on its component's best so far,
+    or on the bound it came with, is skipped.
+    """
+    codes, comps = pd.factorize(left["comp"].to_numpy())
+    best = np.full(len(comps), np.inf)
+    if "bound" in left:
+        best[codes] = left["bound"]
+    right = right.sort_values("core", kind="stable")
     y, y_core = matrix(right["features"]), right["core"].to_numpy()
-    comp, other = left["comp"].to_numpy(), right["comp"].to_numpy()
-    x, core = matrix(left["features"]), left["core"].to_numpy()
-    w, to = _nearest_foreign(_blocks(x, core, y, y_core, metric), comp, other)
-    a, b = left["point_id"].to_numpy(), right["point_id"].to_numpy()[to]
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    first = _first_per(comp, w, lo, hi)
-    first = first[np.isfinite(w[first])]
+    other, b = right["comp"].to_numpy(), right["point_id"].to_numpy()
+    order = np.argsort(left["core"].to_numpy(), kind="stable")
+    codes, x = codes[order], matrix(left["features"])[order]
+    core, a = left["core"].to_numpy()[order], left["point_id"].to_numpy()[order]
+    edge = np.full((len(comps), 2), -1)
+    for start in range(0, len(x), BLOCK):
+        rows = np.arange(start, min(start + BLOCK, len(x)))
+        rows = rows[core[rows] < best[codes[rows]]]
+        if not len(rows):
+            continue
+        width = int(np.searchsorted(y_core, best[codes[rows]].max()))
+        if not width:
+            continue
+        block = [(0, _reach(x[rows], core[rows], y[:width], y_core[:width], metric))]
+        w, to = _nearest_foreign(block, comps[codes[rows]], other[:width])
+        for i in _first_per(codes[rows], w, a[rows], b[to]):
+            code = codes[rows[i]]
+            if w[i] < best[code]:
+                best[code], edge[code] = w[i], (rows[i], to[i])
+    hit = edge[:, 0] >= 0
+    i, j = edge[hit, 0], edge[hit, 1]
     return pd.DataFrame(
-        {"comp": comp[first], "w": w[first], "to": other[to[first]], "a": lo[first], "b": hi[first]}
+        {
+            "comp": comps[hit],
+            "w": best[hit],
+            "to": other[j],
+            "a": np.minimum(a[i], b[j]),
+            "b": np.maximum(a[i], b[j]),
+        }
     )
 
 

@@ -14,12 +14,8 @@ from clustercat.operators.harmonise import has_columns, require_columns, with_pm
 from clustercat.operators.members import filter_finite_pairs, subset_members
 from clustercat.operators.quantiles import group_quantiles, median_mad
 from clustercat.operators.ranking import positions, sample_rows
-from clustercat.operators.summary import centroids_full
 from clustercat.storage import keep
 
-ALL = "_all"
-
-
 # Histograms
 
 
@@ -33,14 +29,14 @@ def histogram(
     df: DataFrame,
     column: str,
     bins: int = 30,
-    by: str | None = None,
+    by: str | Iterable[str] | None = None,
     limits: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """``[by,] bin, lo, hi, n`` with every bin present, each group over its own range.
 
     ``limits`` gives one range for all rows instead; rows outside it are dropped.
     """
-    keys = [by] if by else []
+    keys = [by] if isinstance(by, str) else list(by or [])
     rows = df.select(*keys, clean(F.col(column).cast("double")).alias("x")).dropna("any")
     if limits is None:
         lo, hi = _spread(F.min("x"), F.max("x"))
@@ -49,8 +45,8 @@ def histogram(
     else:
         ranges = df.sparkSession.range(1).select(limits[0].alias("lo"), limits[1].alias("hi"))
     ranges = keep(ranges, "ranges")
-    if by:
-        ranged = rows.join(ranges, by)
+    if keys:
+        ranged = rows.join(ranges, keys)
     else:
         row = ranges.first() or (None, None)  # one range
         ranged = rows.withColumns({"lo": F.lit(row[0]), "hi": F.lit(row[1])})
@@ -71,13 +67,26 @@ def histogram(
     )
 
 
+def _long(df: DataFrame, features: Iterable[str], *others: str) -> DataFrame:
+    """``feature, x`` and the other columns: all features in one pass over the rows."""
+    pairs = [F.struct(F.lit(c).alias("feature"), clean(F.col(c).cast("double")).alias("x")) for c in features]
+    return df.select(*others, F.inline(F.array(*pairs))).filter(F.col("x").isNotNull())
+
+
 def histogram_by_cluster(
-    df: DataFrame, feature: str, bins: int = 30, members_only: bool = False
+    df: DataFrame, feature: str | list[str], bins: int = 30, members_only: bool = False
 ) -> DataFrame:
-    """One histogram per label, noise included; without labels one for all rows."""
-    require_columns(df, [feature])
+    """One histogram per label, noise included; without labels one for all rows.
+
+    For a list of features the result has a ``feature`` column too.
+    """
+    features = [feature] if isinstance(feature, str) else list(feature)
+    require_columns(df, features)
+    by = ["cluster"] if "cluster" in df.columns else []
     data = subset_members(df, members_only)
-    return histogram(data, feature, bins, by="cluster" if "cluster" in df.columns else None)
+    if isinstance(feature, str):
+        return histogram(data, feature, bins, by=by)
+    return histogram(_long(data, features, *by), "x", bins, by=["feature", *by])
 
 
 def prob_histogram(df: DataFrame, bins: int = 30, members_only: bool = False) -> DataFrame:
@@ -255,36 +264,39 @@ def covariance_ellipse(df: DataFrame, x: str, y: str, n_sigma: float = 2.0) -> D
 # Shapes by cluster
 
 
-def _member_values(df: DataFrame, feature: str) -> DataFrame:
-    require_columns(df, (feature, "cluster"))
-    x = clean(F.col(feature).cast("double"))
-    return df.filter("is_member").select("cluster", x.alias("x")).dropna("any")
+def _member_values(df: DataFrame, feature: str | list[str]) -> tuple[DataFrame, list[str]]:
+    """Members' values as ``x`` and the columns they are grouped by."""
+    features = [feature] if isinstance(feature, str) else list(feature)
+    require_columns(df, (*features, "cluster"))
+    rows = _long(df.filter("is_member"), features, "cluster")
+    return (rows.drop("feature"), ["cluster"]) if isinstance(feature, str) else (rows, ["feature", "cluster"])
 
 
-def box_stats(df: DataFrame, feature: str) -> DataFrame:
-    """Members per cluster: quartiles, whiskers within 1.5 IQR, number of outliers."""
-    rows = _member_values(df, feature)
-    quartiles = group_quantiles(rows, ["cluster"], {"x": [0.25, 0.5, 0.75]})
+def box_stats(df: DataFrame, feature: str | list[str]) -> DataFrame:
+    """Members per cluster: quartiles, whiskers within 1.5 IQR, number of outliers.
+
+    For a list of features the result has a ``feature`` column too.
+    """
+    rows, by = _member_values(df, feature)
+    quartiles = group_quantiles(rows, by, {"x": [0.25, 0.5, 0.75]})
     quartiles = keep(
-        quartiles.select(
-            "cluster", F.col("x_q0").alias("q1"), F.col("x_q1").alias("med"), F.col("x_q2").alias("q3")
-        ),
+        quartiles.select(*by, F.col("x_q0").alias("q1"), F.col("x_q1").alias("med"), F.col("x_q2").alias("q3")),
         "quartiles",
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     x = F.col("x")
     edges = (
-        rows.join(quartiles, "cluster")
-        .groupBy("cluster")
+        rows.join(quartiles, by)
+        .groupBy(*by)
         .agg(
             F.min(F.when(x >= low, x)).alias("lo_in"),
             F.max(F.when(x <= high, x)).alias("hi_in"),
             F.count_if((x < low) | (x > high)).alias("n_outliers"),
         )
     )
-    return quartiles.join(edges, "cluster").select(
-        "cluster",
+    return quartiles.join(edges, by).select(
+        *by,
         "q1",
         "med",
         "q3",
@@ -294,14 +306,15 @@ def box_stats(df: DataFrame, feature: str) -> DataFrame:
     )
 
 
-def violin_density(df: DataFrame, feature: str, points: int = 100) -> DataFrame:
+def violin_density(df: DataFrame, feature: str | list[str], points: int = 100) -> DataFrame:
     """Members per cluster: Gaussian kernel density on an even grid, and the median.
 
     Equal values are counted once; every value meets its own cluster's grid only,
-    and the sums combine before the shuffle.
+    and the sums combine before the shuffle. For a list of features the result
+    has a ``feature`` column too.
     """
-    rows = _member_values(df, feature)
-    shape = rows.groupBy("cluster").agg(
+    rows, by = _member_values(df, feature)
+    shape = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.min("x").alias("lo"),
         F.max("x").alias("hi"),
@@ -313,21 +326,21 @@ def violin_density(df: DataFrame, feature: str, points: int = 100) -> DataFrame:
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_i")
     z = (at - F.col("x")) / F.col("h")
     sums = (
-        rows.groupBy("cluster", "x")
+        rows.groupBy(*by, "x")
         .count()
-        .join(shape.filter(F.col("lo") < F.col("hi")), "cluster")
+        .join(shape.filter(F.col("lo") < F.col("hi")), by)
         .select("*", grid)
-        .groupBy("cluster", "grid_i")
+        .groupBy(*by, "grid_i")
         .agg(F.sum(F.col("count") * F.exp(-0.5 * z * z)).alias("s"))
     )
-    median = group_quantiles(rows, ["cluster"], {"x": [0.5]}).select("cluster", F.col("x_q0").alias("median"))
+    median = group_quantiles(rows, by, {"x": [0.5]}).select(*by, F.col("x_q0").alias("median"))
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     return (
         shape.select("*", grid)
-        .join(sums, ["cluster", "grid_i"], "left")
-        .join(median, "cluster")
+        .join(sums, [*by, "grid_i"], "left")
+        .join(median, by)
         .select(
-            "cluster",
+            *by,
             "grid_i",
             at.alias("x"),
             # One value only: the density is drawn as 1 at that value.
@@ -397,16 +410,10 @@ def cluster_panel(df: DataFrame, labels: Iterable[int] | None = None, bins: int
     if labels is not None:
         df = df.filter(F.col("cluster").isin(list(labels)))
     features = [c for c in PANEL_FEATURES if c in df.columns]
-    # All features in one long column: one pass for the ranges and one for the counts.
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
-    long = df.filter(F.col("cluster").isNotNull()).select("cluster", F.inline(pairs))
-    keyed = long.select(F.struct("feature", "cluster").alias("k"), "x")
-    notes = median_mad(keyed, ["k"], ["x"])
-    return (
-        histogram(keyed, "x", bins, by="k")
-        .join(notes, "k")
-        .select("k.feature", "k.cluster", "bin", "lo", "hi", "n", F.col("x_median").alias("median"), F.col("x_mad").alias("mad"))
-    )
+    long = keep(_long(df.filter(F.col("cluster").isNotNull()), features, "cluster"), "long")
+    by = ["feature", "cluster"]
+    notes = median_mad(long, by, ["x"]).withColumnsRenamed({"x_median": "median", "x_mad": "mad"})
+    return histogram(long, "x", bins, by=by).join(notes, by)
 
 
 def cluster_panel_centers(df: DataFrame, max_arrows: int = 500) -> DataFrame:

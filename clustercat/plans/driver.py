@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustercat.functions import numeric, sky
+from clustercat.operators.density import components, neighbours, selection
 from clustercat.operators import compare, distributions, harmonise, members, ranking, scale, summary
+from clustercat.plans import jobs
 from clustercat.operators.quantiles import group_quantiles, median_mad, robust_limits
 from clustercat.operators.silhouette import silhouette_exact, silhouette_sampled
 from clustercat.sources import tables
@@ -109,7 +111,7 @@ class Tables:
 
 
 CTE = f"""
-with raw as ({RAW_SQL}),
+with recursive raw as ({RAW_SQL}),
 clean as (
   select row_id, ra, dec, parallax, pmra, pmdec, phot_g_mean_mag as g, phot_bp_mean_mag as bp,
          phot_rp_mean_mag as rp, ruwe, reading, label, probability,
@@ -1033,3 +1035,155 @@ def _(t):
 @query("cluster_panel_vectors")
 def _(t):
     return distributions.cluster_panel_vectors(t.labelled)
+
+
+# Density clustering of the vectors
+
+K = 5
+CUT = 0.12
+PAIRS_SQL = f""", p as ({VECTORS_SQL}),
+d as (select a.row_id, b.row_id as neighbor_id, sqrt({" + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(1, 6))}) as dist
+  from p a, p b where a.row_id <> b.row_id),
+nn as (select *, row_number() over (partition by row_id order by dist, neighbor_id) as rank from d qualify rank <= {K}),
+core as (select row_id, max(dist) as core from nn group by row_id)"""
+
+
+@query("knn", f"{PAIRS_SQL} select row_id, rank::int as rank, neighbor_id, {rs('dist')} from nn")
+def _(t):
+    return neighbours.knn(t.vectors, K)
+
+
+@query("core_distance", f"{PAIRS_SQL} select row_id, {rs('core')} from core")
+def _(t):
+    return neighbours.core_distance(t.vectors, K)
+
+
+@query(
+    "mutual_reachability",
+    f"{PAIRS_SQL} select nn.row_id, neighbor_id, {r('greatest(a.core, b.core, dist)', 'weight')} "
+    "from nn join core a on a.row_id = nn.row_id join core b on b.row_id = neighbor_id",
+)
+def _(t):
+    return neighbours.mutual_reachability(t.vectors, K)
+
+
+def _hierarchy(t: Tables) -> dict[str, DataFrame]:
+    return selection.hierarchy(t.vectors, min_cluster_size=K)
+
+
+@query("min_span_tree")
+def _(t):
+    return _hierarchy(t)["edges"]
+
+
+@query(
+    "components_at",
+    PAIRS_SQL
+    + f""", e as (select d.row_id as u, neighbor_id as v from d join core a on a.row_id = d.row_id
+  join core b on b.row_id = neighbor_id where greatest(a.core, b.core, dist) <= {CUT}),
+reach as (select row_id, row_id as via from p union select reach.row_id, e.v from reach join e on e.u = reach.via)
+select row_id, min(via) as component from reach group by row_id""",
+)
+def _(t):
+    return components.components_at(_hierarchy(t)["edges"], CUT)
+
+
+@query("condensed_tree")
+def _(t):
+    return _hierarchy(t)["tree"]
+
+
+@query("cluster_stability")
+def _(t):
+    return _hierarchy(t)["clusters"]
+
+
+@query("select_clusters")
+def _(t):
+    return selection.select_clusters(_hierarchy(t)["clusters"])
+
+
+@query("membership_probability")
+def _(t):
+    tables = _hierarchy(t)
+    chosen = selection.select_clusters(tables["clusters"])
+    return selection.membership_probability(tables["tree"], tables["clusters"], chosen)
+
+
+@query("density_cluster")
+def _(t):
+    return selection.density_cluster(t.vectors, min_cluster_size=K)
+
+
+# Jobs
+
+
+def _prepared(t: Tables) -> tuple[str, dict[str, DataFrame]]:
+    """Run the first job on the raw tables; its output folder and tables."""
+    folder = t.path("job")
+    catalog = tables.save_table(t.raw, f"{folder}/raw/catalog.parquet")
+    listed = tables.save_table(t.ref_raw, f"{folder}/raw/reference.csv")
+    return folder, jobs.job_preprocess(
+        t.spark, catalog, listed, f"{folder}/interim", CATALOG_MAP, REFERENCE_MAP, key="row_id"
+    )
+
+
+def _labelled(t: Tables) -> str:
+    """The prepared catalogue with the driver's labels, as the second job leaves it."""
+    folder, done = _prepared(t)
+    labels = t.clean.select("row_id", F.col("label").alias("cluster"), F.col("probability").alias("prob"))
+    tables.save_table(members.reattach_all_rows(done["catalog"], labels), f"{folder}/processed/clustered.parquet")
+    tables.save_table(scale.standardize(done["catalog"], FEATURES), f"{folder}/processed/features.parquet")
+    return folder
+
+
+@query("job_preprocess", " union all ".join(_describe(c, "clean", (25, 50, 75)) for c in SUMMARY_FEATURES))
+def _(t):
+    return _prepared(t)[1]["catalog_report"]
+
+
+@query("job_cluster")
+def _(t):
+    folder, done = _prepared(t)
+    out = jobs.job_cluster(t.spark, f"{folder}/interim/catalog_clean.parquet", f"{folder}/processed")
+    return out["labelled"].select("row_id", "cluster", "prob", "is_member")
+
+
+@query(
+    "job_validate",
+    f"{SCORES_SQL} select row_id, cluster, {rs('prob')}, is_member, is_member and cluster = "
+    "(select cluster from scores order by score, cluster limit 1) as is_target from labelled",
+)
+def _(t):
+    folder = _labelled(t)
+    done = jobs.job_validate(
+        t.spark,
+        f"{folder}/processed/clustered.parquet",
+        f"{folder}/processed/features.parquet",
+        f"{folder}/interim/valid_clean.parquet",
+        f"{folder}/validated",
+    )
+    return done["labelled"].select("row_id", "cluster", "prob", "is_member", "is_target")
+
+
+@query("job_report")
+def _(t):
+    folder = _labelled(t)
+    manifest = jobs.job_report(
+        t.spark,
+        f"{folder}/processed/clustered.parquet",
+        f"{folder}/figures",
+        f"{folder}/interim/valid_clean.parquet",
+    )
+    return manifest.select("name")
+
+
+@query("figure_tables")
+def _(t):
+    """Row counts of all distribution tables."""
+    found = jobs.figure_tables(t.labelled, t.ref)
+    counts = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, table in found.items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
