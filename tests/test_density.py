@@ -33,22 +33,31 @@ def sample(kind):
         ("noisy", 8, 3, {"cell_rows": 40, "segment_edges": 60}),
         ("grid", 6, 4, {"segment_edges": 40}),
         ("copies", 10, None, {"segment_edges": 60}),
-        ("copies", 10, 20, {}),
-        ("noisy", 5, 3, {"method": "leaf"}),
-        ("noisy", 5, 3, {"epsilon": 0.5}),
-        ("noisy", 20, 5, {"allow_single_cluster": True}),
     ],
 )
 def test_labels_and_probabilities(spark, kind, m, k, options):
     x = sample(kind)
     got = selection.density_cluster(frame(spark, x), m, k, **options).toPandas().sort_values("row_id")
-    want = {"method": options.get("method", "eom"), "epsilon": options.get("epsilon", 0.0), "single": options.get("allow_single_cluster", False)}
-    label, prob = bruteforce.cluster(x, m, k, **want)
+    label, prob = bruteforce.cluster(x, m, k)
     assert got["row_id"].tolist() == list(range(len(x)))
     assert got["cluster"].tolist() == label.tolist()
     np.testing.assert_allclose(got["prob"], prob)
 
 
+@pytest.fixture(scope="module")
+def tables(spark):
+    return selection.hierarchy(frame(spark, sample("noisy")), 5, 3)
+
+
+@pytest.mark.parametrize("method, epsilon, single", [("eom", 0.0, True), ("leaf", 0.0, False), ("eom", 0.5, False), ("leaf", 0.9, True)])
+def test_selection(tables, method, epsilon, single):
+    chosen = selection.select_clusters(tables["clusters"], method, epsilon, single)
+    got = selection.label_points(tables, chosen).toPandas().sort_values("point_id")
+    label, prob = bruteforce.cluster(sample("noisy"), 5, 3, method, epsilon, single)
+    assert got["cluster"].tolist() == label.tolist()
+    np.testing.assert_allclose(got["prob"], prob)
+
+
 def test_too_few_rows_are_noise(spark):
     got = selection.density_cluster(frame(spark, sample("blobs")[:5]), 10).collect()
     assert {(r.cluster, r.prob) for r in got} == {(-1, 0.0)} and len(got) == 5
@@ -116,13 +125,12 @@ def test_deep_trees_level_by_level(spark):
     assert both[0] == both[1] == {2, 3, 4, 5, 6}
 
 
-def test_hierarchy_tables(spark):
-    x = sample("noisy")
-    tables = selection.hierarchy(frame(spark, x), 8, 3)
+def test_hierarchy_tables(tables):
+    n = len(sample("noisy"))
     tree = tables["tree"].toPandas()
     points, clusters = tree[~tree["is_cluster"]], tables["clusters"].toPandas()
-    assert sorted(points["child"]) == list(range(len(x)))
+    assert sorted(points["child"]) == list(range(n))
     assert (clusters["stability"] >= 0).all() and clusters["parent"].isna().sum() == 1
     inner = tree[tree["is_cluster"]].groupby("parent").size()
-    assert (inner >= 2).all() and (tree[tree["is_cluster"]]["child_size"] >= 8).all()
-    assert clusters[clusters["parent"].isna()]["size"].item() == len(x)
+    assert (inner >= 2).all() and (tree[tree["is_cluster"]]["child_size"] >= 5).all()
+    assert clusters[clusters["parent"].isna()]["size"].item() == n
