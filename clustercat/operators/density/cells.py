@@ -70,9 +70,10 @@ class Cells:
         self.lo = np.full((2 * self.count - 1, width), np.inf)
         self.hi = np.full((2 * self.count - 1, width), -np.inf)
         self.lo[cells + self.count - 1], self.hi[cells + self.count - 1] = lo, hi
-        for node in range(self.count - 2, -1, -1):
-            self.lo[node] = np.minimum(self.lo[2 * node + 1], self.lo[2 * node + 2])
-            self.hi[node] = np.maximum(self.hi[2 * node + 1], self.hi[2 * node + 2])
+        for level in range(self.depth - 1, -1, -1):
+            nodes = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+            self.lo[nodes] = np.minimum(self.lo[2 * nodes + 1], self.lo[2 * nodes + 2])
+            self.hi[nodes] = np.maximum(self.hi[2 * nodes + 1], self.hi[2 * nodes + 2])
         return self
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clustercat.functions.geometry import distances, matrix, norm
 from clustercat.operators.density.cells import Cells, visit
 from clustercat.operators.density.components import roots
-from clustercat.storage import keep
+from clustercat.storage import drop_kept, keep
 
 BLOCK = 512
 CACHED_ROWS = 4096
@@ -151,7 +151,7 @@ def _empty_picks() -> pd.DataFrame:
 def _round_picks(labelled: DataFrame, cells: Cells, facts: pd.DataFrame) -> DataFrame:
     """The shortest way out of every component: ``comp, w, to, a, b``."""
     spark, metric = labelled.sparkSession, cells.metric
-    points = labelled.select("point_id", "cell", "features", "core", "comp")
+    points = labelled
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return _empty_picks() if pdf["comp"].nunique() == 1 else _picks(pdf, pdf, metric)
@@ -216,22 +216,26 @@ def _round_picks(labelled: DataFrame, cells: Cells, facts: pd.DataFrame) -> Data
 
     far = visit(queries, points, answer, PICK)
     least = F.min(F.struct("w", "to", "a", "b")).alias("p")
-    return keep(near.unionByName(far).groupBy("comp").agg(least).select("comp", "p.*"), "picks")
+    picks = keep(near.unionByName(far).groupBy("comp").agg(least).select("comp", "p.*"), "picks")
+    shared.unpersist()
+    drop_kept(near)
+    drop_kept(bounds)
+    return picks
 
 
 def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
     """Edges ``a, b, w`` of a minimum spanning tree; ``core`` has ``clear`` and ``core`` per point."""
     metric = cells.metric
     slim = core.select("point_id", "cell", "features", "core", "clear")
-    labelled = keep(slim.groupBy("cell").applyInPandas(lambda pdf: _merge_in_cell(pdf, metric), FOREST), "forest")
-    edges = labelled.filter("edge_w is not null").select(
+    forest = keep(slim.groupBy("cell").applyInPandas(lambda pdf: _merge_in_cell(pdf, metric), FOREST), "forest")
+    edges = forest.filter("edge_w is not null").select(
         F.col("edge_a").alias("a"), F.col("edge_b").alias("b"), F.col("edge_w").alias("w")
     )
     if cells.depth == 0:
         return edges
     parts = [keep(edges, "edges")]
-    labelled = labelled.drop("edge_a", "edge_b", "edge_w")
     while True:
+        labelled = forest.select("point_id", "cell", "features", "core", "comp")
         facts = (
             labelled.groupBy("cell")
             .agg(
@@ -254,7 +258,9 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
         ends = roots(hooks.select(F.col("comp").alias("node"), F.col("to").alias("parent")))
         ends = ends.select(F.col("node").alias("comp"), "root")
         merged = labelled.join(ends, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-        labelled = keep(merged, "forest")
+        merged = keep(merged, "forest")
+        drop_kept(forest)
+        forest = merged
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -309,8 +309,8 @@ def box_stats(df: DataFrame, feature: str | list[str]) -> DataFrame:
 def violin_density(df: DataFrame, feature: str | list[str], points: int = 100) -> DataFrame:
     """Members per cluster: Gaussian kernel density on an even grid, and the median.
 
-    Equal values are counted once; every value meets its own cluster's grid only,
-    and the sums combine before the shuffle. For a list of features the result
+    Every value meets its own cluster's grid only, and the sums combine before
+    the shuffle, so what is shuffled is the grid, not the rows. For a list of features the result
     has a ``feature`` column too.
     """
     rows, by = _member_values(df, feature)
@@ -326,12 +326,10 @@ def violin_density(df: DataFrame, feature: str | list[str], points: int = 100) -
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_i")
     z = (at - F.col("x")) / F.col("h")
     sums = (
-        rows.groupBy(*by, "x")
-        .count()
-        .join(shape.filter(F.col("lo") < F.col("hi")), by)
+        rows.join(shape.filter(F.col("lo") < F.col("hi")), by)
         .select("*", grid)
         .groupBy(*by, "grid_i")
-        .agg(F.sum(F.col("count") * F.exp(-0.5 * z * z)).alias("s"))
+        .agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
     )
     median = group_quantiles(rows, by, {"x": [0.5]}).select(*by, F.col("x_q0").alias("median"))
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)

@@ -33,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/clustercat-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
@@ -48,8 +52,16 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return kept
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete a table made by :func:`keep` once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._kept_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application kept; results not yet written are lost."""
+    _delete(spark, _app_dir(spark))

@@ -11,4 +11,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 def spark():
     import oracle
 
-    return oracle.session()
+    session = oracle.session()
+    # On tables this small, compiling a plan costs more than interpreting it.
+    session.conf.set("spark.sql.codegen.wholeStage", False)
+    session.conf.set("spark.sql.shuffle.partitions", 4)
+    return session

@@ -73,7 +73,7 @@ def test_target_cluster(spark, labelled, reference):
     noise = labelled.withColumn("cluster", F.lit(-1))
     assert compare.choose_target_cluster(noise, reference).first().label is None
     zero = reference.withColumns({c: F.lit(0.0) for c in reference.columns})
-    assert compare.choose_target_cluster(labelled, zero).first().score == pytest.approx(6.2 + np.hypot(20, 45))
+    assert compare.choose_target_cluster(labelled, zero).first().score == pytest.approx((6.6 - 1) + (np.hypot(21, 44) - 1))
     gap = labelled.withColumn("parallax", F.when(F.col("cluster") == 1, F.col("parallax")))
     assert compare.choose_target_cluster(gap, reference).first().label == 1
     blank = labelled.withColumn("parallax", F.lit(None).cast("double"))
