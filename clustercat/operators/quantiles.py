@@ -5,7 +5,8 @@ task. Here a mergeable sketch first brackets each wanted rank; a second pass
 counts what lies below the bracket and keeps only the values inside it, a few
 parts in a hundred thousand of a large group, counted once per distinct value.
 The answer is read off those counts, so it is exact; the sketch only decides
-how little has to be sorted.
+how little has to be sorted. When every group turns out small, the built-in
+is used after all.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ def group_quantiles(
 
     ``columns`` maps a column to its probabilities. The result has ``by`` and,
     per column, ``{c}_n`` and ``{c}_q0``, ``{c}_q1``, … in the order given.
-    Missing values are skipped; a group without values gets NULL.
+    Missing values are skipped; a group without values gets NULL, and rows
+    without a group are left out.
     """
     by = list(by)
-    targets = [(c, j, float(p)) for c, ps in columns.items() for j, p in enumerate(ps)]
+    columns = {c: [float(p) for p in ps] for c, ps in columns.items()}
+    df = df.dropna("any", subset=by) if by else df
+    targets = [(c, j, p) for c, ps in columns.items() for j, p in enumerate(ps)]
     slack = 4.0 / accuracy
     bounds = []
     for c in columns:
@@ -53,6 +57,11 @@ def group_quantiles(
         )
     brackets = keep(brackets.drop(*[f"{c}_sketch" for c in columns]), "brackets")
 
+    numbers = [f"{c}_n" for c in columns]
+    largest = brackets.agg(F.max(F.greatest(F.lit(0), *numbers))).first()[0]
+    if (largest or 0) <= accuracy:
+        return _by_builtin(df, by, columns)
+
     slim = df.select(*by, *columns)
     if by:
         joined = slim.join(brackets, by)
@@ -106,13 +115,22 @@ def group_quantiles(
         ]
     )
     outputs = [f"{c}_q{j}" for c, j, _ in targets]
-    numbers = [f"{c}_n" for c in columns]
     if by:
         return brackets.select(*by, *numbers).join(wide, by, "left").select(*by, *numbers, *outputs)
     values = wide.select(F.struct(*outputs)).scalar()
     return brackets.select(*numbers, values.alias("v")).select(*numbers, "v.*")
 
 
+def _by_builtin(df: DataFrame, by: list[str], columns: dict[str, list[float]]) -> DataFrame:
+    """The same result when no group has more values than one task may hold."""
+    aggs = []
+    for c, ps in columns.items():
+        aggs += [F.count(c).alias(f"{c}_n"), F.percentile(c, ps).alias(f"{c}_q")]
+    found = df.groupBy(*by).agg(*aggs)
+    values = [F.col(f"{c}_q")[j].alias(f"{c}_q{j}") for c, ps in columns.items() for j in range(len(ps))]
+    return found.select(*by, *[f"{c}_n" for c in columns], *values)
+
+
 def median_mad(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:
     """Per group and column: ``{c}_median`` and ``{c}_mad``, missing values skipped."""
     by, columns = list(by), list(columns)
