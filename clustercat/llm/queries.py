@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clustercat.llm.chat import format_chat, read_back
 from clustercat.llm.exact_dedup import exact_groups
+from clustercat.llm.mixing import mix, taken_words
 from clustercat.llm.neighbours import nearest_neighbours
+from clustercat.llm.packing import pack
 from clustercat.llm.simhash import hex_fingerprint, simhash_groups
+from clustercat.llm.warc import archive_pages, page_records
+from clustercat.storage import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +41,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def word_vocabulary() -> str:
+    """Path of the vocabulary file that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, folder, "documents"), word_vocabulary(), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
 @query(
     "op4_exact_dedup",
     r"""
@@ -53,7 +71,65 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op6_chat_formatting",
+    r"""
+    with turns as (
+      select conv_id, turn, role, coalesce(text, '') as text from conversations
+      union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+      union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    written as (
+      select *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'),
+                               '\[(/?(SYS|INST|ROLE|TURN)\])', '[\\\1', 'g') as escaped
+      from turns),
+    grouped as (
+      select conv_id, count(*) as n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' order by turn) as all_text,
+             coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as loss_text,
+             sum(length(escaped) + case role when 'system' then 16 when 'user' then 18 else 6 end) as written_chars
+      from written group by conv_id)
+    select conv_id, n_turns, sha256(all_text) as turns_sha256, length(loss_text) as loss_chars,
+           sha256(loss_text) as loss_sha256, cast(written_chars as bigint) as formatted_chars
+    from grouped""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted, kept, and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], turns.schema)
+    read = read_back(keep(format_chat(turns.unionByName(extra)), "chat"))
+    return read.drop("errors")
+
+
 @query("op7_hilbert_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Ten nearest of each vector whose id is divisible by 100, among all others."""
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op8_warc",
+    """
+    with sized as (select page_id, coalesce(html, '') as html from pages),
+    grouped as (
+      select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest,
+             min(page_id) over (partition by html) as lead from sized)
+    select cast(page_id as bigint) as page_id, payload_bytes, payload_digest,
+           case when payload_bytes >= 100 and page_id <> lead then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and page_id <> lead then lead end as refers_to
+    from grouped""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    records = page_records(archive_pages(spark, table(spark, folder, "pages")))
+    return records.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
+@query("op9_source_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of each document; weights 5, 2, 1 over the sources, 150 % of all words."""
+    sizes, schedule = mix(table(spark, folder, "documents"))
+    taken = taken_words(sizes, schedule)
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
