@@ -22,6 +22,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # A store is closed when its task has committed, so only running tasks hold files and memory.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -122,7 +124,7 @@ def exact_groups(
         F.col("first._cc_row").alias("at_row"),
         F.ceil(F.col("copies") / salt_rows).cast("int").alias("parts"),
     )
-    copies = texts.join(hits, "digest")
+    copies = keep(texts.join(hits, "digest"), "copies")  # so that texts move once
     leads = copies.filter("_cc_file = at_file and _cc_row = at_row").select(
         "digest", F.col("text").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
