@@ -128,8 +128,9 @@ def mix(
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(
         "id", "_cc_file", "_cc_row", "size", "source_id", "source_size", "target"
     )
-    shuffled = rows.filter("size > 0").withColumn("mixed", F.xxhash64(F.lit(seed), "id", "_cc_file", "_cc_row"))
-    read = positions(shuffled, ["source_id"], ["mixed", "id", "_cc_file", "_cc_row"], "size")
+    shuffled = rows.filter("size > 0").withColumn("mixed", F.xxhash64(F.lit(seed), "id"))
+    # The locator only parts rows of one id and size, so the mix doesn't depend on where the files lie.
+    read = positions(shuffled, ["source_id"], ["mixed", "id", "size", "_cc_file", "_cc_row"], "size")
     quota = F.floor("target")
     rounds = F.ceil(quota / F.col("source_size")).cast("long")
     turns = (
