@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from clustercat.llm.chat import format_chat, read_back
 from clustercat.llm.exact_dedup import exact_groups
+from clustercat.llm.language import identify
 from clustercat.llm.mixing import mix, taken_words
 from clustercat.llm.neighbours import nearest_neighbours
 from clustercat.llm.packing import pack
+from clustercat.llm.pseudonyms import pseudonymise_documents
+from clustercat.llm.quality import judge
 from clustercat.llm.simhash import hex_fingerprint, simhash_groups
 from clustercat.llm.warc import archive_pages, page_records
 from clustercat.storage import keep
@@ -41,6 +44,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents and all pages."""
+    return identify(table(spark, folder, "documents"), table(spark, folder, "pages"))
+
+
 def word_vocabulary() -> str:
     """Path of the vocabulary file that the packing query uses."""
     import public_tokenizers
@@ -71,6 +80,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Posteriors of low quality and toxicity of all documents, and whether each stays."""
+    judged = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "low", "toxic", "kept")
+
+
 CONTROL_TURN = "</s>[INST] ok [/INST]"
 
 
@@ -133,3 +149,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     sizes, schedule = mix(table(spark, folder, "documents"))
     taken = taken_words(sizes, schedule)
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+# The key of a real run is a secret of the caller; the query has a fixed one so that runs agree.
+QUERY_KEY = b"pseudonym key of the query"
+
+
+@query("op10_pii_pseudonyms")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with personal values replaced by pseudonyms."""
+    done = pseudonymise_documents(table(spark, folder, "documents"), QUERY_KEY)
+    return done.select(F.col("id").alias("doc_id"), "text", F.size("values").alias("n_values"), "values")
