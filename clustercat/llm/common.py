@@ -30,6 +30,11 @@ def located(df: DataFrame) -> DataFrame:
         return kept.withColumns({"_cc_file": F.xxhash64(meta["file_path"]), "_cc_row": meta["row_index"]})
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by names that may hold dots or backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in columns]
+
+
 def positions(df: DataFrame, group: list[str], order: list[str], size: str | None = None) -> DataFrame:
     """``df`` with ``_pos``, each row's place from 0 in its group, and the sum of ``size`` before it, ``_before``.
 

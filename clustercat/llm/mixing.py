@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import located, positions, word_count
+from clustercat.llm.common import located, positions, quoted, word_count
 from clustercat.storage import keep
 
 WEIGHTS = (5, 2, 1)
@@ -172,4 +172,4 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame, text_column: str = "te
     words = F.filter(F.split(F.col(text_column), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.col("_cc_words").cast("int")), " ")
     text = F.when(F.col("_cc_words") < word_count(F.col(text_column)), cut).otherwise(F.col(text_column))
-    return joined.withColumn(text_column, text).select(*docs.columns)
+    return joined.withColumn(text_column, text).select(*quoted(docs.columns))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clustercat.llm.common import located
+from clustercat.llm.common import located, quoted
 from clustercat.llm.exact_dedup import exact_groups
 from clustercat.llm.mixing import mix, mixed_documents
 from clustercat.llm.packing import pack
@@ -23,7 +23,7 @@ from clustercat.storage import keep
 def _only(docs: DataFrame, decisions: DataFrame, condition: str) -> DataFrame:
     """The rows of ``docs`` whose decision meets the condition."""
     chosen = keep(decisions.filter(condition).select("_cc_file", "_cc_row"), "chosen")
-    return located(docs).join(chosen, ["_cc_file", "_cc_row"], "left_semi").select(*docs.columns)
+    return located(docs).join(chosen, ["_cc_file", "_cc_row"], "left_semi").select(*quoted(docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
