@@ -13,6 +13,7 @@ often as the counts allow, then removed.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +26,34 @@ from clustercat.llm.common import positions, word_blocks
 from clustercat.storage import keep
 
 CAPACITY = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+
+
+_ascii_parts = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _parts(word: bytes) -> list[str]:
+    """Parts of a word that the tokenizer codes one by one; the whole word where that isn't certain.
+
+    Apostrophes make contractions and ``<|`` may open a special token. Outside ASCII,
+    normalisation may join letters, so there only closing marks behind a letter are taken off.
+    """
+    if b"'" in word or b"<|" in word:
+        return [word.decode()]
+    if word.isascii():
+        return _ascii_parts.findall(word.lower().decode())
+    text = word.decode()
+    core = text.rstrip(".,;:!?")
+    return [core, text[len(core) :]] if core != text and core.lower()[-1:].isalpha() else [text]
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across white space, a word at a time.
 
-    A word's ids are remembered, up to ``CACHE_WORDS`` words; then the memory starts anew.
+    The vocabulary's pre-tokenizer takes runs of letters, single digits and runs of other
+    characters apart and writes all in lower case, so a word is put together from the ids of such
+    parts where it surely falls apart that way (see :func:`_parts`). Words and parts are remembered,
+    up to ``CACHE_WORDS`` each; then the memory starts anew.
     """
 
     def __init__(self, path: str):
@@ -39,41 +61,54 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, list[int]] = {}
         self._start()
 
     def _start(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
-        self.ends = [0]
+        self.ends = np.zeros(CACHE_WORDS + 2, np.int64)  # word k has ids ends[k] up to ends[k + 1]
 
     def _learn(self, words: list[bytes]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self._start()
             new = list(dict.fromkeys(words))
-        for coded in (self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                      for part in ([w.decode() for w in new[i : i + 10_000]] for i in range(0, len(new), 10_000))):
-            for e in coded:
-                stop = self.ends[-1] + len(e.ids)
-                while stop > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.ends[-1] : stop] = e.ids
-                self.ends.append(stop)
-        for word in new:
-            self.known[word] = len(self.known)
+        split = [_parts(w) for w in new]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        unknown = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
+        for at in range(0, len(unknown), 10_000):
+            some = unknown[at : at + 10_000]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[part] = coded.ids
+        ids: list[int] = []
+        base = place = len(self.known)
+        start = int(self.ends[base])
+        for word, parts in zip(new, split):
+            for part in parts:
+                ids += self.parts[part]
+            self.known[word] = place
+            place += 1
+            self.ends[place] = start + len(ids)
+        while start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[start : start + len(ids)] = ids
 
     def encode(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids of a text in order, in arrays of bounded size."""
+        if text.isascii() and b"<|" not in text:
+            text = text.lower()
         for words in word_blocks(text):
             if words:
                 places = list(map(self.known.get, words))
                 if None in places:
                     self._learn(words)
                     places = list(map(self.known.__getitem__, words))
-                ends = np.array(self.ends)
                 at = np.array(places)
-                sizes = ends[at + 1] - ends[at]
-                shift = np.repeat(ends[at] - (np.cumsum(sizes) - sizes), sizes)
+                first = self.ends[at]
+                sizes = self.ends[at + 1] - first
+                shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
                 yield self.ids[np.arange(len(shift)) + shift]
 
 
