@@ -40,6 +40,8 @@ def _parts(word: bytes) -> list[str]:
     """
     if b"'" in word or b"<|" in word:
         return [word.decode()]
+    if word.isalpha():  # of bytes: a to z only
+        return [word.lower().decode()]
     if word.isascii():
         return _ascii_parts.findall(word.lower().decode())
     text = word.decode()
@@ -47,6 +49,18 @@ def _parts(word: bytes) -> list[str]:
     return [core, text[len(core) :]] if core != text and core.lower()[-1:].isalpha() else [text]
 
 
+class _Places(dict):
+    """Word to place; a word not seen before gets the next place and waits to be learnt."""
+
+    def __init__(self):
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.waiting.append(word)
+        return place
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across white space, a word at a time.
 
@@ -61,39 +75,47 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._start()
 
     def _start(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.places = _Places()
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, "<u4")
-        self.ends = np.zeros(CACHE_WORDS + 2, np.int64)  # word k has ids ends[k] up to ends[k + 1]
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self._start()
-            new = list(dict.fromkeys(words))
-        split = [_parts(w) for w in new]
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
+        self.ends = np.zeros(CACHE_WORDS + (1 << 20), np.int64)  # word k has ids ends[k] up to ends[k + 1]
+
+    def _code(self, parts: list[str]) -> None:
+        """Remember the ids of new parts. Runs of a to z are coded together, as each is one word with one end."""
+        runs = [p for p in parts if p.isascii() and p.isalpha()]
+        ids = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
+        stops = (np.flatnonzero(self.closes[ids]) + 1).tolist() if ids else []
+        for part, start, stop in zip(runs, [0, *stops], stops):
+            self.parts[part] = ids[start:stop]
+        rest = [p for p in parts if p not in self.parts]
+        for part, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[part] = coded.ids
+
+    def _learn(self) -> None:
+        words = self.places.waiting
+        split = [_parts(w) for w in words]
         unknown = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
         for at in range(0, len(unknown), 10_000):
-            some = unknown[at : at + 10_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = coded.ids
+            self._code(unknown[at : at + 10_000])
+        place = len(self.places) - len(words)
+        start = int(self.ends[place])
         ids: list[int] = []
-        base = place = len(self.known)
-        start = int(self.ends[base])
-        for word, parts in zip(new, split):
+        ends = []
+        for parts in split:
             for part in parts:
                 ids += self.parts[part]
-            self.known[word] = place
-            place += 1
-            self.ends[place] = start + len(ids)
+            ends.append(start + len(ids))
+        self.ends[place + 1 : place + 1 + len(ends)] = ends
         while start + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[start : start + len(ids)] = ids
+        self.places.waiting = []
 
     def encode(self, text: bytes) -> Iterator[np.ndarray]:
         """The ids of a text in order, in arrays of bounded size."""
@@ -101,11 +123,11 @@ class WordTokens:
             text = text.lower()
         for words in word_blocks(text):
             if words:
-                places = list(map(self.known.get, words))
-                if None in places:
-                    self._learn(words)
-                    places = list(map(self.known.__getitem__, words))
-                at = np.array(places)
+                if len(self.places) > CACHE_WORDS:
+                    self._start()
+                at = np.array(list(map(self.places.__getitem__, words)))
+                if self.places.waiting:
+                    self._learn()
                 first = self.ends[at]
                 sizes = self.ends[at + 1] - first
                 shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
