@@ -43,8 +43,9 @@ def unescape(text: str) -> str:
 
 def turn_segments(role: str, text: str, template: dict) -> list[tuple[str, bool]]:
     """The turn's three segments with their loss flags."""
-    form = template.get(role, template["*"])
-    before = form["before"].replace("{role}", escape(role)) if role not in template else form["before"]
+    named = role in template and role != "*"
+    form = template[role if named else "*"]
+    before = form["before"] if named else form["before"].replace("{role}", escape(role))
     return [(before, False), (escape(text), form["loss"]), (form["after"], False)]
 
 

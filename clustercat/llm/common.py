@@ -15,19 +15,26 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """``df`` if it is read straight from files, else a copy of it in shared storage, the same one each time."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+        return df
+    except PySparkException:
+        if not hasattr(df, "_filed"):
+            df._filed = keep(df, "filed")
+        return df._filed
+
+
 def located(df: DataFrame) -> DataFrame:
     """``df`` with ``_cc_file, _cc_row``: where each row lies in the files behind it.
 
-    The pair names one row even where ids repeat or are null. A frame that is not
-    read straight from files is written to shared storage first.
+    The pair names one row even where ids repeat or are null. What is joined by it
+    must come from the same files, so pass frames through :func:`filed` first.
     """
-    try:
-        meta = df.metadataColumn("_metadata")
-        return df.withColumns({"_cc_file": F.xxhash64(meta["file_path"]), "_cc_row": meta["row_index"]})
-    except PySparkException:
-        kept = keep(df, "located")
-        meta = kept.metadataColumn("_metadata")
-        return kept.withColumns({"_cc_file": F.xxhash64(meta["file_path"]), "_cc_row": meta["row_index"]})
+    source = filed(df)
+    meta = source.metadataColumn("_metadata")
+    return source.withColumns({"_cc_file": F.xxhash64(meta["file_path"]), "_cc_row": meta["row_index"]})
 
 
 def quoted(columns: list[str]) -> list[Column]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import located, positions, quoted, word_count
+from clustercat.llm.common import filed, located, positions, quoted, word_count
 from clustercat.storage import keep
 
 WEIGHTS = (5, 2, 1)
@@ -91,9 +91,11 @@ def slot_schedule(sources: DataFrame, block: int) -> DataFrame:
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .filter("n < need")
         .select("source_id", F.explode(F.sequence("n", F.col("need") - 1)).alias("block_no"))
-        .select((F.col("block_no") + slots).alias("slot"), "source_id", "block_no")
     )
-    return ranked.filter("_pos < need").select("slot", "source_id", F.col("_pos").alias("block_no")).unionByName(closing)
+    closing = positions(closing, [], ["block_no", "source_id"])
+    closing = closing.select((F.col("_pos") + slots).alias("slot"), "source_id", "block_no")
+    drawn = ranked.filter("_pos < need").select("slot", "source_id", F.col("_pos").alias("block_no"))
+    return drawn.unionByName(closing)
 
 
 def mix(
@@ -118,7 +120,7 @@ def mix(
     repeated rows and ids are rows of their own; other columns are ignored; an empty table gives no rows.
     """
     rows = located(
-        docs.select(
+        filed(docs).select(
             F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"),
             word_count(F.col(text_column)).alias("size"),
         )
@@ -167,7 +169,7 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame, text_column: str = "te
     """
     rounds = schedule.groupBy("_cc_file", "_cc_row", "epoch").agg(F.sum("words").alias("_cc_words"))
     rounds = rounds.select("_cc_file", "_cc_row", "_cc_words")
-    source = located(docs)
+    source = located(filed(docs))
     joined = source.join(rounds, ["_cc_file", "_cc_row"])
     words = F.filter(F.split(F.col(text_column), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.col("_cc_words").cast("int")), " ")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clustercat.llm.common import located, quoted
+from clustercat.llm.common import filed, located, quoted
 from clustercat.llm.exact_dedup import exact_groups
 from clustercat.llm.mixing import mix, mixed_documents
 from clustercat.llm.packing import pack
@@ -28,21 +28,25 @@ def _only(docs: DataFrame, decisions: DataFrame, condition: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    docs = filed(docs)
     return _only(docs, judge(docs, table(spark, sf_dir, "labels")), "kept")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
+    docs = filed(docs)
     return _only(docs, exact_groups(docs), "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    docs = filed(docs)
     return _only(docs, simhash_groups(docs, width=3, distance=3), "survivor")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the source mix plays: a row for each round in which a document is played."""
+    docs = filed(docs)
     _, schedule = mix(docs)
     return mixed_documents(docs, keep(schedule, "schedule"))
 
