@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustercat.functions.geometry import check_metric, distances, matrix
@@ -113,18 +113,37 @@ def _prepare(df: DataFrame, k: int, metric: str, cell_rows: int, key: str):
     return placed, cells, neighbour_lists(placed, cells, k)
 
 
-def knn(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, key: str = "row_id") -> DataFrame:
-    """``row_id, rank, neighbor_id, dist``: the k nearest other points, itself not counted.
+def row_neighbours(df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, key: str = "row_id") -> DataFrame:
+    """``row_id, rank, neighbor_id, dist`` for every row, from the neighbour lists of the positions.
 
-    One entry per distinct position, named by its smallest row id; copies lie at
-    distance 0 of each other and are not listed.
+    A row's copies are its neighbours at distance 0. A position offers its ``k + 1`` smallest
+    row ids, more than any list can hold, so a position with many copies stays short.
     """
-    _, _, lists = _prepare(df, k, metric, cell_rows, key)
-    return lists.select(F.col("point_id").alias(key), F.posexplode("neighbours").alias("pos", "n")).select(
+    rows = keep(to_rows(df, placed.select("features", "point_id"), key), "placed-rows")
+    by_id = Window.partitionBy("point_id").orderBy(key)
+    # The filter on the rank also runs before the exchange.
+    offered = rows.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
+    offered = offered.groupBy("point_id").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    near = lists.select("point_id", F.explode("neighbours").alias("n")).select(
+        "point_id", F.col("n.id").alias("at"), F.col("n.dist").alias("dist")
+    )
+    own = placed.select("point_id", F.col("point_id").alias("at"), F.lit(0.0).alias("dist"))
+    held = near.unionByName(own).join(offered.withColumnRenamed("point_id", "at"), "at")
+    entries = F.transform("ids", lambda i: F.struct(F.col("dist"), i.alias("id")))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, k + 1)
+    best = held.select("point_id", entries.alias("e")).groupBy("point_id").agg(best.alias("best"))
+    mine = F.slice(F.filter("best", lambda e: e["id"] != F.col(key)), 1, k)
+    return rows.join(best, "point_id").select(key, F.posexplode(mine).alias("pos", "n")).select(
         key, (F.col("pos") + 1).alias("rank"), F.col("n.id").alias("neighbor_id"), F.col("n.dist").alias("dist")
     )
 
 
+def knn(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, key: str = "row_id") -> DataFrame:
+    """``row_id, rank, neighbor_id, dist``: the k nearest other rows of every row, ties to the smaller id."""
+    placed, _, lists = _prepare(df, k, metric, cell_rows, key)
+    return row_neighbours(df, placed, lists, k, key)
+
+
 def with_core(placed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """Add ``core``: the distance within which k other rows lie, copies counted.
 
@@ -163,12 +182,10 @@ def mutual_reachability(
 ) -> DataFrame:
     """``row_id, neighbor_id, weight`` of the neighbour pairs: the largest of both core distances and the distance."""
     placed, _, lists = _prepare(df, k, metric, cell_rows, key)
-    core = with_core(placed, lists, k).select("point_id", "core")
-    pairs = lists.select("point_id", F.explode("neighbours").alias("n")).select(
-        "point_id", F.col("n.id").alias("neighbor_id"), F.col("n.dist").alias("dist")
-    )
+    core = keep(to_rows(df, with_core(placed, lists, k).select("features", "core"), key), "row-core")
     return (
-        pairs.join(core.withColumnRenamed("core", "core_a"), "point_id")
-        .join(core.select(F.col("point_id").alias("neighbor_id"), F.col("core").alias("core_b")), "neighbor_id")
-        .select(F.col("point_id").alias(key), "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))
+        row_neighbours(df, placed, lists, k, key)
+        .join(core.withColumnRenamed("core", "core_a"), key)
+        .join(core.select(F.col(key).alias("neighbor_id"), F.col("core").alias("core_b")), "neighbor_id")
+        .select(key, "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))
     )

@@ -414,6 +414,12 @@ def cluster_panel(df: DataFrame, labels: Iterable[int] | None = None, bins: int
     return histogram(long, "x", bins, by=by).join(notes, by)
 
 
+def cluster_panel_points(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Per cluster, noise included: two coordinates of its rows, with the probability where there is one."""
+    shown = [c for c in ("cluster", x, y, "prob") if c in df.columns]
+    return require_columns(df, ("cluster", x, y)).filter(F.col("cluster").isNotNull()).select(*shown)
+
+
 def cluster_panel_centers(df: DataFrame, max_arrows: int = 500) -> DataFrame:
     """Per cluster, noise included: mean position, mean motion, number of arrows drawn."""
     means = [F.avg(c).alias(f"{c}_mean") for c in ("ra", "dec", "pmra", "pmdec") if c in df.columns]

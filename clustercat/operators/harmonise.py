@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.functions.numeric import coerce, strict
+from clustercat.functions.numeric import clean, coerce, strict
 from clustercat.functions.sky import absolute_magnitude, color_index, pm_magnitude
 from clustercat.operators.quantiles import group_quantiles
 
@@ -76,7 +76,7 @@ def alias_harmonise(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     if "cluster" in df.columns:
         tests.append(F.col("cluster") >= 0)
     if "prob" in df.columns:
-        tests.append(F.col("prob") >= threshold)
+        tests.append(clean(F.col("prob")) >= threshold)
     member = F.lit(bool(tests))
     for test in tests:
         member = member & F.coalesce(test, F.lit(False))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.functions.numeric import finite
+from clustercat.functions.numeric import clean, finite
 
 # Fixed value: column order of the ranked member list.
 MEMBER_COLUMNS = (
-    "source_id", "ra", "dec", "parallax", "pmra", "pmdec", "g", "color", "M_G", "ruwe", "cluster", "prob",
+    "source_id", "ra", "dec", "parallax", "pmra", "pmdec", "color", "M_G", "ruwe", "prob", "cluster",
 )
 
 
 def choose_members(cluster: Column, prob: Column, threshold: float = 0.5) -> Column:
-    """True for clustered rows at or above the threshold; never NULL."""
-    return F.coalesce((cluster >= 0) & (prob >= float(threshold)), F.lit(False))
+    """True for clustered rows at or above the threshold; never NULL, and NaN is below any threshold."""
+    return F.coalesce((cluster >= 0) & (clean(prob) >= float(threshold)), F.lit(False))
 
 
 def with_members(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -23,22 +23,27 @@ def with_members(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def attach_cluster(df: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "row_id") -> DataFrame:
-    """Join labels one to one by key; a row without a label fails the job.
+    """Join labels one to one by key.
 
-    Both sides may not be keyed exactly alike: a missing partner on either side
-    raises ValueError before anything is returned.
+    A key that either side lacks or repeats raises ValueError before anything is returned.
     """
     plain = labels.select(key, "cluster", "prob")
-    unmatched = df.select(key).join(plain, key, "left_anti").limit(1).unionByName(
-        plain.select(key).join(df, key, "left_anti").limit(1)
+    sides = df.select(key, F.lit(1).alias("rows"), F.lit(0).alias("labels")).unionByName(
+        plain.select(key, F.lit(0).alias("rows"), F.lit(1).alias("labels"))
     )
-    if not unmatched.isEmpty():
+    counts = sides.groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("labels").alias("labels"))
+    if not counts.filter(f"rows <> 1 or labels <> 1 or `{key}` is null").isEmpty():
         raise ValueError("rows and labels do not match one to one")
     return with_members(df.join(plain, key), threshold)
 
 
 def reattach_all_rows(df: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "row_id") -> DataFrame:
-    """Left join: rows that were not clustered become noise with probability 0."""
+    """Left join: rows that were not clustered become noise with probability 0.
+
+    A key that the labels repeat raises ValueError, as it would multiply rows.
+    """
+    if not labels.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError("labels repeat a key")
     joined = df.join(labels.select(key, "cluster", "prob"), key, "left")
     joined = joined.withColumns(
         {
@@ -82,7 +87,7 @@ def flag_target_cluster(df: DataFrame, selection: DataFrame, threshold: float =
     chosen = selection.select("label").scalar()
     return df.withColumn(
         "is_target",
-        F.coalesce((F.col("cluster") == chosen) & (F.col("prob") >= float(threshold)), F.lit(False)),
+        F.coalesce((F.col("cluster") == chosen) & (clean(F.col("prob")) >= float(threshold)), F.lit(False)),
     )
 
 

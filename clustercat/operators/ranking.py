@@ -42,21 +42,15 @@ def sample_rows(
 ) -> DataFrame:
     """At most ``n`` rows, overall or per group, the same ones every time.
 
-    Rows are taken in the order of a seeded hash of the key. A large table is first
-    thinned to the rows whose hash is low enough to matter, groups in salted
-    slices, so that no task ranks a whole table or a whole large group.
+    Rows are taken in the order of a hash of key and seed. Every partition sends on its
+    first ``n`` at most, groups in salted slices, so no task ranks a whole table or
+    a whole large group.
     """
-    draw = F.xxhash64(F.col(key), F.lit(seed))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     if by is None:
-        total = df.count()
-        share = (2 * n + 1000) / max(total, 1)
-        if share < 0.5:
-            thinned = df.filter(draw <= int(-(2**63) + share * 2**64))
-            # Twice the rows are expected; should fewer than n pass, all are ranked.
-            df = thinned if thinned.count() >= n else df
         return df.orderBy(draw, key).limit(n)
     ranked = df.withColumn("_draw", draw)
-    for slices in ([by, F.pmod(F.col("_draw"), F.lit(256))], [by]):
+    for slices in ([by, F.substring("_draw", 1, 2)], [by]):
         order = Window.partitionBy(*slices).orderBy("_draw", key)
         ranked = ranked.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
     return ranked.drop("_draw", "_rank")

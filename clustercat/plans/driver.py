@@ -32,6 +32,7 @@ REFERENCE_MAP = {
 FEATURES = ["parallax", "pmra", "pmdec", "color", "M_G"]
 SUMMARY_FEATURES = FEATURES + ["ruwe"]
 CENTER = (55.0, 22.0)
+GRID = 64.0
 
 # The same text runs on both engines.
 RAW_SQL = """
@@ -102,11 +103,17 @@ class Tables:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """``row_id, cluster`` and the first five components as features."""
+        """``row_id`` and the catalogue's features, on a grid on which both engines compute equal distances."""
+        features = F.array(*[F.floor(F.col(c) * GRID + 0.5) / GRID for c in FEATURES])
+        return self.clean.dropna(subset=FEATURES).select("row_id", features.alias("features"))
+
+    @cached_property
+    def embeddings(self) -> DataFrame:
+        """``row_id, cluster`` and the whole embedding as features."""
         return self.read("embeddings").select(
             F.col("vec_id").alias("row_id"),
             F.col("label").alias("cluster"),
-            F.slice("embedding", 1, 5).cast("array<double>").alias("features"),
+            F.col("embedding").cast("array<double>").alias("features"),
         )
 
 
@@ -289,7 +296,7 @@ def _(t):
 
 @query(
     "export_members_ranked",
-    f"select row_id, {rs(*SKY, 'g', 'color', 'M_G', 'ruwe')}, cluster, {rs('prob')} from member",
+    f"select row_id, {rs(*SKY, 'color', 'M_G', 'ruwe', 'prob')}, cluster from member",
 )
 def _(t):
     return members.export_members_ranked(t.labelled)
@@ -762,24 +769,22 @@ def _(t):
     return distributions.covariance_ellipse(members.subset_members(t.labelled), "pmra", "pmdec")
 
 
-def _silhouette_sql(points: str, dims: list[str]) -> str:
-    d2 = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in dims)
+def _silhouette_sql(points: str) -> str:
     return f""", p as ({points}), sz as (select cluster, count(*) as n from p group by cluster),
-sums as (select a.row_id, a.cluster, b.cluster as other, sum(sqrt({d2})) as s from p a, p b group by all),
+sums as (select a.row_id, a.cluster, b.cluster as other, sum(list_distance(a.f, b.f)) as s from p a, p b group by all),
 ab as (select row_id, sums.cluster, max(case when other = sums.cluster then sz.n end) as n,
   max(case when other = sums.cluster then s / nullif(sz.n - 1, 0) end) as a,
   min(case when other <> sums.cluster then s / sz.n end) as b from sums join sz on sz.cluster = other group by all)
 select {r("avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)", "silhouette")} from ab"""
 
 
-VECTORS_SQL = "select vec_id as row_id, label as cluster, " + ", ".join(
-    f"embedding[{i}]::double as f{i}" for i in range(1, 6)
-) + " from embeddings"
+DIMENSIONS = 64
+SILHOUETTE_SAMPLE = 150
 
 
-@query("silhouette_exact", _silhouette_sql(VECTORS_SQL, [f"f{i}" for i in range(1, 6)]))
+@query("silhouette_exact", _silhouette_sql("select vec_id as row_id, label as cluster, embedding::double[] as f from embeddings"))
 def _(t):
-    return silhouette_exact(t.vectors)
+    return silhouette_exact(t.embeddings)
 
 
 @query("silhouette_alignment", f"{Z_SQL} select used.row_id, label as cluster from used join clean using (row_id) where label >= 0")
@@ -792,15 +797,18 @@ def _(t):
 @query(
     "silhouette_sampled",
     _silhouette_sql(
-        "select row_id, cluster, " + ", ".join(
-            f"(f{i} - avg(f{i}) over ()) / stddev_pop(f{i}) over () as f{i}" for i in range(1, 6)
-        ) + f" from ({VECTORS_SQL})",
-        [f"f{i}" for i in range(1, 6)],
+        "select vec_id as row_id, label as cluster, ["
+        + ", ".join(
+            f"(embedding[{i}]::double - avg(embedding[{i}]::double) over ()) / stddev_pop(embedding[{i}]::double) over ()"
+            for i in range(1, DIMENSIONS + 1)
+        )
+        + f"] as f from (select * from embeddings order by md5('0:' || vec_id) limit {SILHOUETTE_SAMPLE})",
     ),
 )
 def _(t):
-    wide = t.vectors.select("row_id", "cluster", *[F.col("features")[i].alias(f"f{i}") for i in range(5)])
-    return silhouette_sampled(wide, [f"f{i}" for i in range(5)])
+    names = [f"f{i}" for i in range(DIMENSIONS)]
+    wide = t.embeddings.select("row_id", "cluster", *[F.col("features")[i].alias(c) for i, c in enumerate(names)])
+    return silhouette_sampled(wide, names, sample=SILHOUETTE_SAMPLE)
 
 
 # Overlays, order, samples
@@ -844,7 +852,7 @@ def _(t):
     return ranking.largest_cluster(t.labelled)
 
 
-@query("sample_rows")
+@query("sample_rows", f"select row_id, {rs('ra', 'dec')} from labelled order by md5('0:' || row_id), row_id limit 800")
 def _(t):
     return ranking.sample_rows(t.labelled, 800).select("row_id", "ra", "dec")
 
@@ -909,7 +917,10 @@ def _(t):
     return distributions.cmd_hexbin(t.labelled)
 
 
-@query("sky_vectors")
+ARROWS = ("ra", "dec", "pmra", "pmdec")
+
+
+@query("sky_vectors", f"select row_id, {rs(*ARROWS)} from member order by md5('0:' || row_id), row_id limit 800")
 def _(t):
     return distributions.sky_vectors(t.labelled)
 
@@ -1022,6 +1033,16 @@ def _(t):
     return distributions.cluster_panel(t.labelled)
 
 
+@query("cluster_panel_sky", f"select cluster, {rs('ra', 'dec', 'prob')} from labelled")
+def _(t):
+    return distributions.cluster_panel_points(t.labelled, "ra", "dec")
+
+
+@query("cluster_panel_cmd", f"select cluster, {rs('color', 'M_G', 'prob')} from labelled")
+def _(t):
+    return distributions.cluster_panel_points(t.labelled, "color", "M_G")
+
+
 @query(
     "cluster_panel_centers",
     "select cluster, least(count(*), 500) as n_arrows, "
@@ -1032,16 +1053,23 @@ def _(t):
     return distributions.cluster_panel_centers(t.labelled)
 
 
-@query("cluster_panel_vectors")
+@query(
+    "cluster_panel_vectors",
+    f"select cluster, row_id, {rs(*ARROWS)} from labelled "
+    "qualify row_number() over (partition by cluster order by md5('0:' || row_id), row_id) <= 500",
+)
 def _(t):
     return distributions.cluster_panel_vectors(t.labelled)
 
 
-# Density clustering of the vectors
+# Density clustering of the whole catalogue
 
 K = 5
-CUT = 0.12
-PAIRS_SQL = f""", p as ({VECTORS_SQL}),
+CUT = 2.0
+VECTORS_SQL = "select row_id, " + ", ".join(
+    f'floor("{c}" * {GRID} + 0.5) / {GRID} as f{i}' for i, c in enumerate(FEATURES, 1)
+) + " from used"
+PAIRS_SQL = f"""{Z_SQL}, p as ({VECTORS_SQL}),
 d as (select a.row_id, b.row_id as neighbor_id, sqrt({" + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(1, 6))}) as dist
   from p a, p b where a.row_id <> b.row_id),
 nn as (select *, row_number() over (partition by row_id order by dist, neighbor_id) as rank from d qualify rank <= {K}),

@@ -16,12 +16,21 @@ from clustercat.operators.density.cells import CELL_ROWS
 from clustercat.operators.density.selection import hierarchy, label_points, select_clusters
 from clustercat.operators.density.neighbours import to_rows
 from clustercat.operators.distributions import PANEL_FEATURES
-from clustercat.operators.ranking import panel_labels, sample_rows
+from clustercat.operators.ranking import panel_labels, positions, sample_rows
 from clustercat.operators.silhouette import silhouette_exact
-from clustercat.sources.tables import load_catalog, load_reference, save_record, save_table, scan_any
+from clustercat.sources.tables import (
+    first_existing_reference,
+    latest_output,
+    load_catalog,
+    load_reference,
+    save_record,
+    save_table,
+    scan_any,
+)
 from clustercat.storage import keep
 
-# The features clustered and summarised by default.
+# The features clustered and summarised by default, those with histograms and
+# with box and violin tables; the names of the views in figure_tables.
 FEATURES = ("parallax", "pmra", "pmdec", "color", "M_G")
 HISTOGRAMS = ("pmra", "pmdec", "parallax", "color", "M_G", "ruwe", "_pm_mag")
 SHAPES = ("_pm_mag", "color", "M_G", "parallax", "ruwe")
@@ -32,10 +41,15 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, key: str | None) -> DataFrame:
-    """``row_id`` from a declared key, else a number that holds once the table is written."""
+    """``row_id`` from a declared key, else the row's place in the order of a hash of all its columns.
+
+    The place depends on the rows alone, not on how they are spread over files; only equal rows are interchangeable.
+    """
     if key is not None:
         return df.withColumn("row_id", F.col(f"`{key}`"))
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    tied = df.withColumns({"_hash": F.xxhash64(*columns), "_tie": F.monotonically_increasing_id()})
+    return positions(tied, F.col("_hash"), *columns, F.col("_tie"), name="row_id").drop("_hash", "_tie")
 
 
 def job_preprocess(
@@ -64,6 +78,7 @@ def job_preprocess(
         "reference": reference,
         "catalog_report": report(catalog),
         "reference_report": report(reference),
+        "unit_sanity": harmonise.unit_sanity(catalog),
         "unit_ratio": harmonise.unit_ratio_check(catalog, reference),
     }
 
@@ -107,24 +122,25 @@ def job_validate(
     reference_path: str,
     out: str,
     threshold: float = 0.5,
-    silhouette_rows: int | None = 20000,
+    silhouette_rows: int | None = None,
 ) -> dict[str, DataFrame]:
     """Overview, silhouette, summaries, comparison, target cluster; flags and member lists.
 
-    The silhouette looks at the rows that were clustered, matched by key, at most
-    ``silhouette_rows`` of them; None takes all.
+    The silhouette looks at all rows that were clustered, matched by key, or at a sample
+    of ``silhouette_rows`` of them; the record says at how many.
     """
-    labelled = spark.read.parquet(labelled_path)
-    reference = spark.read.parquet(reference_path)
+    labelled = scan_any(spark, labelled_path)
+    reference = scan_any(spark, reference_path)
     labels = members.filter_non_noise(labelled).select("row_id", "cluster")
     scored = spark.read.parquet(features_path).join(labels, "row_id")
     scored = scored if silhouette_rows is None else sample_rows(scored, silhouette_rows)
+    scored = keep(scored, "scored")
     selection = keep(compare.choose_target_cluster(labelled, reference), "selection")
     flagged = members.flag_target_cluster(members.with_members(labelled, threshold), selection, threshold)
     flagged = _write(flagged, f"{out}/validated.parquet")
     result = {
         "overview": summary.clustering_overview(labelled),
-        "silhouette": silhouette_exact(scored),
+        "silhouette": silhouette_exact(scored).withColumn("n_scored", F.lit(scored.count())),
         "numeric_summary": summary.numeric_summary(labelled, [*FEATURES, "ruwe"]),
         "centroids": summary.centroids_full(labelled, FEATURES),
         "comparison": compare.compare_to_reference(labelled, reference),
@@ -173,7 +189,7 @@ def figure_tables(
     if {"parallax", "M_G"} <= columns:
         out["mg_vs_parallax_members"] = d.mg_vs_parallax(df)
     out["hist_by_cluster"] = d.histogram_by_cluster(df, [c for c in HISTOGRAMS if c in columns])
-    if "cluster" in columns:
+    if "cluster" in columns and not members.subset_members(df).isEmpty():
         shapes = [c for c in SHAPES if c in columns]
         out["box_by_cluster_members"] = d.box_stats(df, shapes)
         out["violin_by_cluster_members"] = d.violin_density(df, shapes)
@@ -194,6 +210,10 @@ def figure_tables(
         out["panel_labels"] = panel_labels(chosen)
         if any(c in columns for c in PANEL_FEATURES):
             out["panel_cluster"] = d.cluster_panel(chosen)
+        if {"ra", "dec"} <= columns:
+            out["panel_cluster_sky"] = d.cluster_panel_points(chosen, "ra", "dec")
+        if {"color", "M_G"} <= columns:
+            out["panel_cluster_cmd"] = d.cluster_panel_points(chosen, "color", "M_G")
         out["panel_cluster_centers"] = d.cluster_panel_centers(chosen, max_arrows)
         out["panel_cluster_vectors"] = d.cluster_panel_vectors(chosen, max_arrows)
     return out
@@ -201,21 +221,33 @@ def figure_tables(
 
 def job_report(
     spark: SparkSession,
-    labelled_path: str,
+    labelled_path: str | None,
     out: str,
     reference_path: str | None = None,
     tree_path: str | None = None,
     threshold: float = 0.5,
     max_arrows: int = 800,
     panels_for: Iterable[int] | None = None,
+    processed: str | None = None,
 ) -> DataFrame:
-    """Write every distribution table and the manifest ``name, path`` of what was written."""
+    """Write every distribution table and the manifest ``name, path`` of what was written.
+
+    With a folder ``processed`` the labelled table may be named inside it or left out, which takes
+    the newest there; a reference list that isn't given is looked for near it.
+    """
+    if processed is not None:
+        labelled_path = latest_output(spark, processed, labelled_path)
+        reference_path = reference_path or first_existing_reference(spark, processed)
+    if labelled_path is None:
+        raise ValueError("name a labelled table or the folder to find it in")
     df = keep(harmonise.alias_harmonise(scan_any(spark, labelled_path), threshold), "labelled")
     reference = harmonise.rename_aliases(scan_any(spark, reference_path)) if reference_path else None
     tree = spark.read.parquet(tree_path) if tree_path else None
     written = []
     for name, table in figure_tables(df, reference, tree, max_arrows, panels_for).items():
         written.append((name, save_table(table, f"{out}/{name}.parquet")))
+    if "is_member" in df.columns:
+        written.append(("members_only_check", save_table(members.members_only_check(df), f"{out}/members_only_check.parquet")))
     manifest = spark.createDataFrame(written, "name string, path string")
     save_table(manifest, f"{out}/manifest.csv")
     return manifest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The separator that occurs most often in the first line."""
+    """The separator that occurs most often in the first line, outside quotes."""
     first = spark.read.text(path).first()
-    line = first[0] if first else ""
+    line = re.sub(r'"[^"]*"', "", first[0]) if first else ""
     return max(SEPARATORS, key=line.count)
 
 
@@ -127,7 +128,8 @@ def save_record(df: DataFrame, path: str) -> str:
 def latest_output(spark: SparkSession, directory: str, explicit: str | None = None) -> str:
     """The explicit file, else the newest table in ``directory`` under any known pattern."""
     if explicit is not None:
-        path = explicit if "://" in explicit or explicit.startswith("/") else f"{directory}/{explicit}"
+        whole = explicit.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", explicit)
+        path = explicit if whole else f"{directory}/{explicit}"
         if not path_exists(spark, path):
             raise FileNotFoundError(path)
         return path
