@@ -21,7 +21,7 @@ from clustercat.storage import keep, new_path
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # A store is closed when its task has committed, so only running tasks hold files and memory.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
@@ -124,7 +124,9 @@ def exact_groups(
         F.col("first._cc_row").alias("at_row"),
         F.ceil(F.col("copies") / salt_rows).cast("int").alias("parts"),
     )
-    copies = keep(texts.join(hits, "digest"), "copies")  # so that texts move once
+    # There are as many hits as the corpus has groups of copies, so the join is planned as a shuffle at any
+    # size; its result is kept so that texts move once.
+    copies = keep(texts.join(hits.hint("shuffle_merge"), "digest"), "copies")
     leads = copies.filter("_cc_file = at_file and _cc_row = at_row").select(
         "digest", F.col("text").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )

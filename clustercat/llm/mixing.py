@@ -170,7 +170,8 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame, text_column: str = "te
     rounds = schedule.groupBy("_cc_file", "_cc_row", "epoch").agg(F.sum("words").alias("_cc_words"))
     rounds = rounds.select("_cc_file", "_cc_row", "_cc_words")
     source = located(filed(docs))
-    joined = source.join(rounds, ["_cc_file", "_cc_row"])
+    # There are about as many rounds as documents, so the join is planned as a shuffle at any size.
+    joined = source.join(rounds.hint("shuffle_merge"), ["_cc_file", "_cc_row"])
     words = F.filter(F.split(F.col(text_column), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.col("_cc_words").cast("int")), " ")
     text = F.when(F.col("_cc_words") < word_count(F.col(text_column)), cut).otherwise(F.col(text_column))

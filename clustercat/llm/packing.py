@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from clustercat.llm.common import positions, word_blocks
 from clustercat.storage import keep
 
 CAPACITY = 2048
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 _ascii_parts = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -49,25 +50,14 @@ def _parts(word: bytes) -> list[str]:
     return [core, text[len(core) :]] if core != text and core.lower()[-1:].isalpha() else [text]
 
 
-class _Places(dict):
-    """Word to place; a word not seen before gets the next place and waits to be learnt."""
-
-    def __init__(self):
-        self.waiting: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        self.waiting.append(word)
-        return place
-
-
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across white space, a word at a time.
 
     The vocabulary's pre-tokenizer takes runs of letters, single digits and runs of other
     characters apart and writes all in lower case, so a word is put together from the ids of such
-    parts where it surely falls apart that way (see :func:`_parts`). Words and parts are remembered,
-    up to ``CACHE_WORDS`` each; then the memory starts anew.
+    parts where it surely falls apart that way (see :func:`_parts`). Ids are kept as the bytes of
+    little-endian 32-bit numbers. Words and parts are remembered, up to ``CACHE_WORDS`` each;
+    then the memory starts anew.
     """
 
     def __init__(self, path: str):
@@ -78,60 +68,40 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._start()
-
-    def _start(self) -> None:
-        self.places = _Places()
-        self.parts: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, "<u4")
-        self.ends = np.zeros(CACHE_WORDS + (1 << 20), np.int64)  # word k has ids ends[k] up to ends[k + 1]
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _code(self, parts: list[str]) -> None:
         """Remember the ids of new parts. Runs of a to z are coded together, as each is one word with one end."""
         runs = [p for p in parts if p.isascii() and p.isalpha()]
-        ids = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
-        stops = (np.flatnonzero(self.closes[ids]) + 1).tolist() if ids else []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        data = ids.tobytes()
         for part, start, stop in zip(runs, [0, *stops], stops):
-            self.parts[part] = ids[start:stop]
+            self.parts[part] = data[start:stop]
         rest = [p for p in parts if p not in self.parts]
         for part, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[part] = coded.ids
+            self.parts[part] = np.array(coded.ids, "<u4").tobytes()
 
-    def _learn(self) -> None:
-        words = self.places.waiting
+    def _learn(self, words: list[bytes]) -> None:
         split = [_parts(w) for w in words]
-        unknown = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
+        unknown = list({p for parts in split for p in parts if p not in self.parts})
         for at in range(0, len(unknown), 10_000):
             self._code(unknown[at : at + 10_000])
-        place = len(self.places) - len(words)
-        start = int(self.ends[place])
-        ids: list[int] = []
-        ends = []
-        for parts in split:
-            for part in parts:
-                ids += self.parts[part]
-            ends.append(start + len(ids))
-        self.ends[place + 1 : place + 1 + len(ends)] = ends
-        while start + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[start : start + len(ids)] = ids
-        self.places.waiting = []
-
-    def encode(self, text: bytes) -> Iterator[np.ndarray]:
-        """The ids of a text in order, in arrays of bounded size."""
+        known = self.parts
+        for word, parts in zip(words, split):
+            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+
+    def encode(self, text: bytes) -> Iterator[bytes]:
+        """The ids of a text in order, as pieces of bounded size of their bytes."""
         if text.isascii() and b"<|" not in text:
             text = text.lower()
         for words in word_blocks(text):
-            if words:
-                if len(self.places) > CACHE_WORDS:
-                    self._start()
-                at = np.array(list(map(self.places.__getitem__, words)))
-                if self.places.waiting:
-                    self._learn()
-                first = self.ends[at]
-                sizes = self.ends[at + 1] - first
-                shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-                yield self.ids[np.arange(len(shift)) + shift]
+            if max(len(self.words), len(self.parts)) > CACHE_WORDS:
+                self.words, self.parts = {}, {}
+            if new := set(words).difference(self.words):
+                self._learn(list(new))
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -149,20 +119,21 @@ def pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, ca
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for row, text in enumerate(batch.column(1)):
-                piece, length, crc = 0, 0, 0
-                data = (text.as_py() or "").encode()
-                for ids in (*tokens.encode(data), np.array([end_id], "<u4")) if len(data) < 1 << 20 else _then(tokens.encode(data), end_id):
-                    while len(ids):
-                        if length == capacity:
-                            _add(rows, row, piece, capacity, length, crc)
-                            piece, length, crc = piece + 1, 0, 0
-                        part, ids = ids[: capacity - length], ids[capacity - length :]
-                        crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
-                        length += len(part)
-                _add(rows, row, piece, capacity, length, crc)
+                piece, room, crc = 0, 4 * capacity, 0
+                for ids in chain(tokens.encode((text.as_py() or "").encode()), [end]):
+                    at = 0
+                    while at < len(ids):
+                        if not room:
+                            _add(rows, row, piece, capacity, capacity, crc)
+                            piece, room, crc = piece + 1, 4 * capacity, 0
+                        part = ids[at : at + room]
+                        crc = zlib.crc32(part, crc)
+                        at, room = at + len(part), room - len(part)
+                _add(rows, row, piece, capacity, capacity - room // 4, crc)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows[0], pa.int64())),
@@ -179,11 +150,6 @@ def pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, ca
     return source.mapInArrow(convert, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _then(parts: Iterator[np.ndarray], end_id: int) -> Iterator[np.ndarray]:
-    yield from parts
-    yield np.array([end_id], "<u4")
-
-
 def _add(rows: list[list], row: int, piece: int, capacity: int, length: int, crc: int) -> None:
     for column, value in zip(rows, (row, piece, piece * capacity, length, crc)):
         column.append(value)

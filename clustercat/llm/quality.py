@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from clustercat.llm.common import located, sampled, word_blocks
 from clustercat.storage import keep
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 PREFIXES = (4, 5, 6)
 SHAPE = ("words", "upper", "symbols", "unique", "variety", "repeats", "length", "lines")
 TONE = ("strongest", "two")

@@ -21,8 +21,11 @@ from clustercat.storage import keep
 
 
 def _only(docs: DataFrame, decisions: DataFrame, condition: str) -> DataFrame:
-    """The rows of ``docs`` whose decision meets the condition."""
-    chosen = keep(decisions.filter(condition).select("_cc_file", "_cc_row"), "chosen")
+    """The rows of ``docs`` whose decision meets the condition.
+
+    There are about as many decisions as rows, so the join is planned as a shuffle at any size.
+    """
+    chosen = keep(decisions.filter(condition).select("_cc_file", "_cc_row"), "chosen").hint("shuffle_merge")
     return located(docs).join(chosen, ["_cc_file", "_cc_row"], "left_semi").select(*quoted(docs.columns))
 
 
