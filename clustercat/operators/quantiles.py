@@ -1,32 +1,81 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile holds every distinct value of a group in one
-task. Here a mergeable sketch first brackets each wanted rank; a second pass
-counts what lies below the bracket and keeps only the values inside it, a few
-parts in a hundred thousand of a large group, counted once per distinct value.
-The answer is read off those counts, so it is exact; the sketch only decides
-how little has to be sorted. When every group turns out small, the built-in
-is used after all.
+task. Here mergeable sketches, first per slice of a group and then per group, bracket
+each wanted rank within about a hundredth of the group. A second pass counts what lies below
+the bracket and, once per distinct value, what lies inside it. The counts are
+summed up in the pieces of a range partitioning, so neither a large group nor a
+wide bracket makes one large task. The answer is read off the counts, so it is
+exact; the sketch only decides how little has to be sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clustercat.functions.numeric import clean
 from clustercat.storage import keep
 
-ACCURACY = 100_000
+SKETCH = 4096  # its ranks are off by less than a part in a thousand
+STEPS = 512
+SLACK = 2  # steps on either side of the rank, four times what the sketch may be off
+SLICES = 64
 
 
-def group_quantiles(
-    df: DataFrame,
-    by: Iterable[str],
-    columns: Mapping[str, Iterable[float]],
-    accuracy: int = ACCURACY,
-) -> DataFrame:
+def _sketched(values: DataFrame, by: list[str]) -> DataFrame:
+    """``_n`` and ``_grid``, the values at even steps of rank, for each group and column."""
+    sliced = values.groupBy(*by, "_column", F.pmod(F.spark_partition_id(), F.lit(SLICES)).alias("_slice")).agg(
+        F.count("_x").alias("_n"), F.kll_sketch_agg_double("_x", F.lit(SKETCH)).alias("_sketch")
+    )
+    merged = sliced.groupBy(*by, "_column").agg(
+        F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch", F.lit(SKETCH)).alias("_sketch")
+    )
+    ranks = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
+    grid = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", ranks))
+    return merged.select(*by, "_column", "_n", grid.alias("_grid"))
+
+
+def _ranked(values: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """``_value`` of each target, NULL where its bracket does not hold its rank."""
+    keys = [*by, "_column", "_target"]
+    brackets = targets.groupBy(*by, "_column").agg(F.collect_list(F.struct("_target", "_low", "_high")).alias("_b"))
+    held = F.transform(
+        F.filter("_b", lambda b: F.col("_x") <= b["_high"]),
+        lambda b: F.struct(b["_target"].alias("_target"), F.when(F.col("_x") >= b["_low"], F.col("_x")).alias("_x")),
+    )
+    counts = (
+        values.join(brackets, [*by, "_column"])
+        .select(*by, "_column", F.explode(held).alias("_e"))
+        .groupBy(*by, "_column", F.col("_e._target").alias("_target"), F.col("_e._x").alias("_x"))
+        .agg(F.count(F.lit(1)).alias("_count"))
+    )
+    # What lies below a bracket is NULL and sorts first.
+    pieces = counts.repartitionByRange(*keys, F.asc_nulls_first("_x")).withColumn("_piece", F.spark_partition_id())
+    pieces = keep(pieces, "counts")
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.groupBy(*keys, "_piece").agg(F.sum("_count").alias("_sum"))
+    starts = starts.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = (
+        pieces.withColumn("_end", F.sum("_count").over(inside))
+        .join(starts, [*keys, "_piece"])
+        .withColumn("_end", F.col("_start") + F.col("_end"))
+        .join(targets.select(*keys, "_place"), keys)
+    )
+    floor, ceil = F.floor("_place"), F.ceil("_place")
+    found = ends.groupBy(*keys).agg(
+        F.max("_place").alias("_place"),
+        F.min(F.when(F.col("_end") > floor, F.struct("_end", "_x"))).alias("_a"),
+        F.min(F.when(F.col("_end") > ceil, F.struct("_end", "_x"))).alias("_b"),
+    )
+    low, high = F.col("_a._x"), F.col("_b._x")
+    return found.select(*keys, (low + (high - low) * (F.col("_place") - floor)).alias("_value"))
+
+
+def group_quantiles(df: DataFrame, by: Iterable[str], columns: Mapping[str, Iterable[float]]) -> DataFrame:
     """Linearly interpolated quantiles per group.
 
     ``columns`` maps a column to its probabilities. The result has ``by`` and,
@@ -37,98 +86,43 @@ def group_quantiles(
     by = list(by)
     columns = {c: [float(p) for p in ps] for c, ps in columns.items()}
     df = df.dropna("any", subset=by) if by else df
-    targets = [(c, j, p) for c, ps in columns.items() for j, p in enumerate(ps)]
-    slack = 4.0 / accuracy
-    bounds = []
-    for c in columns:
-        bounds.append(F.count(c).alias(f"{c}_n"))
-        bounds += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-        percents = [q for _, _, p in (t for t in targets if t[0] == c) for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
-        bounds.append(F.percentile_approx(c, percents, accuracy).alias(f"{c}_sketch"))
-    brackets = df.groupBy(*by).agg(*bounds)
-    for c, j, _ in targets:
-        # A group no larger than the sketch's resolution is kept whole.
-        whole = F.col(f"{c}_n") <= accuracy
-        brackets = brackets.withColumns(
-            {
-                f"{c}_lo{j}": F.when(whole, F.col(f"{c}_min")).otherwise(F.col(f"{c}_sketch")[2 * j]),
-                f"{c}_hi{j}": F.when(whole, F.col(f"{c}_max")).otherwise(F.col(f"{c}_sketch")[2 * j + 1]),
-            }
-        )
-    brackets = keep(brackets.drop(*[f"{c}_sketch" for c in columns]), "brackets")
-
-    numbers = [f"{c}_n" for c in columns]
-    largest = brackets.agg(F.max(F.greatest(F.lit(0), *numbers))).first()[0]
-    if (largest or 0) <= accuracy:
-        return _by_builtin(df, by, columns)
-
-    slim = df.select(*by, *columns)
-    if by:
-        joined = slim.join(brackets, by)
-        bracket = F.col
-    else:
-        row = brackets.first()  # one row of bounds
-        joined, bracket = slim, lambda name: F.lit(row[name])
-    rows = []
-    for i, (c, j, _) in enumerate(targets):
-        x, lo, hi = F.col(f"`{c}`"), bracket(f"{c}_lo{j}"), bracket(f"{c}_hi{j}")
-        inside = F.when((x >= lo) & (x <= hi), x)
-        rows.append(
-            F.when(x <= hi, F.struct(F.lit(i).alias("target"), inside.cast("double").alias("x")))
+    wanted = [(i, j, p) for i, ps in enumerate(columns.values()) for j, p in enumerate(ps)]
+    cells = [F.struct(F.lit(i).alias("_column"), clean(F.col(f"`{c}`").cast("double")).alias("_x")) for i, c in enumerate(columns)]
+    values = df.select(*by, F.inline(F.array(*cells)))
+    groups = keep(_sketched(values, by), "sketches")
+    values = values.filter("_x is not null")
+    listed = F.array(*[F.struct(F.lit(i).alias("_of"), F.lit(j).alias("_target"), F.lit(p).alias("_p")) for i, j, p in wanted])
+    place = F.col("_p") * (F.col("_n") - 1)
+    step = F.col("_p") * STEPS
+    # A rank of a small group lies between two of its values, which may be steps apart.
+    spare = SLACK + F.ceil(2 * STEPS / F.col("_n"))
+
+    def at(number: Column) -> Column:
+        return F.element_at("_grid", (F.least(F.greatest(number, F.lit(0)), F.lit(STEPS)) + 1).cast("int"))
+
+    targets = (
+        groups.filter("_n > 0")
+        .select(*by, "_column", "_n", "_grid", F.inline(listed))
+        .filter("_of = _column")
+        .select(
+            *by, "_column", "_target", place.alias("_place"),
+            at(F.floor(step) - spare).alias("_low"),
+            at(F.ceil(step) + spare).alias("_high"),
+            F.element_at("_grid", 1).alias("_least"), F.element_at("_grid", -1).alias("_most"),
         )
-    counts = (
-        joined.select(*by, F.explode(F.array_compact(F.array(*rows))).alias("e"))
-        .select(*by, "e.target", "e.x")
-        .groupBy(*by, "target", "x")
-        .count()
     )
-    # x is NULL for everything below the bracket and sorts first.
-    order = Window.partitionBy(*by, "target").orderBy(F.asc_nulls_first("x"))
-    ends = counts.withColumn("end", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = F.lit(None)
-    places = F.lit(None)
-    for i, (c, _, p) in enumerate(targets):
-        sizes = F.when(F.col("target") == i, bracket(f"{c}_n")).otherwise(sizes)
-        places = F.when(F.col("target") == i, F.lit(p)).otherwise(places)
-    if by:
-        ends = ends.join(brackets.select(*by, *[f"{c}_n" for c in columns]), by)
-    place = places * (sizes - 1)
-    floor, ceil = F.floor("place"), F.ceil("place")
-    found = (
-        ends.withColumn("place", place)
-        .groupBy(*by, "target")
-        .agg(
-            F.max("place").alias("place"),
-            F.min(F.when(F.col("end") > floor, F.struct("end", "x"))).alias("low"),
-            F.min(F.when(F.col("end") > ceil, F.struct("end", "x"))).alias("high"),
-        )
+    targets = keep(targets, "targets")
+    found = keep(_ranked(values, targets, by), "quantiles")
+    missed = found.filter("_value is null").drop("_value")
+    if not missed.isEmpty():  # a sketch was off by more than it should be: these look at all values
+        whole = targets.join(missed, missed.columns).withColumns({"_low": F.col("_least"), "_high": F.col("_most")})
+        found = found.filter("_value is not null").unionByName(keep(_ranked(values, whole, by), "quantiles"))
+    sizes = groups.select(*by, "_column", F.lit(-1).alias("_target"), F.col("_n").cast("double").alias("_value"))
+    cell = lambda i, j: F.max(F.when((F.col("_column") == i) & (F.col("_target") == j), F.col("_value")))
+    return found.unionByName(sizes).groupBy(*by).agg(
+        *[F.coalesce(cell(i, -1), F.lit(0.0)).cast("bigint").alias(f"{c}_n") for i, c in enumerate(columns)],
+        *[cell(i, j).alias(f"{c}_q{j}") for i, (c, ps) in enumerate(columns.items()) for j in range(len(ps))],
     )
-    low, high = F.col("low.x"), F.col("high.x")
-    value = F.when(
-        low.isNull() | high.isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-    ).otherwise(low + (high - low) * (F.col("place") - floor))
-    found = found.select(*by, "target", value.alias("value"))
-    wide = found.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("target") == i, F.col("value"))).alias(f"{c}_q{j}")
-            for i, (c, j, _) in enumerate(targets)
-        ]
-    )
-    outputs = [f"{c}_q{j}" for c, j, _ in targets]
-    if by:
-        return brackets.select(*by, *numbers).join(wide, by, "left").select(*by, *numbers, *outputs)
-    values = wide.select(F.struct(*outputs)).scalar()
-    return brackets.select(*numbers, values.alias("v")).select(*numbers, "v.*")
-
-
-def _by_builtin(df: DataFrame, by: list[str], columns: dict[str, list[float]]) -> DataFrame:
-    """The same result when no group has more values than one task may hold."""
-    aggs = []
-    for c, ps in columns.items():
-        aggs += [F.count(c).alias(f"{c}_n"), F.percentile(c, ps).alias(f"{c}_q")]
-    found = df.groupBy(*by).agg(*aggs)
-    values = [F.col(f"{c}_q")[j].alias(f"{c}_q{j}") for c, ps in columns.items() for j in range(len(ps))]
-    return found.select(*by, *[f"{c}_n" for c in columns], *values)
 
 
 def median_mad(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:

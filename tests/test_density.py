@@ -134,3 +134,16 @@ def test_hierarchy_tables(tables):
     inner = tree[tree["is_cluster"]].groupby("parent").size()
     assert (inner >= 2).all() and (tree[tree["is_cluster"]]["child_size"] >= 5).all()
     assert clusters[clusters["parent"].isna()]["size"].item() == n
+
+
+def test_copies_are_neighbours(spark):
+    """Rows at 0, 0, 0 and 1: a copy's nearest rows are the other copies, by id."""
+    df = spark.createDataFrame([(5, [0.0]), (2, [0.0]), (7, [0.0]), (1, [1.0])], "row_id long, features array<double>")
+    found = {}
+    for r in neighbours.knn(df, 2).orderBy("row_id", "rank").collect():
+        found.setdefault(r.row_id, []).append((r["rank"], r.neighbor_id, r.dist))
+    assert found == {
+        2: [(1, 5, 0.0), (2, 7, 0.0)], 5: [(1, 2, 0.0), (2, 7, 0.0)], 7: [(1, 2, 0.0), (2, 5, 0.0)], 1: [(1, 2, 1.0), (2, 5, 1.0)]
+    }
+    weights = {(r.row_id, r.neighbor_id): r.weight for r in neighbours.mutual_reachability(df, 2).collect()}
+    assert weights[(2, 5)] == 0.0 and weights[(1, 2)] == 1.0 and len(weights) == 8

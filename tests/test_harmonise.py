@@ -138,3 +138,34 @@ def test_member_helpers(spark):
     check = members.members_only_check(df).first()
     assert (check.all_members, check.any_member) == (False, True)
     assert [r.row_id for r in members.export_members_ranked(df).collect()] == [1, 2]
+
+
+def test_repeated_keys_are_refused(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "row_id long")
+    once = spark.createDataFrame([(1, 0, 0.9), (2, -1, 0.0)], "row_id long, cluster int, prob double")
+    assert members.attach_cluster(rows, once).count() == 2
+    for labels in (once.union(once.limit(1)), once.filter("row_id = 1"), once.withColumn("row_id", F.col("row_id") + 1)):
+        with pytest.raises(ValueError):
+            members.attach_cluster(rows, labels)
+    with pytest.raises(ValueError):
+        members.attach_cluster(rows.union(rows), once)
+    with pytest.raises(ValueError):
+        members.reattach_all_rows(rows, once.union(once))
+
+
+def test_nan_is_no_member(spark):
+    df = spark.createDataFrame([(1, 0, float("nan")), (2, 0, 0.9)], "row_id long, cluster int, prob double")
+    chosen = spark.createDataFrame([(0,)], "label int")
+    for flagged, flag in (
+        (members.with_members(df), "is_member"), (harmonise.alias_harmonise(df), "is_member"),
+        (members.flag_target_cluster(df, chosen), "is_target"),
+    ):
+        assert {r.row_id: r[flag] for r in flagged.collect()} == {1: False, 2: True}
+
+
+def test_member_columns_in_order(spark):
+    names = ["cluster", "prob", "g", "ruwe", "M_G", "color", "pmdec", "pmra", "parallax", "dec", "ra", "source_id"]
+    df = spark.range(1).select(*[F.lit(1.0).alias(c) for c in names], F.lit(True).alias("is_member"))
+    assert members.export_members_ranked(df, "source_id").columns == [
+        "source_id", "ra", "dec", "parallax", "pmra", "pmdec", "color", "M_G", "ruwe", "prob", "cluster"
+    ]

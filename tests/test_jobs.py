@@ -49,8 +49,18 @@ def test_from_files_to_figures(spark, tmp_path):
     assert {"condensed_tree", "cmd_members_vs_valid", "radial_profile_members", "panel_cluster"} <= set(written)
     assert spark.read.parquet(written["sky_scatter_all"]).filter("source = 'catalog'").count() == 199
     assert {r.cluster for r in spark.read.parquet(written["panel_labels"]).collect()} == {0, 1}
+    assert {"panel_cluster_sky", "panel_cluster_cmd", "members_only_check"} <= set(written)
+    assert checked["silhouette"].first().n_scored == checked["labelled"].filter("cluster >= 0").count()
+
+    # Inputs are found; without members there are no box and violin tables.
+    none = spark.read.parquet(f"{processed}/clustered.parquet").withColumn("is_member", F.lit(False))
+    none.write.parquet(str(tmp_path / "alone" / "clustered.parquet"))
+    found = {r.name for r in jobs.job_report(spark, None, str(tmp_path / "more"), processed=str(tmp_path / "alone")).collect()}
+    assert "cmd_members_vs_valid" in found and not {"box_by_cluster_members", "violin_by_cluster_members"} & found
 
 
 def test_row_numbers_without_a_key(spark):
-    df = jobs.with_row_id(spark.range(100).repartition(4), None)
-    assert df.select("row_id").distinct().count() == 100
+    """Numbers are unique and depend on the rows alone, not on their files."""
+    rows = spark.range(100).select((F.col("id") % 90).alias("a"), F.lit(None).cast("string").alias("b"))
+    numbered = [sorted((r.row_id, r.a) for r in jobs.with_row_id(rows.repartition(n), None).collect()) for n in (1, 4)]
+    assert numbered[0] == numbered[1] and [i for i, _ in numbered[0]] == list(range(100))

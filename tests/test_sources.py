@@ -95,3 +95,8 @@ def test_first_existing_reference(spark, tmp_path):
     assert tables.first_existing_reference(spark, str(base)).endswith("valid_clean.csv")
     (base / "valid.csv").write_text("x")
     assert tables.first_existing_reference(spark, str(base)).endswith("valid.csv")
+
+
+def test_separators_in_quotes_do_not_count(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('"a,b,c,d";e\n1;2\n')
+    assert tables.scan_any(spark, str(tmp_path / "t.csv")).columns == ["a,b,c,d", "e"]

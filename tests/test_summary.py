@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clustercat.operators import compare, ranking, summary
+from clustercat.operators import compare, quantiles, ranking, summary
 from clustercat.operators.quantiles import group_quantiles, median_mad, robust_limits
 
 
@@ -17,18 +17,20 @@ def reference(spark):
     return spark.createDataFrame([(6.4, 20.5, -44.5)] * 20, "parallax double, pmra double, pmdec double")
 
 
-@pytest.mark.parametrize("accuracy", [20, 100_000])
-def test_quantiles_are_exact(spark, accuracy):
-    """With a coarse sketch most values lie outside the brackets; the result stays exact."""
+@pytest.mark.parametrize("steps, slack", [(512, 2), (64, 0), (2048, -30)])
+def test_quantiles_are_exact(spark, monkeypatch, steps, slack):
+    """Also where the brackets are narrow, and where they miss their ranks and all values are looked at."""
+    monkeypatch.setattr(quantiles, "STEPS", steps)
+    monkeypatch.setattr(quantiles, "SLACK", slack)
     rng = np.random.default_rng(1)
     x = np.r_[rng.lognormal(0, 2, 3000), np.full(1500, 0.25), rng.normal(50, 1, 500)]
     g = np.r_[np.zeros(4000), np.ones(997), [2, 2, 3]].astype(int)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double").repartition(5)
     ps = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
-    for r in group_quantiles(df, ["g"], {"x": ps}, accuracy).collect():
+    for r in group_quantiles(df, ["g"], {"x": ps}).collect():
         assert r.x_n == (g == r.g).sum()
         np.testing.assert_allclose([r[f"x_q{i}"] for i in range(len(ps))], np.quantile(x[g == r.g], ps), rtol=1e-12)
-    r = group_quantiles(df, [], {"x": ps}, accuracy).first()
+    r = group_quantiles(df, [], {"x": ps}).first()
     np.testing.assert_allclose([r[f"x_q{i}"] for i in range(len(ps))], np.quantile(x, ps), rtol=1e-12)
 
 
@@ -108,3 +110,16 @@ def test_top_clusters(spark):
     assert [r.cluster for r in ranking.top_clusters(df, 3).collect()] == [1, 2, 0, -1]
     assert ranking.largest_cluster(df).first().cluster == 1
     assert [r.cluster for r in ranking.panel_labels(df, [3, -1, 8]).collect()] == [-1, 3]
+
+
+def test_target_without_labels(spark, labelled, reference):
+    r = compare.choose_target_cluster(labelled.drop("cluster"), reference).first()
+    assert (r.label, r.method, r.score) == (None, None, None)
+
+
+def test_samples_are_the_same_each_time(spark):
+    df = spark.range(5000).withColumnRenamed("id", "row_id").withColumn("g", F.col("row_id") % 3)
+    once = {r.row_id for r in ranking.sample_rows(df, 50).collect()}
+    assert len(once) == 50 and once == {r.row_id for r in ranking.sample_rows(df.repartition(9), 50).collect()}
+    by = ranking.sample_rows(df, 40, by="g").groupBy("g").count().collect()
+    assert [r["count"] for r in by] == [40, 40, 40]
