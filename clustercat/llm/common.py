@@ -37,6 +37,16 @@ def located(df: DataFrame) -> DataFrame:
     return source.withColumns({"_cc_file": F.xxhash64(meta["file_path"]), "_cc_row": meta["row_index"]})
 
 
+def small_batches(df: DataFrame, size: str = "8m") -> None:
+    """Let Arrow batches of long texts be small, unless the session sets their size.
+
+    A worker holds a batch, and what it makes of it, at a time; so does the executor, outside its heap.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) in ("67108864", "67108864b", "64m"):  # Spark's own value
+        conf.set(name, size)
+
+
 def quoted(columns: list[str]) -> list[Column]:
     """Columns by names that may hold dots or backticks."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in columns]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import sampled
+from clustercat.llm.common import sampled, small_batches
 from clustercat.storage import keep
 
 BUCKETS = 1 << 15
@@ -179,6 +179,7 @@ def identify(
     repeated rows are rows of their own; other columns are ignored. Empty
     tables give no rows, and without a labelled document ``lang`` is null.
     """
+    small_batches(docs)
     langs, model = fit_text_model(docs, "text", "lang", bound, doc_id)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     one = docs.select(

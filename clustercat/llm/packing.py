@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import positions, word_blocks
+from clustercat.llm.common import positions, small_batches, word_blocks
 from clustercat.storage import keep
 
 CAPACITY = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 _ascii_parts = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -145,6 +145,7 @@ def pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, ca
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
 
+    small_batches(docs)
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(convert, f"id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import located
+from clustercat.llm.common import located, small_batches
 
 ROUNDS = 10
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -280,6 +280,7 @@ def pseudonymise_documents(
             arrays = [pa.array(texts, pa.string()), pa.array(found, values)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*batch.schema.names[1:], "text", "values"])
 
+    small_batches(docs)
     source = located(docs.select(F.col(text_column).cast("string").alias("text"), F.col(id_column).alias("id")))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, _cc_file long, _cc_row long, text string, values array<struct<kind string, start int, length int>>"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import located, sampled, word_blocks
+from clustercat.llm.common import located, sampled, small_batches, word_blocks
 from clustercat.storage import keep
 
 CACHE_WORDS = 200_000
@@ -180,6 +180,7 @@ def fit(
     lexicon_size: int = 20_000,
 ) -> QualityModel:
     """Fit on about ``bound`` labelled documents: words from one half of them, models on the other."""
+    small_batches(docs)
     sample = keep(labelled_sample(docs, labels, id_column, text_column, bound), "quality-sample")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import located, word_blocks
+from clustercat.llm.common import located, small_batches, word_blocks
 from clustercat.operators.density.components import connected_components
 from clustercat.storage import keep
 
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, text: str, columns: list[str], width: int = 3)
             columns_out = [*batch.columns[1:], pa.array(values.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns_out, [*batch.schema.names[1:], "fp"])
 
+    small_batches(docs)
     source = docs.select(F.col(text).cast("string").alias("_text"), *columns)
     schema = source.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
     return source.mapInArrow(convert, schema)

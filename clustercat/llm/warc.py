@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import filed, located
+from clustercat.llm.common import filed, located, small_batches
 from clustercat.storage import keep, new_path
 
 CHUNK = 256 << 10
@@ -203,6 +203,7 @@ def archive_pages(
     characters and blanks in a url become ``%20``. Repeated rows are records of
     their own; an empty table gives no archive and no rows; other columns are ignored.
     """
+    small_batches(pages)
     pages = filed(pages)
     folder = new_path(spark, "warc")
     folder = folder if ":" in folder else f"file://{folder}"
