@@ -106,5 +106,5 @@ def export_members(df: DataFrame, flag: str = "is_member") -> DataFrame:
 
 def export_members_ranked(df: DataFrame, key: str = "row_id") -> DataFrame:
     """Members in fixed column order, most probable first."""
-    columns = [c for c in (key, *MEMBER_COLUMNS) if c in df.columns]
+    columns = [c for c in dict.fromkeys((key, *MEMBER_COLUMNS)) if c in df.columns]
     return df.filter("is_member").select(*columns).orderBy(F.desc_nulls_last("prob"), key)
