@@ -27,7 +27,7 @@ from clustercat.llm.common import positions, small_batches, word_blocks
 from clustercat.storage import keep
 
 CAPACITY = 2048
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 
 
 _ascii_parts = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -41,8 +41,6 @@ def _parts(word: bytes) -> list[str]:
     """
     if b"'" in word or b"<|" in word:
         return [word.decode()]
-    if word.isalpha():  # of bytes: a to z only
-        return [word.lower().decode()]
     if word.isascii():
         return _ascii_parts.findall(word.lower().decode())
     text = word.decode()
@@ -71,26 +69,34 @@ class WordTokens:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _code(self, parts: list[str]) -> None:
-        """Remember the ids of new parts. Runs of a to z are coded together, as each is one word with one end."""
-        runs = [p for p in parts if p.isascii() and p.isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-        data = ids.tobytes()
-        for part, start, stop in zip(runs, [0, *stops], stops):
-            self.parts[part] = data[start:stop]
-        rest = [p for p in parts if p not in self.parts]
-        for part, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[part] = np.array(coded.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = [_parts(w) for w in words]
-        unknown = list({p for parts in split for p in parts if p not in self.parts})
-        for at in range(0, len(unknown), 10_000):
-            self._code(unknown[at : at + 10_000])
+    def _code_runs(self, runs: list[str]) -> None:
+        """Remember the ids of new runs of a to z, coded together as each is one word with one end."""
+        for at in range(0, len(runs), 10_000):
+            part = runs[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.parts.update(zip(part, (data[i:j] for i, j in zip([0, *stops], stops))))
+
+    def _code_others(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 10_000):
+            part = parts[at : at + 10_000]
+            for name, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.parts[name] = np.array(coded.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if w.isalpha()]  # of bytes: a to z in either case
+        names = [w.lower().decode() for w in plain]
+        mixed = [w for w in words if not w.isalpha()]
+        split = [_parts(w) for w in mixed]
+        pieces = {p for parts in split for p in parts}
+        runs = {p for p in pieces if p.isascii() and p.isalpha()}
+        self._code_runs(list(runs.union(names).difference(self.parts)))
+        self._code_others(list((pieces - runs).difference(self.parts)))
         known = self.parts
-        for word, parts in zip(words, split):
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        self.words.update(zip(plain, map(known.__getitem__, names)))
+        for word, parts in zip(mixed, split):
+            self.words[word] = b"".join([known[p] for p in parts])
 
     def encode(self, text: bytes) -> Iterator[bytes]:
         """The ids of a text in order, as pieces of bounded size of their bytes."""
@@ -100,7 +106,7 @@ class WordTokens:
             if max(len(self.words), len(self.parts)) > CACHE_WORDS:
                 self.words, self.parts = {}, {}
             if new := set(words).difference(self.words):
-                self._learn(list(new))
+                self._learn(new)
             yield b"".join(map(self.words.__getitem__, words))
 
 
