@@ -27,7 +27,7 @@ from clustercat.llm.common import positions, small_batches, word_blocks
 from clustercat.storage import keep
 
 CAPACITY = 2048
-CACHE_WORDS = 1_000_000
+REMEMBERED_WORDS = 1_000_000
 
 
 _ascii_parts = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -54,11 +54,12 @@ class WordTokens:
     The vocabulary's pre-tokenizer takes runs of letters, single digits and runs of other
     characters apart and writes all in lower case, so a word is put together from the ids of such
     parts where it surely falls apart that way (see :func:`_parts`). Ids are kept as the bytes of
-    little-endian 32-bit numbers. Words and parts are remembered, up to ``CACHE_WORDS`` each;
+    little-endian 32-bit numbers. Words and parts are remembered, up to ``remembered`` each;
     then the memory starts anew.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,7 +104,7 @@ class WordTokens:
         if text.isascii() and b"<|" not in text:
             text = text.lower()
         for words in word_blocks(text):
-            if max(len(self.words), len(self.parts)) > CACHE_WORDS:
+            if max(len(self.words), len(self.parts)) > self.remembered:
                 self.words, self.parts = {}, {}
             if new := set(words).difference(self.words):
                 self._learn(new)
@@ -113,18 +114,20 @@ class WordTokens:
 _tokens: dict[str, WordTokens] = {}
 
 
-def tokens_of(path: str) -> WordTokens:
+def tokens_of(path: str, remembered: int) -> WordTokens:
     """The worker's tokenizer for a vocabulary file, made once."""
     if path not in _tokens:
-        _tokens[path] = WordTokens(path)
+        _tokens[path] = WordTokens(path, remembered)
     return _tokens[path]
 
 
-def pieces(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(
+    docs: DataFrame, id_column: str, text_column: str, tokenizer: str, capacity: int, remembered: int, end_id: int = 0
+) -> DataFrame:
     """``id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, cut at multiples of ``capacity``."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(tokenizer)
+        tokens = tokens_of(tokenizer, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -224,15 +227,16 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     capacity: int = CAPACITY,
+    remembered: int = REMEMBERED_WORDS,
 ) -> DataFrame:
     """One row per piece: ``id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``tokenizer`` is the path of a vocabulary file that every worker has, whose pre-tokenizer
-    separates at white space. Null texts are empty: one piece with the end id alone. Texts of more
+    separates at white space; a worker remembers the ids of ``remembered`` words. Null texts are empty: one piece with the end id alone. Texts of more
     than ``capacity`` ids are cut, and only those. Repeated rows and ids are texts of their
     own; a null id stays null; an empty table gives no rows; other columns are ignored.
     """
-    cut = keep(pieces(docs, id_column, text_column, tokenizer, capacity), "pieces")
+    cut = keep(pieces(docs, id_column, text_column, tokenizer, capacity, remembered), "pieces")
     # One row for each length: at most ``capacity`` rows, whatever the corpus.
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     places = _places(bin_patterns(histogram, capacity))

@@ -56,7 +56,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in the training sequences."""
-    return pack(docs, word_vocabulary(), capacity=2048).withColumnRenamed("id", "doc_id")
+    # Workers still hold what earlier stages remember, so this one remembers less.
+    return pack(docs, word_vocabulary(), capacity=2048, remembered=400_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

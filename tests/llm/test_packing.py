@@ -57,9 +57,8 @@ def test_odd_rows(shipped, tokenizer):
     assert packing.pack(no_documents(shipped), word_vocabulary()).count() == 0
 
 
-def test_words_give_the_ids_of_the_whole_text(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
-    words = packing.WordTokens(word_vocabulary())
+def test_words_give_the_ids_of_the_whole_text(tokenizer):
+    words = packing.WordTokens(word_vocabulary(), remembered=300)
     draw = random.Random(1)
     signs = [*"aAbBzZ09 \t\n'.,!?<|>éÉǰŹσΣςİß  日本😀_-/\\&́̌", "'s", "'LL", "<|endoftext|>", "J̌", "Å"]
     for _ in range(3000):
