@@ -11,10 +11,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from clustercat.llm.common import located, small_batches
 
 ROUNDS = 10
+# With more free characters than this a value is permuted place by place, in linear time.
+LONG = 128
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -71,18 +75,17 @@ class Permutation:
     """
 
     def __init__(self, key: bytes, name: str, size: int):
-        self.size, self.half = size, 1
-        root = int(size**0.5)
-        while root * root < size:
-            root += 1
-        while root > 1 and (root - 1) ** 2 >= size:
-            root -= 1
-        self.half = root
+        root = math.isqrt(size)
+        self.size, self.half = size, root + (root * root < size)
         self.key, self.name = key, name.encode()
+        # One digest is enough for short halves; a wider one needs more of them, or its upper part would stay.
+        self.digests = max(1, -(-((self.half - 1).bit_length() + 64) // 256))
 
     def _round(self, number: int, side: int) -> int:
         message = b"%b|%d|%d|%d" % (self.name, self.size, number, side)
-        return int.from_bytes(hmac.new(self.key, message, hashlib.sha256).digest(), "big")
+        parts = [hmac.new(self.key, message, hashlib.sha256).digest()]
+        parts += [hmac.new(self.key, b"%b|%d" % (message, n), hashlib.sha256).digest() for n in range(1, self.digests)]
+        return int.from_bytes(b"".join(reversed(parts)), "big")
 
     def _forward(self, value: int) -> int:
         while True:
@@ -109,6 +112,29 @@ class Permutation:
         return self._backward((self._forward(value) - 1) % self.size)
 
 
+def _permute_places(key: bytes, name: str, places: np.ndarray, sizes: np.ndarray, back: bool) -> np.ndarray:
+    """Keyed permutation of all rows of numbers below ``sizes``, without fixed points, in time linear in their count.
+
+    The network's halves are those of the row, and a round adds to each place of one half a number drawn from the
+    other half. Between the network and its inverse the first place takes one step.
+    """
+    cut = len(places) // 2
+    sides = (slice(0, cut), slice(cut, None))
+
+    def network(row: np.ndarray, inverse: bool) -> np.ndarray:
+        row = row.copy()
+        for number in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+            to, of = sides[number % 2], sides[1 - number % 2]
+            seed = hmac.new(key, b"%b|places|%d|%b" % (name.encode(), number, row[of].astype(np.uint8).tobytes()), hashlib.sha256)
+            drawn = np.frombuffer(hashlib.shake_256(seed.digest()).digest(8 * len(row[to])), "<u8") % sizes[to].astype(np.uint64)
+            row[to] = (row[to] + (-1 if inverse else 1) * drawn.astype(np.int64)) % sizes[to]
+        return row
+
+    row = network(places, False)
+    row[0] = (row[0] + (-1 if back else 1)) % sizes[0]
+    return network(row, True)
+
+
 def _alphabets(value: str, hexadecimal: bool = False) -> list[str | None]:
     """The characters that may stand at each place; None where the value's own stays."""
     if hexadecimal and all(c in HEX for c in value):
@@ -118,14 +144,23 @@ def _alphabets(value: str, hexadecimal: bool = False) -> list[str | None]:
 
 
 def permute_text(key: bytes, name: str, value: str, alphabets: list[str | None], back: bool = False) -> str:
-    """The value with its free characters permuted as one number of mixed radix."""
+    """The value with its free characters permuted as one number of mixed radix, or as places if they are many."""
+    layout = "".join("-" if a is None else a[0] for a in alphabets)
+    free = [i for i, a in enumerate(alphabets) if a]
+    if len(free) > LONG:
+        places = np.array([alphabets[i].index(value[i]) for i in free], np.int64)
+        sizes = np.array([len(alphabets[i]) for i in free], np.int64)
+        out = list(value)
+        for i, place in zip(free, _permute_places(key, name + layout, places, sizes, back).tolist()):
+            out[i] = alphabets[i][place]
+        return "".join(out)
     rank, size = 0, 1
     for c, alphabet in zip(value, alphabets):
         if alphabet:
             rank, size = rank * len(alphabet) + alphabet.index(c), size * len(alphabet)
     if size < 2:
         return value
-    permutation = Permutation(key, name + "".join("-" if a is None else a[0] for a in alphabets), size)
+    permutation = Permutation(key, name + layout, size)
     rank = permutation.undo(rank) if back else permutation.apply(rank)
     out = []
     for c, alphabet in zip(reversed(value), reversed(alphabets)):
@@ -246,7 +281,9 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     for m in PATTERN.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         start, end = m.span("secret_value") if kind == "secret" else m.span()
-        new = pseudonym(key, kind, text[start:end], back)
+        # A long value isn't remembered.
+        make = pseudonym if end - start <= 2 * LONG else pseudonym.__wrapped__
+        new = make(key, kind, text[start:end], back)
         if new is None:
             continue
         out += [text[at:start], new]

@@ -96,3 +96,34 @@ def test_odd_rows(shipped):
     rows = P.pseudonymise_documents(odd_documents(shipped), KEY).collect()
     assert sorted(str(r["text"]) for r in rows) == sorted(str(r["text"]) for r in odd_documents(shipped).collect())
     assert P.pseudonymise_documents(no_documents(shipped), KEY).count() == 0
+
+
+LETTERS = "a0Zb9Yc1Xd8We2Vf7Ug3Th6Si4Rj5QkPlOmNnMoLpKqJrIsHtGuFvEwDxCyBzA"
+
+
+@pytest.mark.parametrize("size", [36, 64, 128, 129, 1000, 100_000])
+@pytest.mark.parametrize("kind, start", [("token", "ghp_"), ("secret", "token="), ("email", "")])
+def test_long_values_are_replaced_whole_and_come_back(kind, start, size):
+    if kind == "email" and size > 64:
+        pytest.skip("the part before @ has at most 64 characters")
+    value = (LETTERS * (size // len(LETTERS) + 1))[:size]
+    text = f"a {start}{value}{'@mail.example.com' if kind == 'email' else ''} z"
+    new, spans = P.pseudonymise(text, KEY)
+    assert [s[0] for s in spans] == [kind] and len(new) == len(text)
+    assert P.pseudonymise(new, KEY, back=True)[0] == text
+    # Every part of the value is replaced, not only its end.
+    made = new[2 + len(start) :][:size]
+    for at in range(0, size - 17, 16):
+        assert sum(a == b for a, b in zip(value[at : at + 16], made[at : at + 16])) < 12
+    assert sum(a == b for a, b in zip(value, made)) < 0.3 * size
+
+
+def test_long_hexadecimal_secrets_and_sizes_that_are_no_squares():
+    value = "0123456789abcdef" * 40
+    new = P.pseudonymise(f"secret={value}", KEY)[0]
+    assert new != f"secret={value}" and set(new[7:]) <= set(P.HEX)
+    assert P.pseudonymise(new, KEY, back=True)[0] == f"secret={value}"
+    for size in (26**36, 26**64, 26**230):
+        permutation = P.Permutation(KEY, "x", size)
+        assert (permutation.half - 1) ** 2 < size <= permutation.half**2
+        assert permutation.undo(permutation.apply(size - 1)) == size - 1
