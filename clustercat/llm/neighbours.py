@@ -2,9 +2,13 @@
 
 Every curve has its own random projection and shift. The rows are range-partitioned by
 their key on each curve and numbered along it; a window is a run of ``window`` rows.
-A query is compared with its own window and the two beside it on every curve, and the
-nearest rows of all the curves are merged. Windows hold a fixed number of rows, so no
+A query is compared with its own window and those up to ``reach`` beside it on every curve,
+and the nearest rows of all the curves are merged. Windows hold a fixed number of rows, so no
 key value and no dense region makes one task larger than another.
+
+How far to reach depends on the rows: the more of them and the less structure, the farther
+neighbours lie apart on the curves. So some queries are compared with all rows first, and
+the reach is the least at which the curves find the wanted share of those true neighbours.
 """
 
 from __future__ import annotations
@@ -65,6 +69,49 @@ def curve_keys(points: DataFrame, size: int, fitted: list, bits: int) -> DataFra
     return points.select("point", "vector").mapInArrow(convert, "point long, curve int, key long")
 
 
+def true_neighbours(points: DataFrame, trial: dict[int, list[float]], size: int, k: int) -> dict[int, list[int]]:
+    """The ``k`` other points nearest to each point of ``trial``, compared with all points; one pass, for few points."""
+    names = np.array(list(trial), np.int64)
+    y = np.array(list(trial.values()), float).reshape(-1, size)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, apart = np.zeros((len(y), 0), np.int64), np.zeros((len(y), 0))
+        for batch in batches:
+            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1), size)
+            for at in range(0, len(x), 1024):
+                new, part = own[at : at + 1024], x[at : at + 1024]
+                far = np.stack([((part - q) ** 2).sum(axis=1) for q in y])
+                far[names[:, None] == new[None, :]] = np.inf
+                apart = np.hstack([apart, far])
+                ids = np.hstack([ids, np.broadcast_to(new, far.shape)])
+                best = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                apart, ids = np.take_along_axis(apart, best, axis=1), np.take_along_axis(ids, best, axis=1)
+        found = np.isfinite(apart)
+        arrays = [np.repeat(names, ids.shape[1])[found.ravel()], ids[found], apart[found]]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query", "point", "score"])
+
+    found = points.select("point", "vector").mapInArrow(nearest, "query long, point long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))
+    truth: dict[int, list[int]] = {}
+    for r in found.withColumn("n", rank).filter(F.col("n") <= k).collect():  # k rows for each point of the trial
+        truth.setdefault(r["query"], []).append(r["point"])
+    return truth
+
+
+def fit_reach(points: DataFrame, ordered: DataFrame, seeds: DataFrame, size: int, k: int, recall: float, trials: int, seed: int) -> int:
+    """The least reach, 1 or more, at which about ``trials`` of the asked points find the share ``recall`` of their neighbours."""
+    trial = {r["point"]: r["vector"] for r in sampled(seeds.select("point", "vector"), trials, "point", seed=seed).collect()}
+    truth = true_neighbours(points, trial, size, k) if trial else {}
+    wanted = sorted(set(truth) | {p for found in truth.values() for p in found})
+    places: dict[int, dict[int, int]] = {}
+    for r in ordered.filter(F.col("point").isin(wanted)).collect() if wanted else []:  # bounded by the trial
+        places.setdefault(r["point"], {})[r["curve"]] = r["win"]
+    apart = [
+        min(abs(win - places[p][curve]) for curve, win in places[query].items()) for query, found in truth.items() for p in found
+    ]
+    return max(1, sorted(apart)[int(np.ceil(recall * len(apart))) - 1]) if apart else 1
+
+
 def _nearest_in_window(size: int, wanted: int):
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         found_q, found_p, found_d = [], [], []
@@ -100,6 +147,8 @@ def nearest_neighbours(
     bits: int = 6,
     sample_rows: int = 10_000,
     seed: int = 11,
+    recall: float = 0.95,
+    trials: int = 200,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows nearest to each row that ``queries`` selects, as far as found.
 
@@ -110,6 +159,9 @@ def nearest_neighbours(
     with the same vector one takes part; an id with several vectors takes part once,
     with its smallest vector. An empty table gives no rows; other columns are ignored.
 
+    The windows beside a query's own that are searched are as many as find the share ``recall`` of the
+    true neighbours of about ``trials`` queries, at any number of rows (:func:`fit_reach`).
+
     Equal vectors are one point on the curves, carrying its ``k + 1`` smallest ids,
     which are all that any answer can need.
     """
@@ -142,8 +194,11 @@ def nearest_neighbours(
     late = late.join(same, ["mark", "vector"]).select("point", F.col("id").alias("query"))
     places = asked.join(of, "query").select("point", "query").unionByName(late)
     # Queries with one vector have one answer but for themselves: each asked point searches once.
-    seeds = places.select("point").distinct().join(points, "point")
-    windows = F.explode(F.array(F.col("win") - 1, F.col("win"), F.col("win") + 1)).alias("in_win")
+    seeds = keep(places.select("point").distinct().join(points, "point"), "asked-points")
+    reach = fit_reach(points, ordered, seeds, size, k, recall, trials, seed)
+    last = ordered.agg(F.coalesce(F.max("win"), F.lit(0))).first()[0]
+    first, final = F.greatest(F.col("win") - reach, F.lit(0)), F.least(F.col("win") + reach, F.lit(last))
+    windows = F.explode(F.sequence(first, final)).alias("in_win")
     probes = seeds.join(ordered, "point").select(
         F.col("point").alias("query"), "vector", F.col("curve").alias("on_curve"), windows
     )

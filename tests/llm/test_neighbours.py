@@ -59,6 +59,16 @@ def test_recall_over_many_small_windows(shipped):
     assert compare(found, ids, x, ids[ids % 50 == 0], 10) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [1500, 6000])
+def test_recall_where_the_windows_are_a_small_part_of_the_table(shipped, rows):
+    """Vectors without structure; own window and two beside find less than nine in ten."""
+    x = np.random.default_rng(2).normal(size=(rows, 16))
+    ids = np.arange(rows)
+    vectors = shipped.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    found = nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, size=16, curves=5, window=20)
+    assert compare(found, ids, x, ids[ids % 50 == 0], 10) >= 0.9
+
+
 def test_odd_rows(shipped):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(30)]  # more copies than an answer has places
