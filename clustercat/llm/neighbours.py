@@ -124,10 +124,15 @@ def _nearest_in_window(size: int, wanted: int):
             for at in range(0, len(y), 16):
                 part = y[at : at + 16]
                 apart = ((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-                best = np.argpartition(apart, keep_n - 1, axis=1)[:, :keep_n]
-                found_q.append(np.repeat(queries[at : at + 16], keep_n))
-                found_p.append(ids[best].ravel())
-                found_d.append(np.sqrt(np.take_along_axis(apart, best, axis=1)).ravel())
+                # All points up to the last distance, so that equal ones are cut by their number.
+                row, col = np.nonzero(apart <= np.partition(apart, keep_n - 1, axis=1)[:, keep_n - 1 : keep_n])
+                order = np.lexsort((ids[col], apart[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < keep_n
+                row, col = row[best], col[best]
+                found_q.append(queries[at : at + 16][row])
+                found_p.append(ids[col])
+                found_d.append(np.sqrt(apart[row, col]))
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.array([], kind))
         return pa.table({"query": join(found_q, np.int64), "point": join(found_p, np.int64), "score": join(found_d, float)})
 
@@ -153,16 +158,15 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the ``k`` rows nearest to each row that ``queries`` selects, as far as found.
 
     Nearness is Euclidean distance in double precision on the vectors as given; ties
-    go to the smaller id. A row is not its own neighbour: candidates are the rows
-    with another id. Vectors that are null, of another size, zero, or hold a null or
+    go to the smaller id. A row is not its own neighbour: candidates are all other rows. Vectors that are null, of another size, zero, or hold a null or
     non-finite component take no part, nor do null ids. Of rows that repeat an id
-    with the same vector one takes part; an id with several vectors takes part once,
-    with its smallest vector. An empty table gives no rows; other columns are ignored.
+    with the same vector one takes part; rows with one id and several vectors each take part,
+    as neighbours, also of each other, and as queries. An empty table gives no rows; other columns are ignored.
 
     The windows beside a query's own that are searched are as many as find the share ``recall`` of the
     true neighbours of about ``trials`` queries, at any number of rows (:func:`fit_reach`).
 
-    Equal vectors are one point on the curves, carrying its ``k + 1`` smallest ids,
+    Equal vectors are one point on the curves, carrying its ``k + 1`` first rows in order of id,
     which are all that any answer can need.
     """
     rows = vectors.filter(usable(F.col(vector_column), size) & F.col(id_column).isNotNull()).select(
@@ -171,28 +175,30 @@ def nearest_neighbours(
         F.transform(F.col(vector_column).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"),
         F.coalesce(queries, F.lit(False)).alias("asked"),
     )
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked"))
+    rows = rows.groupBy("id", "vector").agg(F.max("asked").alias("asked"))
+    # An id may stand for several vectors, so rows go by their number in order of id.
+    rows = positions(rows, [], ["id", "vector"]).withColumnRenamed("_pos", "row")
     rows = keep(rows.withColumn("mark", F.xxhash64("vector")), "vectors")
-    by_id = Window.partitionBy("mark", "vector").orderBy("id")
+    by_row = Window.partitionBy("mark", "vector").orderBy("row")
     # The filter on the rank is applied before the exchange too, so a common vector sends few rows.
-    least = rows.select("mark", "vector", "id", F.row_number().over(by_id).alias("n")).filter(F.col("n") <= k + 1)
+    least = rows.select("mark", "vector", "id", "row", F.row_number().over(by_row).alias("n")).filter(F.col("n") <= k + 1)
     members = keep(
-        least.withColumn("point", F.min("id").over(Window.partitionBy("mark", "vector"))).select("point", "id", "vector", "n"),
+        least.withColumn("point", F.min("row").over(Window.partitionBy("mark", "vector"))).select("point", "id", "row", "vector", "n"),
         "vector-members",
     )
     points = members.filter("n = 1").select("point", "vector")
-    asked = rows.filter("asked").select(F.col("id").alias("query"), "vector")
+    asked = rows.filter("asked").select(F.col("row").alias("query"), F.col("id").alias("query_id"), "mark", "vector")
 
     fitted = fit_curves(points, size, curves, dims, bits, sample_rows, seed)
     ordered = positions(curve_keys(points, size, fitted, bits), ["curve"], ["key", "point"])
     ordered = keep(ordered.select("point", "curve", F.floor(F.col("_pos") / window).alias("win")), "curve-windows")
     index = ordered.join(points, "point").select("curve", "win", "point", "vector")
     # A query may be a copy, so it finds its place through its vector's point.
-    of = members.select("point", F.col("id").alias("query"))
-    late = rows.filter("asked").join(of, F.col("id") == F.col("query"), "left_anti")
+    of = members.select("point", F.col("row").alias("query"))
+    late = asked.join(of, "query", "left_anti")
     same = points.withColumn("mark", F.xxhash64("vector"))
-    late = late.join(same, ["mark", "vector"]).select("point", F.col("id").alias("query"))
-    places = asked.join(of, "query").select("point", "query").unionByName(late)
+    late = late.join(same, ["mark", "vector"]).select("point", "query", "query_id")
+    places = asked.join(of, "query").select("point", "query", "query_id").unionByName(late)
     # Queries with one vector have one answer but for themselves: each asked point searches once.
     seeds = keep(places.select("point").distinct().join(points, "point"), "asked-points")
     reach = fit_reach(points, ordered, seeds, size, k, recall, trials, seed)
@@ -210,12 +216,12 @@ def nearest_neighbours(
     )
     near = Window.partitionBy("query").orderBy("score", "point")
     found = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
-    answers = found.select("query", "point", "score").join(members.select("point", "id"), "point")
-    best = Window.partitionBy("query").orderBy("score", "id")
+    answers = found.select("query", "point", "score").join(members.select("point", "id", "row"), "point")
+    best = Window.partitionBy("query").orderBy("score", "row")
     answers = answers.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    answers = keep(answers.select(F.col("query").alias("point"), "id", "score"), "point-neighbours")
-    mine = places.withColumnRenamed("query", "query_id").join(answers, "point").filter("id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    answers = keep(answers.select(F.col("query").alias("point"), "id", "row", "score"), "point-neighbours")
+    mine = places.join(answers, "point").filter("row <> query")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "row"))
     return (
         mine.withColumn("rank", rank)
         .filter(F.col("rank") <= k)

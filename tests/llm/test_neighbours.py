@@ -69,6 +69,27 @@ def test_recall_where_the_windows_are_a_small_part_of_the_table(shipped, rows):
     assert compare(found, ids, x, ids[ids % 50 == 0], 10) >= 0.9
 
 
+def test_ties_beyond_the_answer_go_to_the_smaller_id(shipped):
+    """One-hot vectors: more different ones at one distance than an answer has places."""
+    ids = np.random.default_rng(4).permutation(40)
+    rows = [(int(i), [float(j == at) for j in range(40)]) for at, i in enumerate(ids)]
+    found = nearest_neighbours(shipped.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 35, size=40)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got) == list(range(35, 40)) and all([v for _, v in sorted(g)] == list(range(10)) for g in got.values())
+
+
+def test_rows_that_share_an_id_each_take_part(shipped):
+    rows = [(1, [0.0, 1.0]), (2, [-9.0, 1.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [0.0, 4.0]), (3, [5.0, 1.0])]
+    vectors = shipped.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest_neighbours(vectors, F.col("vec_id") != 2, size=2, k=3).collect()
+    one = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 1)
+    assert one == [(1, 2, 1.0), (2, 3, 3.0), (3, 3, 5.0)]
+    three = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in found if r["query_id"] == 3)
+    assert three == [(1, 1, 5.0), (1, 2, 2.0), (2, 1, 3.0), (2, 2, 5.09902), (3, 3, 5.830952), (3, 3, 5.830952)]
+
+
 def test_odd_rows(shipped):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(30)]  # more copies than an answer has places
