@@ -26,8 +26,6 @@ from clustercat.llm.common import located, small_batches
 ROUNDS = 10
 # With more free characters than this a value is permuted place by place, in linear time.
 LONG = 128
-FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 PATTERN = re.compile(
@@ -188,6 +186,13 @@ def _number(key: bytes, name: str, value: str, fixed: int = 0, back: bool = Fals
     return _digits_again(value, digits[:fixed] + str(rank).zfill(len(free)))
 
 
+def _era(year: int) -> tuple[str, int, int]:
+    """Name, first day and number of days of the years a date is permuted within: 1900 to 2099, or its century."""
+    first, last = (1900, 2099) if 1900 <= year < 2100 else (max(year // 100 * 100, 1), year // 100 * 100 + 99)
+    day = datetime.date(first, 1, 1).toordinal()
+    return "" if first == 1900 else str(first), day, datetime.date(last, 12, 31).toordinal() + 1 - day
+
+
 def _date(key: bytes, value: str, back: bool) -> str | None:
     mark = next(c for c in value if not c.isdigit())
     parts = value.split(mark)
@@ -198,11 +203,11 @@ def _date(key: bytes, value: str, back: bool) -> str | None:
     if month_first:
         month, day = day, month
     try:
-        number = datetime.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
+        number = datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
-    if not 0 <= number < DAYS:
-        return None
+    era, first_day, days = _era(int(year))
+    number -= first_day
     # A layout is an order of the parts and whether both are two digits wide; each is permuted within itself.
     wide = len(month) == len(day) == 2
     if wide:
@@ -211,10 +216,10 @@ def _date(key: bytes, value: str, back: bool) -> str | None:
         fits = lambda d: not (len(str(d.month)) <= len(month) and len(str(d.day)) <= len(day)) or (month_first and d.day <= 12)
         if len(month) > len(str(int(month))) or len(day) > len(str(int(day))):  # a padded part keeps two digits
             fits = lambda d: not ((len(month) == 2 or d.month < 10) and (len(day) == 2 or d.day < 10)) or (month_first and d.day <= 12)
-    permutation = Permutation(key, f"date{mark}{year_first}{month_first}{len(month)}{len(day)}", DAYS)
+    permutation = Permutation(key, f"date{mark}{year_first}{month_first}{len(month)}{len(day)}{era and '|' + era}", days)
     while True:  # walk within the dates of this layout
         number = permutation.undo(number) if back else permutation.apply(number)
-        found = datetime.date.fromordinal(FIRST_DAY + number)
+        found = datetime.date.fromordinal(first_day + number)
         if not fits(found):
             break
     y, m, d = f"{found.year:04d}", str(found.month).zfill(len(month)), str(found.day).zfill(len(day))

@@ -127,3 +127,21 @@ def test_long_hexadecimal_secrets_and_sizes_that_are_no_squares():
         permutation = P.Permutation(KEY, "x", size)
         assert (permutation.half - 1) ** 2 < size <= permutation.half**2
         assert permutation.undo(permutation.apply(size - 1)) == size - 1
+
+
+@pytest.mark.parametrize("value", ["1899-05-02", "2100-01-01", "31.12.1899", "12/25/1776", "0001-01-01", "9999-12-31", "3/4/2150"])
+def test_dates_of_all_years_are_replaced(value):
+    new, spans = P.pseudonymise(f"on {value}.", KEY)
+    assert [s[0] for s in spans] == ["date"] and value not in new
+    assert P.pseudonymise(new, KEY, back=True)[0] == f"on {value}."
+    assert re.search("[0-9]{4}", new)[0][:2] == re.search("[0-9]{4}", value)[0][:2]
+
+
+def test_a_century_is_permuted_within_itself():
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(days=k) for k in range(36524)]
+    image = {P.pseudonym(KEY, "date", day.isoformat()) for day in days[::9]}
+    assert len(image) == len(days[::9]) and image <= {day.isoformat() for day in days}
+
+
+def test_dates_that_do_not_exist_stay():
+    assert P.pseudonymise("0000-01-01 and 1899-02-29", KEY) == ("0000-01-01 and 1899-02-29", [])
