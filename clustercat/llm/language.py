@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.llm.common import sampled, small_batches
+from clustercat.llm.common import small_batches
 from clustercat.storage import keep
 
 BUCKETS = 1 << 15
 BLOCK = 1 << 20
 # Trigrams overlap and words repeat, so each counts for less than an independent observation.
 TEMPER = 0.2
+# Labelled documents that each language has in the sample, if there are as many.
+LEAST = 500
 
 _dropped = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
 _tag = re.compile(r"<[^>]*>")
@@ -49,9 +51,23 @@ def trigram_counts(text: str) -> np.ndarray:
 def fit_text_model(
     docs: DataFrame, text_column: str, lang_column: str, bound: int, key: str
 ) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each trigram in each, from about ``bound`` labelled documents."""
+    """Languages, and the log probability of each trigram in each.
+
+    The languages are those of all labelled documents. Each is learnt from about its equal part of ``bound``
+    documents, or ``LEAST`` if that is more, or all if it has no more, so a rare one stays however large the table is.
+    """
+    parts = 1_000_000
     rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    rows = sampled(rows.select(F.col(key), F.col(lang_column).alias("lang"), F.col(text_column).alias("text")), bound, key)
+    rows = rows.select(F.col(key).alias("key"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(7), "key", "text"), F.lit(parts)))
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
+    if not seen:
+        return [], np.zeros((0, BUCKETS))
+    share = max(bound // len(seen), LEAST)
+    # The row that is drawn first always takes part.
+    limits = [(r["lang"], max(int(min(1.0, share / r["n"]) * parts), r["least"]) + 1) for r in seen]
+    limit = F.create_map(*(F.lit(x) for pair in limits for x in pair))
+    rows = rows.filter(F.col("draw") < limit[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -67,7 +83,7 @@ def fit_text_model(
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
     # At most BUCKETS rows for each language of the sample.
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in found})
+    langs = sorted(r["lang"] for r in seen)
     table = np.full((len(langs), BUCKETS), 0.5)
     for r in found:
         table[langs.index(r["lang"]), r["bucket"]] += r["n"]
@@ -173,7 +189,8 @@ def identify(
 ) -> DataFrame:
     """One row per document and per page: ``kind, doc_id, page_id, lang, probability, text_lang, declared``.
 
-    The text model is fitted on about ``bound`` documents with a language. A document's host is its source;
+    The text model is fitted on about ``bound`` documents with a language, shared equally by the languages of
+    all documents, and at least ``LEAST`` of each that has as many. A document's host is its source;
     it has no address and no markup. Empty and null texts get what their host and
     markup say; null sources and addresses are one host; ties go to the language first in order;
     repeated rows are rows of their own; other columns are ignored. Empty

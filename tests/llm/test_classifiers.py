@@ -98,3 +98,17 @@ def test_language_of_odd_rows(shipped):
     assert language.identify(no_documents(shipped), pages).count() == 0
     nameless = language.identify(odd_documents(shipped).filter("lang is null"), pages).collect()
     assert len(nameless) == 2 + 0 or all(r["lang"] is None for r in nameless)
+
+
+def test_a_rare_language_stays_in_a_large_table(shipped):
+    """Three labelled documents of 2003, with a sample of 20; the rare language's host has no name."""
+    texts = {"en": "the cat and the dog here {}", "fr": "le chat et le chien ici {}", "xx": "qwy zvux kjpq wxyz {}"}
+    names = ["en", "fr"] * 1000 + ["xx"] * 3
+    rows = [(k, texts[lang].format("ab" * (k % 3)), lang, lang, 9) for k, lang in enumerate(names)]
+    rows += [(k, texts["xx"].format(""), None, None, 9) for k in (5000, 5001)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    langs, model = language.fit_text_model(docs, "text", "lang", 20, "doc_id")
+    assert langs == ["en", "fr", "xx"] and np.allclose(np.exp(model).sum(axis=1), 1)
+    pages = shipped.createDataFrame([], "page_id long, url string, html string")
+    found = {r["doc_id"]: r["lang"] for r in language.identify(docs, pages, bound=20).collect()}
+    assert all(found[k] == lang for k, lang in enumerate(names)) and found[5000] == found[5001] == "xx"
