@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustercat.llm.common import located, sampled, small_batches, word_blocks
@@ -161,14 +161,17 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, bound: int) -> DataFrame:
-    """``id, text, low, toxic`` of about ``bound`` labelled documents; an id labelled twice counts by its mean."""
+    """``id, text, low, toxic`` of about ``bound`` labelled documents, one row an id; an id labelled twice counts by its mean."""
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         (F.avg("quality") < 0.5).cast("int").alias("low"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
     )
     marks = sampled(marks.filter("low is not null and toxic is not null"), bound, "doc_id")
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    # The sample is bounded, so the documents may come to it.
-    return rows.join(marks, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)))
+    names = [F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")]
+    rows = located(docs.select(*names)).join(marks, "doc_id")
+    # An id may be that of many documents: the first stands for it, so the sample is bounded.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_cc_file", "_cc_row"))
+    rows = rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_cc_file", "_cc_row")
+    return rows.withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)))
 
 
 def fit(

@@ -112,3 +112,11 @@ def test_a_rare_language_stays_in_a_large_table(shipped):
     pages = shipped.createDataFrame([], "page_id long, url string, html string")
     found = {r["doc_id"]: r["lang"] for r in language.identify(docs, pages, bound=20).collect()}
     assert all(found[k] == lang for k, lang in enumerate(names)) and found[5000] == found[5001] == "xx"
+
+
+def test_an_id_of_many_documents_is_one_row_of_the_sample(shipped):
+    docs, labels = synthetic(shipped, 60)
+    many = docs.unionByName(docs.filter("doc_id = 7").drop("doc_id", "text").selectExpr(
+        "explode(sequence(1, 500)) as k", "*").selectExpr("7L as doc_id", "concat('copy ', k) as text", "lang", "source", "n_chars"))
+    sample = quality.labelled_sample(many, labels, "doc_id", "text", 1000).collect()
+    assert sorted(r["doc_id"] for r in sample) == list(range(60))
