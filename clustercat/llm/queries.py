@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clustercat.llm.alignment import link_counts
 from clustercat.llm.chat import format_chat, read_back
+from clustercat.llm.decontamination import find_contamination
 from clustercat.llm.exact_dedup import exact_groups
 from clustercat.llm.language import identify
 from clustercat.llm.mixing import mix, taken_words
@@ -15,6 +17,7 @@ from clustercat.llm.neighbours import nearest_neighbours
 from clustercat.llm.packing import pack
 from clustercat.llm.pseudonyms import pseudonymise_documents
 from clustercat.llm.quality import judge
+from clustercat.llm.repair import repair, repaired_digest
 from clustercat.llm.simhash import hex_fingerprint, simhash_groups
 from clustercat.llm.warc import archive_pages, page_records
 from clustercat.storage import keep
@@ -160,3 +163,84 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with personal values replaced by pseudonyms."""
     done = pseudonymise_documents(table(spark, folder, "documents"), QUERY_KEY)
     return done.select(F.col("id").alias("doc_id"), "text", F.size("values").alias("n_values"), "values")
+
+
+@query(
+    "op11_benchmark_decontamination",
+    r"""
+    with texts as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words, row_number() over () as n
+      from documents),
+    items as (
+      select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+      from benchmark),
+    item_windows as (
+      select distinct item_id, least(len(words), 10) as size, array_to_string(words[k : k + least(len(words), 10) - 1], ' ') as win
+      from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as k from items where len(words) > 0)),
+    sizes as (select distinct size from item_windows),
+    text_windows as (
+      select n, k, size, array_to_string(words[k : k + size - 1], ' ') as win
+      from (select n, words, size, unnest(range(1, len(words) - size + 2)) as k from texts, sizes where len(words) >= size)),
+    found as (select t.n, t.k, t.size, i.item_id from text_windows t join item_windows i on t.size = i.size and t.win = i.win),
+    hits as (select n, count(distinct p) as n_hit from (select n, unnest(range(k, k + size)) as p from found) group by n),
+    named as (
+      select n, count(*) as n_items, string_agg(item, ',' order by item) as item_list
+      from (select distinct n, cast(item_id as varchar) as item from found where item_id is not null) group by n)
+    select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(item_list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from texts left join hits using (n) left join named using (n)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents that lie in ten-word windows of the benchmark, and the items they are from."""
+    found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def byte_vocabulary() -> str:
+    """Path of the first vocabulary file of the alignment query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def piece_vocabulary() -> str:
+    """Path of the second."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents, links weighed by the corpus' counts."""
+    counts = link_counts(table(spark, folder, "documents"), byte_vocabulary(), piece_vocabulary())
+    return counts.withColumnRenamed("id", "doc_id")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The turns after the damage that the repair query mends; nulls are one blank, a null turn stays without number."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    rows = turns.select(F.col("conv_id"), F.col("turn"), blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return rows.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times)
+    ).drop("col")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged, with their faults and cheapest repairs."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair(damaged(turns), known=turns)
+    digests = repaired_digest(repaired).withColumnRenamed("conv_id", "_id")
+    whole = report.join(digests, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    empty = F.sha2(F.lit(""), 256)
+    return whole.select(*report.drop("signs").columns, F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
