@@ -1,11 +1,16 @@
-"""Distances between blocks of points, for use inside tasks."""
+"""Metrics, and distances between blocks of points, for use inside tasks."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Metrics for which a box bounds the distance to what it holds.
-METRICS = ("euclidean", "manhattan", "chebyshev")
+BOXED = ("euclidean", "manhattan", "chebyshev")
+# Metrics that grow with the straight line between two points of a sphere.
+CHORDS = ("haversine", "cosine")
+METRICS = BOXED + CHORDS
 
 
 def check_metric(metric: str) -> str:
@@ -14,6 +19,34 @@ def check_metric(metric: str) -> str:
     return metric
 
 
+def boxed(metric: str) -> str:
+    """The metric that the search uses for ``metric``."""
+    return "euclidean" if check_metric(metric) in CHORDS else metric
+
+
+def on_sphere(features: Column, metric: str) -> Column:
+    """Features as the search sees them; NULL where the metric has no place for them.
+
+    "haversine" takes latitude and longitude in radians, "cosine" any vector but zero.
+    """
+    if metric == "haversine":
+        latitude, longitude = features[0], features[1]
+        return F.array(F.cos(latitude) * F.cos(longitude), F.cos(latitude) * F.sin(longitude), F.sin(latitude))
+    if metric == "cosine":
+        length = F.sqrt(F.aggregate(features, F.lit(0.0), lambda total, x: total + x * x))
+        return F.when(length > 0, F.transform(features, lambda x: x / length))
+    return features
+
+
+def real_distance(found: Column, metric: str) -> Column:
+    """The metric's distance from the one that the search found."""
+    if metric == "haversine":
+        return 2.0 * F.asin(F.least(found / 2.0, F.lit(1.0)))
+    if metric == "cosine":
+        return found * found / 2.0
+    return found
+
+
 def norm(gaps, metric: str = "euclidean") -> np.ndarray:
     """Length of a vector given as a sequence of per-axis arrays, added axis by axis."""
     total = 0.0

@@ -1,15 +1,17 @@
 """Split space into cells of few thousand points, and find the cells near a point.
 
-The splits come from a bounded sample, as a range partitioning's do; after that a
-point's cell is a few comparisons. The tight box around each cell's points tells
-which other cells a search has to visit, so a search is exact and goes to few
-cells where the dimension is low.
+The cells are the leaves of a tree in which a node has up to ``FAN`` children. A level is made at a
+time: every node's cuts come from a bounded sample of its points, each in a task of its own, and the points
+go to their children. So there is no largest number of cells, and no table of all of them in any
+process: cuts and boxes are tables that meet the points node by node. The tight box around what a
+node holds tells which children a search has to enter, so a search is exact and goes to few cells.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -20,61 +22,33 @@ from clustercat.functions.geometry import matrix, norm
 from clustercat.storage import keep
 
 CELL_ROWS = 2048
-MAX_DEPTH = 17  # at most 131072 cells: their boxes are a few megabytes
-SAMPLE_PER_CELL = 16
+FAN_BITS = 8
+SAMPLE_PER_CHILD = 16
 CHUNK_ROWS = 8192
+BLOCK = 512
 
 
 @dataclass
 class Cells:
-    """A binary tree in heap order: cut planes above, cells as the last level."""
+    """Number of bits each level adds to a cell's number, and the nodes of each level.
+
+    ``nodes`` of a level have ``cell`` (the parent), ``child``, ``lo`` and ``hi``.
+    """
 
-    depth: int
     metric: str
-    axis: np.ndarray
-    cut: np.ndarray
-    lo: np.ndarray | None = None
-    hi: np.ndarray | None = None
+    bits: list[int]
+    nodes: list[DataFrame] = field(default_factory=list)
 
     @property
-    def count(self) -> int:
-        return 2**self.depth
-
-    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of each point, and a distance nothing outside the cell comes closer than."""
-        node = np.zeros(len(x), dtype="int64")
-        clear = np.full(len(x), np.inf)
-        rows = np.arange(len(x))
-        for _ in range(self.depth):
-            offset = x[rows, self.axis[node]] - self.cut[node]
-            clear = np.minimum(clear, np.abs(offset))
-            node = 2 * node + 1 + (offset > 0)
-        return node - (self.count - 1), clear
-
-    def near(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (point, cell) whose box is within the point's radius, going down the tree."""
-        point = np.arange(len(x))
-        node = np.zeros(len(x), dtype="int64")
-        for level in range(self.depth + 1):
-            if level:
-                point, node = np.repeat(point, 2), np.stack([2 * node + 1, 2 * node + 2], axis=1).ravel()
-            gaps = np.maximum(np.maximum(self.lo[node] - x[point], x[point] - self.hi[node]), 0.0)
-            # The slack covers the rounding of the two distances being compared.
-            inside = norm(gaps.T, self.metric) <= radius[point] * (1 + 1e-12)
-            point, node = point[inside], node[inside]
-        return point, node - (self.count - 1)
-
-    def with_boxes(self, cells: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> "Cells":
-        """Boxes of the cells, then of every node above; an empty cell is infinitely far."""
-        width = lo.shape[1]
-        self.lo = np.full((2 * self.count - 1, width), np.inf)
-        self.hi = np.full((2 * self.count - 1, width), -np.inf)
-        self.lo[cells + self.count - 1], self.hi[cells + self.count - 1] = lo, hi
-        for level in range(self.depth - 1, -1, -1):
-            nodes = np.arange(2**level - 1, 2 ** (level + 1) - 1)
-            self.lo[nodes] = np.minimum(self.lo[2 * nodes + 1], self.lo[2 * nodes + 2])
-            self.hi[nodes] = np.maximum(self.hi[2 * nodes + 1], self.hi[2 * nodes + 2])
-        return self
+    def depth(self) -> int:
+        return sum(self.bits)
+
+
+def _levels(n: int, cell_rows: int) -> list[int]:
+    """Bits of each level, about the same, that make cells of at most ``cell_rows`` if they are even."""
+    depth = max(0, math.ceil(math.log2(max(n, 1) / cell_rows)))
+    levels = math.ceil(depth / FAN_BITS)
+    return [depth * (i + 1) // levels - depth * i // levels for i in range(levels)]
 
 
 def _cut_sample(rows: np.ndarray) -> tuple[int, float]:
@@ -91,42 +65,117 @@ def _cut_sample(rows: np.ndarray) -> tuple[int, float]:
     return best[1], best[2]
 
 
+def _cuts(rows: np.ndarray, bits: int) -> tuple[list[int], list[float]]:
+    """Axes and values of a binary tree of cuts, in heap order."""
+    axis, cut, groups = [], [], [rows]
+    for node in range(2**bits - 1):
+        at, value = _cut_sample(groups[node])
+        axis.append(at)
+        cut.append(value)
+        left = groups[node][:, at] <= value
+        groups += [groups[node][left], groups[node][~left]]
+        groups[node] = None
+    return axis, cut
+
+
+def _split(placed: DataFrame, bits: int, share: float) -> DataFrame:
+    """``placed`` in the children of its nodes; ``clear`` is a distance nothing outside the cell comes closer than."""
+
+    def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+        axis, cut = _cuts(matrix(pdf["features"]), bits)
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "axis": [axis], "cut": [cut]})
+
+    sample = placed.select("cell", "features").sample(share, seed=1)
+    trees = keep(sample.groupBy("cell").applyInPandas(cuts, "cell bigint, axis array<int>, cut array<double>"), "cuts")
+
+    columns = placed.columns
+
+    def locate(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        points = points[columns]
+        node = np.zeros(len(points), dtype="int64")
+        clear = points["clear"].to_numpy()
+        if len(tree) and len(points):  # a node of which no point was drawn keeps all in its first child
+            axis, cut = np.array(tree["axis"].iloc[0]), np.array(tree["cut"].iloc[0])
+            x, rows = matrix(points["features"]), np.arange(len(points))
+            for _ in range(bits):
+                offset = x[rows, axis[node]] - cut[node]
+                clear = np.minimum(clear, np.abs(offset))
+                node = 2 * node + 1 + (offset > 0)
+            node -= 2**bits - 1
+        return points.assign(cell=points["cell"] * 2**bits + node, clear=clear)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes)
+    return keep(visit(placed, trees, locate, schema), "cells")
+
+
 def build_cells(points: DataFrame, cell_rows: int = CELL_ROWS, metric: str = "euclidean") -> tuple[DataFrame, Cells]:
     """``points`` with their ``cell`` and ``clear`` distance, and the cells."""
-    spark = points.sparkSession
     n = points.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / cell_rows))))
-    rows = np.zeros((0, 1))
-    if depth:
-        share = min(1.0, SAMPLE_PER_CELL * 2**depth / n)
-        rows = matrix(points.select("features").sample(share, seed=1).toPandas()["features"])
-    axis, cut = np.zeros(2**depth - 1, dtype="int64"), np.full(2**depth - 1, np.inf)
-    groups = [rows]
-    for node in range(2**depth - 1):
-        axis[node], cut[node] = _cut_sample(groups[node])
-        left = groups[node][:, axis[node]] <= cut[node]
-        groups += [groups[node][left], groups[node][~left]]
-        groups[node] = None
-    cells = Cells(depth, metric, axis, cut)
-    shared = spark.sparkContext.broadcast(cells)
-
-    @F.pandas_udf("cell int, clear double")
-    def locate(features: pd.Series) -> pd.DataFrame:
-        if features.empty:
-            return pd.DataFrame({"cell": [], "clear": []})
-        cell, clear = shared.value.locate(matrix(features))
-        return pd.DataFrame({"cell": cell.astype("int32"), "clear": clear})
-
-    placed = keep(points.withColumn("_at", locate("features")).select(*points.columns, "_at.cell", "_at.clear"), "cells")
-    first = placed.select(F.size("features")).first()
-    width = first[0] if first else 1
-    sides = [f(F.col("features")[j]) for f in (F.min, F.max) for j in range(width)]
-    found = placed.groupBy("cell").agg(*sides).collect()  # one row per cell
-    box = np.array([list(r) for r in found], dtype="float64").reshape(-1, 1 + 2 * width)
-    cells.with_boxes(box[:, 0].astype("int64"), box[:, 1 : 1 + width], box[:, 1 + width :])
+    cells = Cells(metric, _levels(n, cell_rows))
+    placed = points.withColumns({"cell": F.lit(0).cast("bigint"), "clear": F.lit(float("inf"))})
+    done = 0
+    for bits in cells.bits:
+        done += bits
+        placed = _split(placed, bits, min(1.0, SAMPLE_PER_CHILD * 2**done / n))
+    if not cells.bits:
+        return keep(placed, "cells"), cells
+    width = placed.select(F.size("features")).first()[0]
+    side = lambda f, column: F.array(*[f(F.col(column)[j]) for j in range(width)])
+    boxes = placed.groupBy(F.col("cell").alias("child")).agg(side(F.min, "features").alias("lo"), side(F.max, "features").alias("hi"))
+    for bits in reversed(cells.bits):
+        nodes = keep(boxes.withColumn("cell", F.shiftright("child", bits)), "nodes")
+        cells.nodes.insert(0, nodes)
+        boxes = nodes.groupBy(F.col("cell").alias("child")).agg(side(F.min, "lo").alias("lo"), side(F.max, "hi").alias("hi"))
     return placed, cells
 
 
+def within(x: np.ndarray, radius: np.ndarray, lo: np.ndarray, hi: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (point, box) no farther apart than the point's radius."""
+    rows, boxes = [], []
+    for start in range(0, len(x), BLOCK):
+        part = x[start : start + BLOCK]
+        gaps = (
+            np.maximum(np.maximum(np.subtract.outer(-part[:, j], -lo[:, j]), np.subtract.outer(part[:, j], hi[:, j])), 0.0)
+            for j in range(x.shape[1])
+        )
+        # The slack covers the rounding of the two distances being compared.
+        row, box = np.nonzero(norm(gaps, metric) <= radius[start : start + BLOCK, None] * (1 + 1e-12))
+        rows.append(row + start)
+        boxes.append(box)
+    return np.concatenate(rows), np.concatenate(boxes)
+
+
+def descend(
+    queries: DataFrame,
+    cells: Cells,
+    levels: list[DataFrame] | None = None,
+    useful: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
+) -> DataFrame:
+    """Each query once for every cell within its ``radius``, with that ``cell``; its own cell is left out.
+
+    ``queries`` has ``point_id, features, radius, own`` (its cell) and what else a later step needs. ``levels``
+    are the cells' nodes with further columns; ``useful(queries, nodes)`` may rule out pairs by them.
+    """
+    columns = [c for c in queries.columns if c != "cell"]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in queries.select(*columns).dtypes), "cell bigint"])
+    metric = cells.metric
+
+    def enter(asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(nodes):
+            return asked[columns].head(0).assign(cell=pd.Series([], dtype="int64"))
+        row, at = within(matrix(asked["features"]), asked["radius"].to_numpy(), matrix(nodes["lo"]), matrix(nodes["hi"]), metric)
+        sent, held = asked.iloc[row], nodes.iloc[at]
+        if useful is not None:
+            good = useful(sent, held)
+            sent, held = sent[good], held[good]
+        return sent[columns].assign(cell=held["child"].to_numpy())
+
+    now = queries.select(*columns).withColumn("cell", F.lit(0).cast("bigint"))
+    for nodes in levels or cells.nodes:
+        now = visit(now, nodes, enter, schema)
+    return now.filter("cell <> own")
+
+
 def visit(queries: DataFrame, points: DataFrame, task, schema: str) -> DataFrame:
     """Run ``task(queries, points)`` once per target cell.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ def roots(pointers: DataFrame) -> DataFrame:
         if then.filter("moving").isEmpty():
             return then.select("node", "root")
         now = then
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for each node of the edges ``u, v``; ``comp`` is the smallest node.
 
@@ -62,14 +66,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
 
-def components_at(edges: DataFrame, cut: float) -> DataFrame:
-    """Flat components ``row_id, component`` when edges ``a, b, w`` up to ``cut`` are kept.
+def components_at(edges: DataFrame, cuts: float | Iterable[float]) -> DataFrame:
+    """Flat components ``row_id, component`` when edges ``a, b, w`` up to a cut are kept.
 
-    A row all of whose edges are longer is a component of its own.
+    For several cuts the result has ``cut`` too; all of them are found in one search, whose nodes are
+    rows at a cut. A row all of whose edges are longer is a component of its own.
     """
-    rows = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    short = edges.filter(F.col("w") <= float(cut)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = connected_components(short)
-    return rows.join(found, "node", "left").select(
-        F.col("node").alias("row_id"), F.coalesce("comp", "node").alias("component")
+    single = isinstance(cuts, (int, float))
+    wanted = sorted({float(c) for c in ([cuts] if single else cuts)})
+    levels = F.array(*[F.lit(c) for c in wanted]).cast("array<double>")
+    rows = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    nodes = rows.withColumn("cut", F.explode(levels)).select(F.struct("cut", "id").alias("node"))
+    # An edge counts at every cut from its weight on.
+    short = edges.select("a", "b", F.explode(F.filter(levels, lambda c: F.col("w") <= c)).alias("cut"))
+    ends = [F.struct("cut", F.col(c).alias("id")).alias(end) for c, end in (("a", "u"), ("b", "v"))]
+    found = connected_components(short.select(*ends))
+    every = nodes.join(found, "node", "left").select(
+        F.col("node.cut").alias("cut"), F.col("node.id").alias("row_id"), F.coalesce("comp", "node")["id"].alias("component")
     )
+    return every.drop("cut") if single else every

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustercat.functions.geometry import check_metric, distances, matrix
-from clustercat.operators.density.cells import CELL_ROWS, Cells, build_cells, visit
+from clustercat.functions.geometry import boxed, check_metric, distances, matrix, on_sphere, real_distance
+from clustercat.operators.density.cells import CELL_ROWS, Cells, build_cells, descend, visit
 from clustercat.storage import keep
 
 LISTS = "point_id bigint, dist array<double>, id array<bigint>, weight array<bigint>"
@@ -82,21 +82,8 @@ def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
         return keep(lists, "lists")
     lists = keep(lists, "lists")
     radius = F.when(F.size("neighbours") == k, F.element_at("neighbours", k)["dist"]).otherwise(float("inf"))
-    bounded = slim.join(lists.select("point_id", radius.alias("radius")), "point_id")
-    shared = placed.sparkSession.sparkContext.broadcast(cells)
-
-    def ask(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            row, cell = shared.value.near(matrix(pdf["features"]), pdf["radius"].to_numpy())
-            foreign = cell != pdf["cell"].to_numpy()[row]
-            sent = pdf.iloc[row[foreign]]
-            yield pd.DataFrame(
-                {"point_id": sent["point_id"], "cell": cell[foreign].astype("int32"), "features": sent["features"]}
-            )
-
-    queries = bounded.mapInPandas(ask, "point_id bigint, cell int, features array<double>")
+    bounded = slim.withColumnRenamed("cell", "own").join(lists.select("point_id", radius.alias("radius")), "point_id")
+    queries = descend(bounded.select("point_id", "features", "radius", "own"), cells)
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return _nearest(asked, held, k, metric)
@@ -106,10 +93,16 @@ def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
     return keep(lists.unionByName(far).groupBy("point_id").agg(merged.alias("neighbours")), "lists")
 
 
-def _prepare(df: DataFrame, k: int, metric: str, cell_rows: int, key: str):
+def searchable(df: DataFrame, metric: str, key: str = "row_id") -> DataFrame:
+    """Key and ``features`` as the metric's search takes them."""
     check_metric(metric)
+    return df.select(key, on_sphere(F.col("features").cast("array<double>"), metric).alias("features"))
+
+
+def prepare(df: DataFrame, k: int, metric: str, cell_rows: int, key: str):
+    """Points in their cells, the cells, and the neighbour lists, of :func:`searchable` rows; distances as the search finds them."""
     points = keep(distinct_points(df, key), "points")
-    placed, cells = build_cells(points, max(cell_rows, 4 * k), metric)
+    placed, cells = build_cells(points, max(cell_rows, 4 * k), boxed(metric))
     return placed, cells, neighbour_lists(placed, cells, k)
 
 
@@ -140,8 +133,9 @@ def row_neighbours(df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, k
 
 def knn(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, key: str = "row_id") -> DataFrame:
     """``row_id, rank, neighbor_id, dist``: the k nearest other rows of every row, ties to the smaller id."""
-    placed, _, lists = _prepare(df, k, metric, cell_rows, key)
-    return row_neighbours(df, placed, lists, k, key)
+    df = searchable(df, metric, key)
+    placed, _, lists = prepare(df, k, metric, cell_rows, key)
+    return row_neighbours(df, placed, lists, k, key).withColumn("dist", real_distance(F.col("dist"), metric))
 
 
 def with_core(placed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
@@ -167,8 +161,10 @@ def core_distance(
     df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, key: str = "row_id"
 ) -> DataFrame:
     """``row_id, core`` for every row; copies share their point's value."""
-    placed, _, lists = _prepare(df, k, metric, cell_rows, key)
-    return to_rows(df, with_core(placed, lists, k).select("features", "core"), key)
+    df = searchable(df, metric, key)
+    placed, _, lists = prepare(df, k, metric, cell_rows, key)
+    core = real_distance(F.col("core"), metric).alias("core")
+    return to_rows(df, with_core(placed, lists, k).select("features", core), key)
 
 
 def to_rows(df: DataFrame, per_point: DataFrame, key: str = "row_id") -> DataFrame:
@@ -181,7 +177,8 @@ def mutual_reachability(
     df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, key: str = "row_id"
 ) -> DataFrame:
     """``row_id, neighbor_id, weight`` of the neighbour pairs: the largest of both core distances and the distance."""
-    placed, _, lists = _prepare(df, k, metric, cell_rows, key)
+    df = searchable(df, metric, key)
+    placed, _, lists = prepare(df, k, metric, cell_rows, key)
     core = keep(to_rows(df, with_core(placed, lists, k).select("features", "core"), key), "row-core")
     return (
         row_neighbours(df, placed, lists, k, key)

@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clustercat.functions.geometry import real_distance
 from clustercat.operators.density.cells import CELL_ROWS
 from clustercat.operators.density.components import roots
+from clustercat.operators.density.contraction import best_below
 from clustercat.operators.density.hierarchy import SEGMENT_EDGES, cluster_stability, condensed_tree
-from clustercat.operators.density.neighbours import _prepare, to_rows, with_core
+from clustercat.operators.density.neighbours import prepare, searchable, to_rows, with_core
 from clustercat.operators.density.spanning import min_span_tree
 from clustercat.operators.ranking import positions
 from clustercat.storage import keep
 
 METHODS = ("eom", "leaf")
-ONE_TASK_ROWS = 200_000
-
-
-def _depths(clusters: DataFrame) -> DataFrame:
-    """``cluster, depth``: steps to the root, by doubling."""
-    now = keep(
-        clusters.select(
-            "cluster", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")
-        ),
-        "depths",
-    )
-    while not now.filter("up is not null").isEmpty():
-        above = now.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = keep(
-            now.join(above, "up", "left").select(
-                "cluster", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-            ),
-            "depths",
-        )
-    return now.select("cluster", "depth")
 
 
 def _topmost(clusters: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -54,42 +33,11 @@ def _topmost(clusters: DataFrame, flagged: DataFrame) -> DataFrame:
     return now.select("cluster", "chosen")
 
 
-def _best_choice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Excess of mass for a whole tree in one task, deepest clusters first."""
-    below = dict.fromkeys(pdf["cluster"], 0.0)
-    won = []
-    for cluster, parent, stability in pdf.sort_values("depth", ascending=False)[
-        ["cluster", "parent", "stability"]
-    ].itertuples(index=False):
-        if stability >= below[cluster]:
-            won.append(cluster)
-        if not pd.isna(parent):
-            below[int(parent)] += max(stability, below[cluster])
-    return pd.DataFrame({"cluster": won})
-
-
-def _excess_of_mass(stable: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Clusters at least as stable as the best choice below them.
-
-    A tree of clusters is far smaller than the data. Up to ``one_task_rows``
-    clusters it is walked in one task; a larger one level by level, one job each.
-    """
-    levels = stable.select("cluster", "parent", "stability").join(_depths(stable), "cluster")
-    levels = keep(levels, "levels")
-    n, deepest = levels.agg(F.count("*"), F.max("depth")).first()
-    if n <= one_task_rows:
-        return levels.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(_best_choice, "cluster bigint")
-    below, flagged = None, []
-    for depth in range(deepest, -1, -1):
-        level = levels.filter(F.col("depth") == depth).withColumn("best_below", F.lit(0.0))
-        if below is not None:
-            sums = below.groupBy("parent").agg(F.sum("best").alias("best_below"))
-            level = level.drop("best_below").join(sums.withColumnRenamed("parent", "cluster"), "cluster", "left")
-            level = level.fillna(0.0, ["best_below"])
-        level = level.withColumn("best", F.greatest("stability", "best_below"))
-        below = keep(level.withColumn("wins", F.col("stability") >= F.col("best_below")), "level")
-        flagged.append(below.filter("wins").select("cluster"))
-    return reduce(DataFrame.unionByName, flagged)
+def _excess_of_mass(stable: DataFrame) -> DataFrame:
+    """Clusters at least as stable as the best choice below them, on a tree of any size and depth."""
+    tree = stable.select(F.col("cluster").alias("node"), "parent", F.col("stability").alias("own"))
+    below, _ = best_below(tree)
+    return below.filter("own >= below").select(F.col("node").alias("cluster"))
 
 
 def select_clusters(
@@ -149,9 +97,10 @@ def hierarchy(
 ) -> dict[str, DataFrame]:
     """Every table from points to cluster stabilities: points, edges, tree, clusters."""
     k = max(1, int(min_samples or min_cluster_size))
-    placed, cells, lists = _prepare(df, k, metric, cell_rows, key)
+    placed, cells, lists = prepare(searchable(df, metric, key), k, metric, cell_rows, key)
     points = with_core(placed, lists, k)
-    edges = keep(min_span_tree(points, cells), "span")
+    edges = keep(min_span_tree(points, cells).withColumn("w", real_distance(F.col("w"), metric)), "span")
+    points = points.withColumn("core", real_distance(F.col("core"), metric))
     tree, clusters = condensed_tree(edges, points, min_cluster_size, segment_edges)
     return {
         "points": points,
@@ -198,4 +147,4 @@ def density_cluster(
     chosen = keep(select_clusters(tables["clusters"], method, epsilon, allow_single_cluster), "selected")
     labels = label_points(tables, chosen)
     named = tables["points"].select("point_id", "features").join(labels, "point_id").drop("point_id")
-    return to_rows(df, named, key)
+    return to_rows(searchable(df, metric, key), named, key)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustercat.functions.geometry import distances, matrix, norm
-from clustercat.operators.density.cells import Cells, visit
+from clustercat.operators.density.cells import Cells, descend, visit
 from clustercat.operators.density.components import roots
 from clustercat.storage import drop_kept, keep
 
@@ -25,7 +25,7 @@ BLOCK = 512
 CACHED_ROWS = 4096
 PICK = "comp bigint, w double, to bigint, a bigint, b bigint"
 FOREST = (
-    "point_id bigint, cell int, features array<double>, core double, comp bigint, "
+    "point_id bigint, cell bigint, features array<double>, core double, comp bigint, "
     "edge_a bigint, edge_b bigint, edge_w double"
 )
 
@@ -148,83 +148,85 @@ def _empty_picks() -> pd.DataFrame:
     return pd.DataFrame({c: [] for c in ("comp", "w", "to", "a", "b")})
 
 
-def _round_picks(labelled: DataFrame, cells: Cells, facts: pd.DataFrame) -> DataFrame:
+FACTS = ["comp_lo", "comp_hi", "core_lo", "core_hi"]
+
+
+def _node_facts(labelled: DataFrame, cells: Cells) -> list[DataFrame]:
+    """The nodes of each level with the least and greatest component and core distance they hold."""
+
+    def agg(low: str, high: str, core_low: str, core_high: str) -> list:
+        sides = zip(FACTS, (F.min, F.max, F.min, F.max), (low, high, core_low, core_high))
+        return [f(c).alias(name) for name, f, c in sides]
+
+    facts = labelled.groupBy(F.col("cell").alias("child")).agg(*agg("comp", "comp", "core", "core"))
+    levels: list[DataFrame] = []
+    for nodes in reversed(cells.nodes):
+        levels.insert(0, keep(nodes.join(facts, "child"), "facts"))
+        facts = levels[0].groupBy(F.col("cell").alias("child")).agg(*agg(*FACTS))
+    return levels
+
+
+def _far_corners(nodes: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """An upper bound for each component that fills a whole node: the nearest far corner of a sibling with another.
+
+    A component that fills a node has, at that level or one above, a sibling that it does not fill, so some
+    level bounds it; a node's siblings are at most its parent's children.
+    """
+    comp, full = nodes["comp_lo"].to_numpy(), (nodes["comp_lo"] == nodes["comp_hi"]).to_numpy()
+    lo, hi, core = matrix(nodes["lo"]), matrix(nodes["hi"]), nodes["core_hi"].to_numpy()
+    at = np.flatnonzero(full)
+    gaps = (
+        np.maximum(np.subtract.outer(-lo[at, j], -hi[:, j]), np.subtract.outer(hi[at, j], lo[:, j])) for j in range(lo.shape[1])
+    )
+    far = np.maximum(norm(gaps, metric), np.maximum(core[at, None], core[None, :]))
+    far[full[None, :] & (comp[at, None] == comp[None, :])] = np.inf
+    # Just above, because the search looks for shorter edges only.
+    out = pd.DataFrame({"comp": comp[at], "bound": far.min(axis=1, initial=np.inf) * (1 + 1e-9)})
+    return out[np.isfinite(out["bound"])].groupby("comp", as_index=False).min()
+
+
+def _round_picks(labelled: DataFrame, cells: Cells, levels: list[DataFrame]) -> DataFrame:
     """The shortest way out of every component: ``comp, w, to, a, b``."""
-    spark, metric = labelled.sparkSession, cells.metric
-    points = labelled
+    metric = cells.metric
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return _empty_picks() if pdf["comp"].nunique() == 1 else _picks(pdf, pdf, metric)
 
-    near = keep(points.groupBy("cell").applyInPandas(inside, PICK), "picks")
-
-    # What is known of each cell: its only component, if it has one, and its cores.
-    sole = np.full(cells.count, -1, dtype="int64")
-    core_lo, core_hi = np.full(cells.count, np.inf), np.full(cells.count, -np.inf)
-    at = facts["cell"].to_numpy()
-    core_lo[at], core_hi[at] = facts["core_lo"], facts["core_hi"]
-    pure = (facts["comp_lo"] == facts["comp_hi"]).to_numpy()
-    is_sole = np.zeros(cells.count, dtype=bool)
-    is_sole[at[pure]] = True
-    sole[at[pure]] = facts["comp_lo"].to_numpy()[pure]
-    held = np.sort(at)
-    shared = spark.sparkContext.broadcast((cells, is_sole, sole, core_lo, core_hi, held))
-
-    def across(batches):
-        """An upper bound for a component that fills a whole cell: corner to corner."""
-        for pdf in batches:
-            tree, is_sole, sole, _, core_hi, held = shared.value
-            leaf = tree.count - 1
-            bound = []
-            for cell, comp in zip(pdf["cell"], pdf["comp_lo"]):
-                others = held[~(is_sole[held] & (sole[held] == comp)) & (held != cell)]
-                gaps = np.maximum(
-                    tree.hi[others + leaf] - tree.lo[cell + leaf], tree.hi[cell + leaf] - tree.lo[others + leaf]
-                )
-                far = np.maximum(norm(gaps.T, metric), np.maximum(core_hi[cell], core_hi[others]))
-                # Just above, because the search looks for shorter edges only.
-                bound.append(far.min() * (1 + 1e-9) if len(far) else np.inf)
-            yield pd.DataFrame({"comp": pdf["comp_lo"], "bound": bound})
-
-    full = spark.createDataFrame(facts[pure][["cell", "comp_lo"]], "cell int, comp_lo bigint") if pure.any() else None
+    mixed = levels[-1].filter("comp_lo <> comp_hi").select(F.col("child").alias("cell"))
+    near = keep(labelled.join(mixed, "cell", "left_semi").groupBy("cell").applyInPandas(inside, PICK), "picks")
     bounds = near.select("comp", F.col("w").alias("bound"))
-    if full is not None:
-        spread = full.repartition(spark.sparkContext.defaultParallelism)
-        bounds = bounds.unionByName(spread.mapInPandas(across, "comp bigint, bound double"))
+    for nodes in levels:
+        corners = nodes.groupBy("cell").applyInPandas(lambda pdf: _far_corners(pdf, metric), "comp bigint, bound double")
+        bounds = bounds.unionByName(corners)
     bounds = keep(bounds.groupBy("comp").agg(F.min("bound").alias("bound")), "bounds")
 
-    def ask(batches):
-        tree, is_sole, sole, core_lo, _, _ = shared.value
-        for pdf in batches:
-            pdf = pdf[pdf["core"] < pdf["bound"]]
-            if pdf.empty:
-                continue
-            row, cell = tree.near(matrix(pdf["features"]), pdf["bound"].to_numpy())
-            ours = is_sole[cell] & (sole[cell] == pdf["comp"].to_numpy()[row])
-            useful = (cell != pdf["cell"].to_numpy()[row]) & ~ours & (core_lo[cell] < pdf["bound"].to_numpy()[row])
-            sent = pdf.iloc[row[useful]].copy()
-            sent["cell"] = cell[useful].astype("int32")
-            yield sent
-
-    bounded = points.join(bounds, "comp").select("point_id", "cell", "features", "core", "comp", "bound")
-    queries = bounded.mapInPandas(
-        ask, "point_id bigint, cell int, features array<double>, core double, comp bigint, bound double"
-    )
+    def useful(asked: pd.DataFrame, nodes: pd.DataFrame) -> np.ndarray:
+        """Pairs whose node holds another component and a core distance below the bound."""
+        comp = asked["comp"].to_numpy()
+        ours = (nodes["comp_lo"].to_numpy() == comp) & (nodes["comp_hi"].to_numpy() == comp)
+        return ~ours & (nodes["core_lo"].to_numpy() < asked["radius"].to_numpy())
+
+    asked = labelled.join(bounds, "comp").filter("core < bound")
+    asked = asked.select("point_id", "features", F.col("bound").alias("radius"), F.col("cell").alias("own"), "core", "comp")
+    queries = descend(asked, cells, levels, useful).withColumnRenamed("radius", "bound")
 
     def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         return _empty_picks() if asked.empty or found.empty else _picks(asked, found, metric)
 
-    far = visit(queries, points, answer, PICK)
+    far = visit(queries, labelled, answer, PICK)
     least = F.min(F.struct("w", "to", "a", "b")).alias("p")
     picks = keep(near.unionByName(far).groupBy("comp").agg(least).select("comp", "p.*"), "picks")
-    shared.unpersist()
     drop_kept(near)
     drop_kept(bounds)
     return picks
 
 
 def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
-    """Edges ``a, b, w`` of a minimum spanning tree; ``core`` has ``clear`` and ``core`` per point."""
+    """Edges ``a, b, w`` of a minimum spanning tree; ``core`` has ``clear`` and ``core`` per point.
+
+    The points with the fragments they form inside their cells are written once. A round writes only
+    the names of the fragments, each with the component it has come to belong to.
+    """
     metric = cells.metric
     slim = core.select("point_id", "cell", "features", "core", "clear")
     forest = keep(slim.groupBy("cell").applyInPandas(lambda pdf: _merge_in_cell(pdf, metric), FOREST), "forest")
@@ -234,21 +236,12 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
     if cells.depth == 0:
         return edges
     parts = [keep(edges, "edges")]
-    while True:
-        labelled = forest.select("point_id", "cell", "features", "core", "comp")
-        facts = (
-            labelled.groupBy("cell")
-            .agg(
-                F.min("comp").alias("comp_lo"),
-                F.max("comp").alias("comp_hi"),
-                F.min("core").alias("core_lo"),
-                F.max("core").alias("core_hi"),
-            )
-            .toPandas()  # one row per cell
-        )
-        if facts.empty or facts["comp_lo"].min() == facts["comp_hi"].max():
-            break
-        picks = _round_picks(labelled, cells, facts)
+    points = forest.select("point_id", "cell", "features", "core", F.col("comp").alias("fragment"))
+    names = keep(points.select("fragment", F.col("fragment").alias("comp")).distinct(), "names")
+    while not names.select("comp").distinct().limit(2).count() < 2:
+        labelled = points.join(names, "fragment").drop("fragment")
+        levels = _node_facts(labelled, cells)
+        picks = _round_picks(labelled, cells, levels)
         # Hook on if the other's own way out is shorter, or equally long and its
         # name smaller: no chain of such hooks can return to where it began.
         other = picks.select(F.col("comp").alias("to"), F.col("w").alias("other_w"))
@@ -257,10 +250,11 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
         parts.append(hooks.select("a", "b", "w"))
         ends = roots(hooks.select(F.col("comp").alias("node"), F.col("to").alias("parent")))
         ends = ends.select(F.col("node").alias("comp"), "root")
-        merged = labelled.join(ends, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-        merged = keep(merged, "forest")
-        drop_kept(forest)
-        forest = merged
+        merged = names.join(ends, "comp", "left").select("fragment", F.coalesce("root", "comp").alias("comp"))
+        merged = keep(merged, "names")
+        for old in [names, *levels]:
+            drop_kept(old)
+        names = merged
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

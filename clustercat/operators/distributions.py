@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from clustercat.functions.numeric import bin_edge, bin_index, clean, finite, hex
 from clustercat.functions.sky import angular_distance, pm_magnitude
 from clustercat.operators.harmonise import has_columns, require_columns, with_pm_magnitude
 from clustercat.operators.members import filter_finite_pairs, subset_members
-from clustercat.operators.quantiles import group_quantiles, median_mad
+from clustercat.operators.quantiles import group_profile, group_quantiles, median_mad
 from clustercat.operators.ranking import positions, sample_rows
 from clustercat.storage import keep
 
@@ -306,37 +308,71 @@ def box_stats(df: DataFrame, feature: str | list[str]) -> DataFrame:
     )
 
 
+HELD_GROUPS = 1024
+
+
+def _kernel_sums(rows: DataFrame, by: list[str], points: int) -> DataFrame:
+    """``by, grid_i, s``: the kernels of all values at each place of their group's grid.
+
+    ``rows`` has ``x`` and the group's ``lo, hi, h``. A task adds each batch up in one vector a group and sends on
+    the vectors, those of ``HELD_GROUPS`` groups at a time.
+    """
+    spread = np.arange(points) / max(points - 1, 1)
+
+    def add(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def rest():
+            keys = list(held)
+            frame = pd.DataFrame(keys, columns=by)
+            frame["s"] = [held[k] for k in keys]
+            held.clear()
+            return frame
+
+        for pdf in batches:
+            for key, part in pdf.groupby(by, sort=False):
+                lo, hi, h = part[["lo", "hi", "h"]].iloc[0]
+                grid = lo + spread * (hi - lo)
+                grid[-1] = hi
+                x = part["x"].to_numpy()
+                total = held.setdefault(key, np.zeros(points))
+                for start in range(0, len(x), 4096):
+                    z = (grid[:, None] - x[None, start : start + 4096]) / h
+                    total += np.exp(-0.5 * z * z).sum(axis=1)
+            if len(held) >= HELD_GROUPS:
+                yield rest()
+        if held:
+            yield rest()
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "s array<double>"])
+    sums = rows.select(*by, "x", "lo", "hi", "h").mapInPandas(add, schema)
+    return sums.select(*by, F.posexplode("s").alias("grid_i", "s")).groupBy(*by, "grid_i").agg(F.sum("s").alias("s"))
+
+
 def violin_density(df: DataFrame, feature: str | list[str], points: int = 100) -> DataFrame:
     """Members per cluster: Gaussian kernel density on an even grid, and the median.
 
-    Every value meets its own cluster's grid only, and the sums combine before
-    the shuffle, so what is shuffled is the grid, not the rows. For a list of features the result
-    has a ``feature`` column too.
+    What is shuffled is one vector of the grid a group and task, not the rows. For a list of
+    features the result has a ``feature`` column too.
     """
     rows, by = _member_values(df, feature)
-    shape = rows.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.min("x").alias("lo"),
-        F.max("x").alias("hi"),
-        (F.stddev_samp("x") * F.pow(F.count("*"), F.lit(-0.2))).alias("h"),
+    shape = group_profile(rows, by, {"x": [0.5]}).select(
+        *by,
+        F.col("x_n").alias("n"),
+        F.col("x_min").alias("lo"),
+        F.col("x_max").alias("hi"),
+        (F.col("x_std") * F.pow(F.col("x_n"), F.lit(-0.2))).alias("h"),
+        F.col("x_q0").alias("median"),
     )
     shape = keep(shape, "shape")
+    sums = _kernel_sums(rows.join(shape.filter(F.col("lo") < F.col("hi")), by), by, points)
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     at = F.when(F.col("grid_i") == points - 1, F.col("hi")).otherwise(F.col("lo") + F.col("grid_i") * step)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_i")
-    z = (at - F.col("x")) / F.col("h")
-    sums = (
-        rows.join(shape.filter(F.col("lo") < F.col("hi")), by)
-        .select("*", grid)
-        .groupBy(*by, "grid_i")
-        .agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
-    )
-    median = group_quantiles(rows, by, {"x": [0.5]}).select(*by, F.col("x_q0").alias("median"))
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     return (
-        shape.select("*", grid)
+        shape.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_i"))
         .join(sums, [*by, "grid_i"], "left")
-        .join(median, by)
         .select(
             *by,
             "grid_i",

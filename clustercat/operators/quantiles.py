@@ -1,10 +1,11 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, and moments beside them, in two readings of the rows.
 
 The built-in exact percentile holds every distinct value of a group in one
-task. Here mergeable sketches, first per slice of a group and then per group, bracket
-each wanted rank within about a hundredth of the group. A second pass counts what lies below
-the bracket and, once per distinct value, what lies inside it. The counts are
-summed up in the pieces of a range partitioning, so neither a large group nor a
+task. Here the first reading keeps, for all columns side by side, moments and mergeable
+sketches, per slice of a group and then per group; they bracket each wanted rank within about a
+hundredth of the group. The second reading counts, again for all columns from the row as it is, what lies
+below the brackets, and once per distinct value what lies inside one. Only those few values are
+then summed up in the pieces of a range partitioning, so neither a large group nor a
 wide bracket makes one large task. The answer is read off the counts, so it is
 exact; the sketch only decides how little has to be sorted.
 """
@@ -25,104 +26,154 @@ SLACK = 2  # steps on either side of the rank, four times what the sketch may be
 SLICES = 64
 
 
-def _sketched(values: DataFrame, by: list[str]) -> DataFrame:
-    """``_n`` and ``_grid``, the values at even steps of rank, for each group and column."""
-    sliced = values.groupBy(*by, "_column", F.pmod(F.spark_partition_id(), F.lit(SLICES)).alias("_slice")).agg(
-        F.count("_x").alias("_n"), F.kll_sketch_agg_double("_x", F.lit(SKETCH)).alias("_sketch")
-    )
-    merged = sliced.groupBy(*by, "_column").agg(
-        F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch", F.lit(SKETCH)).alias("_sketch")
-    )
+def _joined_moments(parts: Column) -> Column:
+    """``n, mean, m2`` of all values from those of their parts, m2 being the squared deviations' sum."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def join(done, part):
+        n = done["n"] + part["n"]
+        apart = part["mean"] - done["mean"]
+        return F.struct(
+            n.alias("n"),
+            (done["mean"] + apart * part["n"] / n).alias("mean"),
+            (done["m2"] + part["m2"] + apart * apart * done["n"] * part["n"] / n).alias("m2"),
+        )
+
+    return F.aggregate(F.filter(parts, lambda p: p["n"] > 0), start, join)
+
+
+def _profiled(values: DataFrame, by: list[str], sketched: list[bool], moments: bool) -> DataFrame:
+    """``_rows`` per group; per column i ``_n{i}``, ``_grid{i}``, the values at even steps of rank, and moments."""
+    first, then = [F.count(F.lit(1)).alias("_rows")], [F.sum("_rows").alias("_rows")]
     ranks = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
-    grid = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", ranks))
-    return merged.select(*by, "_column", "_n", grid.alias("_grid"))
+    out = ["_rows"]
+    for i, wanted in enumerate(sketched):
+        x = f"_x{i}"
+        first.append(F.count(x).alias(f"_n{i}"))
+        then.append(F.sum(f"_n{i}").alias(f"_n{i}"))
+        out.append(f"_n{i}")
+        if wanted:
+            first.append(F.kll_sketch_agg_double(x, F.lit(SKETCH)).alias(f"_s{i}"))
+            then.append(F.kll_merge_agg_double(f"_s{i}", F.lit(SKETCH)).alias(f"_s{i}"))
+            out.append(F.when(F.col(f"_n{i}") > 0, F.kll_sketch_get_quantile_double(f"_s{i}", ranks)).alias(f"_grid{i}"))
+        if moments:
+            first += [F.avg(x).alias(f"_m{i}"), F.var_pop(x).alias(f"_v{i}"), F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}")]
+            n = F.col(f"_n{i}").cast("double")
+            part = F.struct(n.alias("n"), F.col(f"_m{i}").alias("mean"), (n * F.col(f"_v{i}")).alias("m2"))
+            then += [F.collect_list(part).alias(f"_p{i}"), F.min(f"_min{i}").alias(f"_min{i}"), F.max(f"_max{i}").alias(f"_max{i}")]
+            out += [_joined_moments(F.col(f"_p{i}")).alias(f"_p{i}"), f"_min{i}", f"_max{i}"]
+    sliced = values.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(SLICES)).alias("_slice")).agg(*first)
+    return sliced.groupBy(*by).agg(*then).select(*by, *out)
+
+
+def _with(rows: DataFrame, facts: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """``rows`` with columns of their group's row of ``facts``; without groups there is one such row."""
+    if by:
+        return rows.join(facts.select(*by, *columns), by)
+    row = facts.select(F.struct(*columns)).scalar()
+    return rows.withColumn("_row", row).select(*rows.columns, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
-def _ranked(values: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """``_value`` of each target, NULL where its bracket does not hold its rank."""
-    keys = [*by, "_column", "_target"]
-    brackets = targets.groupBy(*by, "_column").agg(F.collect_list(F.struct("_target", "_low", "_high")).alias("_b"))
-    held = F.transform(
-        F.filter("_b", lambda b: F.col("_x") <= b["_high"]),
-        lambda b: F.struct(b["_target"].alias("_target"), F.when(F.col("_x") >= b["_low"], F.col("_x")).alias("_x")),
-    )
+def _ranked(values: DataFrame, brackets: DataFrame, by: list[str], columns: list[int]) -> DataFrame:
+    """``_target, _value``: NULL where a bracket does not hold its rank.
+
+    ``brackets`` has, per group, ``_t``: for each target a struct ``low, high, place``, or NULL if it
+    isn't wanted there. ``columns`` are the targets' columns.
+    """
+    bracket = [F.col("_t")[t] for t in range(len(columns))]
+    inside = F.array(*[
+        F.when((F.col(f"_x{i}") >= b["low"]) & (F.col(f"_x{i}") <= b["high"]), F.struct(F.lit(t).alias("_target"), F.col(f"_x{i}").alias("_x")))
+        for t, (i, b) in enumerate(zip(columns, bracket))
+    ])
+    below = [F.coalesce(F.col(f"_x{i}") < b["low"], F.lit(False)).alias(f"_b{t}") for t, (i, b) in enumerate(zip(columns, bracket))]
     counts = (
-        values.join(brackets, [*by, "_column"])
-        .select(*by, "_column", F.explode(held).alias("_e"))
-        .groupBy(*by, "_column", F.col("_e._target").alias("_target"), F.col("_e._x").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_count"))
+        _with(values, brackets, by, "_t")
+        .select(*by, F.filter(inside, lambda e: e.isNotNull()).alias("_in"), *below)
+        .groupBy(*by, "_in")  # most rows are in no bracket, and one row a task
+        .agg(F.count(F.lit(1)).alias("_count"), *[F.count_if(f"_b{t}").alias(f"_b{t}") for t in range(len(columns))])
     )
-    # What lies below a bracket is NULL and sorts first.
-    pieces = counts.repartitionByRange(*keys, F.asc_nulls_first("_x")).withColumn("_piece", F.spark_partition_id())
-    pieces = keep(pieces, "counts")
+    counts = keep(counts, "counts")
+    under = counts.groupBy(*by).agg(*[F.sum(f"_b{t}").alias(f"_b{t}") for t in range(len(columns))])
+    targets = F.array(*[F.struct(F.lit(t).alias("_target"), F.col("_t")[t]["place"].alias("_place"), F.col(f"_b{t}").alias("_below")) for t in range(len(columns))])
+    targets = _with(under, brackets, by, "_t").select(*by, F.inline(targets)).filter("_place is not null")
+    keys = [*by, "_target"]
+    some = counts.filter(F.size("_in") > 0).select(*by, "_count", F.inline("_in"))
+    pieces = some.groupBy(*keys, "_x").agg(F.sum("_count").alias("_count"))
+    pieces = keep(pieces.repartitionByRange(*keys, "_x").withColumn("_piece", F.spark_partition_id()), "pieces")
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.groupBy(*keys, "_piece").agg(F.sum("_count").alias("_sum"))
     starts = starts.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_piece").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        pieces.withColumn("_end", F.sum("_count").over(inside))
-        .join(starts, [*keys, "_piece"])
-        .withColumn("_end", F.col("_start") + F.col("_end"))
-        .join(targets.select(*keys, "_place"), keys)
-    )
+    within = Window.partitionBy(*keys, "_piece").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pieces.withColumn("_end", F.sum("_count").over(within)).join(starts, [*keys, "_piece"])
+    ends = ends.select(*keys, "_x", (F.col("_start") + F.col("_end")).alias("_end"))
     floor, ceil = F.floor("_place"), F.ceil("_place")
-    found = ends.groupBy(*keys).agg(
+    end = F.col("_below") + F.col("_end")
+    found = targets.join(ends, keys, "left").groupBy(*keys).agg(
         F.max("_place").alias("_place"),
-        F.min(F.when(F.col("_end") > floor, F.struct("_end", "_x"))).alias("_a"),
-        F.min(F.when(F.col("_end") > ceil, F.struct("_end", "_x"))).alias("_b"),
+        F.min(F.when((F.col("_below") <= floor) & (end > floor), F.struct("_end", "_x"))).alias("_a"),
+        F.min(F.when((F.col("_below") <= floor) & (end > ceil), F.struct("_end", "_x"))).alias("_b"),
     )
     low, high = F.col("_a._x"), F.col("_b._x")
     return found.select(*keys, (low + (high - low) * (F.col("_place") - floor)).alias("_value"))
 
 
-def group_quantiles(df: DataFrame, by: Iterable[str], columns: Mapping[str, Iterable[float]]) -> DataFrame:
-    """Linearly interpolated quantiles per group.
+def group_profile(
+    df: DataFrame, by: Iterable[str], columns: Mapping[str, Iterable[float]], moments: bool = True
+) -> DataFrame:
+    """Moments and linearly interpolated quantiles per group.
 
-    ``columns`` maps a column to its probabilities. The result has ``by`` and,
-    per column, ``{c}_n`` and ``{c}_q0``, ``{c}_q1``, … in the order given.
-    Missing values are skipped; a group without values gets NULL, and rows
-    without a group are left out.
+    ``columns`` maps a column to its probabilities, of which there may be none. The result has ``by``,
+    ``_rows`` and, per column, ``{c}_n``, with ``moments`` ``{c}_mean``, ``{c}_std`` (of a sample), ``{c}_min`` and
+    ``{c}_max``, and ``{c}_q0``, ``{c}_q1``, … in the order given. Missing values are skipped; a group without
+    values gets NULL, and rows without a group are left out.
     """
     by = list(by)
     columns = {c: [float(p) for p in ps] for c, ps in columns.items()}
     df = df.dropna("any", subset=by) if by else df
-    wanted = [(i, j, p) for i, ps in enumerate(columns.values()) for j, p in enumerate(ps)]
-    cells = [F.struct(F.lit(i).alias("_column"), clean(F.col(f"`{c}`").cast("double")).alias("_x")) for i, c in enumerate(columns)]
-    values = df.select(*by, F.inline(F.array(*cells)))
-    groups = keep(_sketched(values, by), "sketches")
-    values = values.filter("_x is not null")
-    listed = F.array(*[F.struct(F.lit(i).alias("_of"), F.lit(j).alias("_target"), F.lit(p).alias("_p")) for i, j, p in wanted])
-    place = F.col("_p") * (F.col("_n") - 1)
-    step = F.col("_p") * STEPS
-    # A rank of a small group lies between two of its values, which may be steps apart.
-    spare = SLACK + F.ceil(2 * STEPS / F.col("_n"))
-
-    def at(number: Column) -> Column:
-        return F.element_at("_grid", (F.least(F.greatest(number, F.lit(0)), F.lit(STEPS)) + 1).cast("int"))
-
-    targets = (
-        groups.filter("_n > 0")
-        .select(*by, "_column", "_n", "_grid", F.inline(listed))
-        .filter("_of = _column")
-        .select(
-            *by, "_column", "_target", place.alias("_place"),
-            at(F.floor(step) - spare).alias("_low"),
-            at(F.ceil(step) + spare).alias("_high"),
-            F.element_at("_grid", 1).alias("_least"), F.element_at("_grid", -1).alias("_most"),
-        )
-    )
-    targets = keep(targets, "targets")
-    found = keep(_ranked(values, targets, by), "quantiles")
-    missed = found.filter("_value is null").drop("_value")
+    values = df.select(*by, *[clean(F.col(f"`{c}`").cast("double")).alias(f"_x{i}") for i, c in enumerate(columns)])
+    profile = keep(_profiled(values, by, [bool(ps) for ps in columns.values()], moments), "profile")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    out = [count("_rows").alias("_rows")]
+    for i, c in enumerate(columns):
+        out.append(count(f"_n{i}").alias(f"{c}_n"))
+        if moments:
+            n, part = F.col(f"_n{i}"), F.col(f"_p{i}")
+            out += [
+                F.when(n > 0, part["mean"]).alias(f"{c}_mean"),
+                F.when(n > 1, F.sqrt(part["m2"] / (n - 1))).alias(f"{c}_std"),
+                F.col(f"_min{i}").alias(f"{c}_min"), F.col(f"_max{i}").alias(f"{c}_max"),
+            ]
+    wanted = [(i, p) for i, ps in enumerate(columns.values()) for p in ps]
+    if not wanted:
+        return profile.select(*by, *out)
+
+    def bracket(i: int, p: float, whole: bool) -> Column:
+        n, grid = F.col(f"_n{i}"), F.col(f"_grid{i}")
+        # A rank of a small group lies between two of its values, which may be steps apart.
+        spare = F.lit(STEPS) if whole else SLACK + F.ceil(2 * STEPS / n)
+        at = lambda k: F.element_at(grid, (F.least(F.greatest(k, F.lit(0)), F.lit(STEPS)) + 1).cast("int"))
+        low, high = at(F.floor(F.lit(p * STEPS)) - spare), at(F.ceil(F.lit(p * STEPS)) + spare)
+        return F.when(n > 0, F.struct(low.alias("low"), high.alias("high"), (p * (n - 1)).alias("place")))
+
+    of = [i for i, _ in wanted]
+    brackets = profile.select(*by, F.array(*[bracket(i, p, False) for i, p in wanted]).alias("_t"))
+    found = keep(_ranked(values, brackets, by, of), "quantiles")
+    missed = found.filter("_value is null")
     if not missed.isEmpty():  # a sketch was off by more than it should be: these look at all values
-        whole = targets.join(missed, missed.columns).withColumns({"_low": F.col("_least"), "_high": F.col("_most")})
-        found = found.filter("_value is not null").unionByName(keep(_ranked(values, whole, by), "quantiles"))
-    sizes = groups.select(*by, "_column", F.lit(-1).alias("_target"), F.col("_n").cast("double").alias("_value"))
-    cell = lambda i, j: F.max(F.when((F.col("_column") == i) & (F.col("_target") == j), F.col("_value")))
-    return found.unionByName(sizes).groupBy(*by).agg(
-        *[F.coalesce(cell(i, -1), F.lit(0.0)).cast("bigint").alias(f"{c}_n") for i, c in enumerate(columns)],
-        *[cell(i, j).alias(f"{c}_q{j}") for i, (c, ps) in enumerate(columns.items()) for j in range(len(ps))],
-    )
+        again = missed.groupBy(*by).agg(F.collect_list("_target").alias("_again"))
+        all_values = [F.when(F.array_contains("_again", t), bracket(i, p, True)) for t, (i, p) in enumerate(wanted)]
+        whole = (profile.join(again, by) if by else _with(profile, again, by, "_again")).select(*by, F.array(*all_values).alias("_t"))
+        found = found.filter("_value is not null").unionByName(keep(_ranked(values, whole, by, of), "quantiles"))
+    names = [f"{c}_q{j}" for c, ps in columns.items() for j in range(len(ps))]
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_target") == t, F.col("_value"))).alias(name) for t, name in enumerate(names)])
+    if by:
+        return profile.join(wide, by, "left").select(*by, *out, *names)
+    return _with(profile, wide, by, *names).select(*out, *names)
+
+
+def group_quantiles(df: DataFrame, by: Iterable[str], columns: Mapping[str, Iterable[float]]) -> DataFrame:
+    """Linearly interpolated quantiles per group: ``by``, per column ``{c}_n`` and ``{c}_q0``, … (see :func:`group_profile`)."""
+    return group_profile(df, by, columns, moments=False).drop("_rows")
 
 
 def median_mad(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:

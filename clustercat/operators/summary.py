@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clustercat.functions.numeric import clean, coerce
 from clustercat.functions.sky import pm_magnitude
 from clustercat.operators.harmonise import require_columns
-from clustercat.operators.quantiles import group_quantiles
+from clustercat.operators.quantiles import group_profile, group_quantiles
 
 
 def clustering_overview(
@@ -78,22 +78,12 @@ def numeric_summary(df: DataFrame, features: Iterable[str], label: str = "cluste
     rows = _clustered(df, label, features)
     if not features:
         return rows.limit(0)
-    stats = []
-    for c in features:
-        stats += [
-            F.count(c).alias(f"{c}_count"),
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev_samp(c).alias(f"{c}_std"),
-            F.min(c).alias(f"{c}_min"),
-            F.max(c).alias(f"{c}_max"),
-        ]
-    medians = group_quantiles(rows, [label], {c: [0.5] for c in features})
-    joined = rows.groupBy(label).agg(*stats).join(medians, label)
+    profile = group_profile(rows, [label], {c: [0.5] for c in features})
     ordered = []
     for c in features:
-        ordered += [f"{c}_count", f"{c}_mean", f"{c}_std", f"{c}_min"]
+        ordered += [F.col(f"{c}_n").alias(f"{c}_count"), f"{c}_mean", f"{c}_std", f"{c}_min"]
         ordered += [F.col(f"{c}_q0").alias(f"{c}_median"), f"{c}_max"]
-    return joined.select(label, *ordered)
+    return profile.select(label, *ordered)
 
 
 def centroids_mean(df: DataFrame, features: Iterable[str], label: str = "cluster") -> DataFrame:
@@ -111,19 +101,18 @@ def centroids_full(df: DataFrame, features: Iterable[str] = (), label: str = "cl
     sky = _present(df, ["ra", "dec"])
     motion = _present(df, ["pmra", "pmdec"])
     motion = motion if len(motion) == 2 else []
-    rows = _clustered(df, label, dict.fromkeys([*features, *sky, *motion]))
-    stats = [F.count("*").alias("n")]
-    for c in features:
-        stats += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
-    stats += [F.avg(c).alias(f"{c}_mean") for c in [*sky, *motion] if c not in features]
+    means = [c for c in dict.fromkeys([*sky, *motion]) if c not in features]
+    rows = _clustered(df, label, [*features, *means])
+    columns: dict[str, list[float]] = {c: [0.5] for c in features} | {c: [] for c in means}
     if motion:
-        stats.append(F.avg(pm_magnitude(F.col("pmra"), F.col("pmdec"))).alias("pm_mag_mean"))
-    out = rows.groupBy(label).agg(*stats)
-    if features:
-        medians = group_quantiles(rows, [label], {c: [0.5] for c in features})
-        medians = medians.select(label, *[F.col(f"{c}_q0").alias(f"{c}_median") for c in features])
-        out = out.join(medians, label)
-    return out
+        rows = rows.withColumn("pm_mag", pm_magnitude(F.col("pmra"), F.col("pmdec")))
+        columns["pm_mag"] = []
+    profile = group_profile(rows, [label], columns)
+    out = [F.col("_rows").alias("n")]
+    for c in features:
+        out += [f"{c}_mean", f"{c}_std"]
+    out += [f"{c}_mean" for c in columns if c not in features]
+    return profile.select(label, *out, *[F.col(f"{c}_q0").alias(f"{c}_median") for c in features])
 
 
 def cluster_stats_long(df: DataFrame, features: Iterable[str], label: str = "cluster") -> DataFrame:
@@ -143,25 +132,15 @@ def describe_table(
     """One row per column: count, mean, std, min, the percentiles, max."""
     columns, probabilities = list(columns), list(probabilities)
     rows = df.select(*[coerce(F.col(c)).alias(c) for c in columns])
-    quantiles = group_quantiles(rows, [], {c: probabilities for c in columns})
-    stats = []
-    for c in columns:
-        stats += [
-            F.count(c).alias(f"{c}_count"),
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev_samp(c).alias(f"{c}_std"),
-            F.min(c).alias(f"{c}_min"),
-            F.max(c).alias(f"{c}_max"),
-        ]
+    profile = group_profile(rows, [], {c: probabilities for c in columns})
     records = [
         F.struct(
             F.lit(c).alias("column"),
-            *[F.col(f"{c}_{s}").alias(s) for s in ("count", "mean", "std", "min")],
-            *[F.col(f"q.{c}_q{j}").alias(f"p{round(p * 100):02d}") for j, p in enumerate(probabilities)],
+            F.col(f"{c}_n").alias("count"),
+            *[F.col(f"{c}_{s}").alias(s) for s in ("mean", "std", "min")],
+            *[F.col(f"{c}_q{j}").alias(f"p{round(p * 100):02d}") for j, p in enumerate(probabilities)],
             F.col(f"{c}_max").alias("max"),
         )
         for c in columns
     ]
-    # One scalar row of quantiles, read once.
-    stats = rows.agg(*stats).withColumn("q", quantiles.select(F.struct("*")).scalar())
-    return stats.select(F.inline(F.array(*records)))
+    return profile.select(F.inline(F.array(*records)))

@@ -6,8 +6,8 @@ because the last bits of a sum depend on the order of its terms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cached_property
+from collections.abc import Callable, Iterable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -779,7 +779,6 @@ select {r("avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end)", "silh
 
 
 DIMENSIONS = 64
-SILHOUETTE_SAMPLE = 150
 
 
 @query("silhouette_exact", _silhouette_sql("select vec_id as row_id, label as cluster, embedding::double[] as f from embeddings"))
@@ -802,13 +801,13 @@ def _(t):
             f"(embedding[{i}]::double - avg(embedding[{i}]::double) over ()) / stddev_pop(embedding[{i}]::double) over ()"
             for i in range(1, DIMENSIONS + 1)
         )
-        + f"] as f from (select * from embeddings order by md5('0:' || vec_id) limit {SILHOUETTE_SAMPLE})",
+        + f"] as f from (select * from embeddings order by md5('0:' || vec_id) limit 20000)",
     ),
 )
 def _(t):
     names = [f"f{i}" for i in range(DIMENSIONS)]
     wide = t.embeddings.select("row_id", "cluster", *[F.col("features")[i].alias(c) for i, c in enumerate(names)])
-    return silhouette_sampled(wide, names, sample=SILHOUETTE_SAMPLE)
+    return silhouette_sampled(wide, names)
 
 
 # Overlays, order, samples
@@ -1065,7 +1064,7 @@ def _(t):
 # Density clustering of the whole catalogue
 
 K = 5
-CUT = 2.0
+CUTS = [1.0, 1.5, 2.0]
 VECTORS_SQL = "select row_id, " + ", ".join(
     f'floor("{c}" * {GRID} + 0.5) / {GRID} as f{i}' for i, c in enumerate(FEATURES, 1)
 ) + " from used"
@@ -1099,46 +1098,134 @@ def _hierarchy(t: Tables) -> dict[str, DataFrame]:
     return selection.hierarchy(t.vectors, min_cluster_size=K)
 
 
-@query("min_span_tree")
-def _(t):
-    return _hierarchy(t)["edges"]
+# The spanning tree by adding the nearest row to a growing set, one row a step. What is joined at some distance stands
+# together in the order of adding, so the hierarchy cuts that order at its longest steps, all equal ones at once.
+SPAN_SQL = f"""{PAIRS_SQL},
+pts as (select row_number() over (order by row_id) as i, row_id, f1, f2, f3, f4, f5, core from p join core using (row_id)),
+arr as (select list(core order by i) as c, {", ".join(f"list(f{j} order by i) as a{j}" for j in range(1, 6))}, count(*)::int as n from pts),
+span as (
+  select 1 as step, 1::bigint as cur, null::double as w, list_transform(range(1, n + 1), lambda j: case when j > 1 then 'inf'::double end) as best from arr
+  union all
+  select step + 1, nxt, nb[nxt], list_concat(nb[:nxt - 1], [null::double], nb[nxt + 1:]) from (
+    select step, nb, list_position(nb, list_min(nb))::bigint as nxt from (
+      select step, list_transform(best, lambda b, j: case when b is not null then least(b, greatest(c[j], c[cur], sqrt(
+        {" + ".join(f"(a{j}[j] - a{j}[cur]) * (a{j}[j] - a{j}[cur])" for j in range(1, 6))}))) end) as nb
+      from span, arr where step < n)))"""
+TREE_SQL = f"""{SPAN_SQL},
+least_w as (select coalesce(min(w) filter (w > 0), 1.0) as f from span),
+line as (select list(row_id order by step) as ids, list(greatest(w, f) order by step) as ws, count(*)::bigint as n
+  from span join pts on i = cur, least_w),
+walk as (
+  select 'born' as kind, 1::bigint as lo, n as hi, n as cid, null::bigint as parent, null::double as w from line
+  union all
+  select case when e - s + 1 < {K} then 'shed' when n_big > 1 then 'born' else 'same' end, s, e,
+    case when e - s + 1 >= {K} and n_big > 1 then s * 10000000 + e else cid end, cid, m
+  from (
+    select cid, m, unnest(starts) as s, unnest(ends) as e,
+      len(list_filter(range(1, len(starts) + 1), lambda k: ends[k] - starts[k] + 1 >= {K})) as n_big
+    from (
+      select cid, m, list_concat([lo], cuts) as starts, list_concat(list_transform(cuts, lambda x: x - 1), [hi]) as ends
+      from (
+        select cid, lo, hi, m, list_filter(range(lo + 1, hi + 1), lambda x: ws[x] = m) as cuts
+        from (select cid, lo, hi, ws, list_max(ws[lo + 1:hi]) as m from walk, line where kind <> 'shed' and hi > lo))))),
+clusters as (select cid, parent, w as born_w, coalesce(1 / w, 0.0) as birth, hi - lo + 1 as size from walk where kind = 'born'),
+fallen as (select cid as parent, unnest(ids[lo:hi]) as row_id, 1 / w as lambda_val from walk, line where kind = 'shed'),
+tree as (
+  select parent, row_id as child, lambda_val, 1::bigint as child_size, false as is_cluster from fallen
+  union all select parent, null, birth, size, true from clusters where parent is not null),
+stable as (
+  select c.*, s.stability, s.death from clusters c join (
+    select t.parent as cid, sum(child_size * lambda_val) - sum(child_size) * any_value(birth) as stability, max(lambda_val) as death
+    from tree t join clusters k on k.cid = t.parent group by t.parent) s using (cid))"""
+CHOICE_SQL = f"""{TREE_SQL},
+ranked as (select *, row_number() over (order by size, cid) as k from stable),
+kids as (select p.k, list(c.k) as below from ranked p join ranked c on c.parent = p.cid group by p.k),
+known as (select r.k, r.stability, coalesce(kids.below, []) as below from ranked r left join kids using (k)),
+best as (
+  select 0::bigint as k, []::double[] as b, null::boolean as wins
+  union all
+  select best.k + 1, list_append(b, greatest(stability, under)), stability >= under from (
+    select best.k, b, stability, coalesce(list_sum(list_transform(below, lambda x: b[x])), 0.0) as under
+    from best join known on known.k = best.k + 1) best),
+chosen as (
+  select cid, null::bigint as pick from clusters where parent is null
+  union all
+  select r.cid, coalesce(chosen.pick, case when best.wins then r.cid end)
+  from chosen join ranked r on r.parent = chosen.cid join best on best.k = r.k),
+fitted as (
+  select row_id, pick, case when pick is null then 0.0 else least(lambda_val, death) / death end as prob
+  from fallen join chosen on chosen.cid = fallen.parent left join stable on stable.cid = pick),
+named as (
+  select pick, (row_number() over (order by count(*) desc, min(row_id)) - 1)::int as cluster from fitted where pick is not null group by pick)"""
+
+
+def _without_names(clusters: DataFrame, column: str, *facts: str) -> DataFrame:
+    """Facts of the cluster that ``column`` names, as ``{column}_{fact}``, as clusters' names mean nothing outside a run."""
+    return clusters.select(F.col("cluster").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in facts])
+
+
+@query("min_span_tree", f"{SPAN_SQL} select {r('w')}, count(*) as n from span where w is not null group by round(w, 6) + 0.0")
+def _(t):
+    """How many edges the tree has of each weight, which is the same for every least tree."""
+    weight = (F.round("w", 6) + 0.0).alias("w")
+    return _hierarchy(t)["edges"].groupBy(weight).agg(F.count("*").alias("n"))
 
 
 @query(
     "components_at",
     PAIRS_SQL
-    + f""", e as (select d.row_id as u, neighbor_id as v from d join core a on a.row_id = d.row_id
-  join core b on b.row_id = neighbor_id where greatest(a.core, b.core, dist) <= {CUT}),
-reach as (select row_id, row_id as via from p union select reach.row_id, e.v from reach join e on e.u = reach.via)
-select row_id, min(via) as component from reach group by row_id""",
+    + f""", c as (select unnest({CUTS}::double[]) as cut),
+e as (select cut, d.row_id as u, neighbor_id as v from d join core a on a.row_id = d.row_id
+  join core b on b.row_id = neighbor_id join c on greatest(a.core, b.core, dist) <= cut),
+reach as (select cut, row_id, row_id as via from p, c union
+  select reach.cut, reach.row_id, e.v from reach join e on e.u = reach.via and e.cut = reach.cut)
+select cut, row_id, min(via) as component from reach group by cut, row_id""",
 )
 def _(t):
-    return components.components_at(_hierarchy(t)["edges"], CUT)
+    return components.components_at(_hierarchy(t)["edges"], CUTS)
 
 
-@query("condensed_tree")
+@query(
+    "condensed_tree",
+    f"{TREE_SQL} select child, {rs('lambda_val')}, child_size, is_cluster, size as parent_size, {r('birth', 'parent_birth')} "
+    "from tree join clusters on cid = tree.parent",
+)
 def _(t):
-    return _hierarchy(t)["tree"]
+    tables = _hierarchy(t)
+    tree = tables["tree"].join(_without_names(tables["clusters"], "parent", "size", "birth"), "parent").drop("parent")
+    return tree.withColumn("child", F.when(~F.col("is_cluster"), F.col("child")))
 
 
-@query("cluster_stability")
+@query("cluster_stability", f"{TREE_SQL} select {rs('birth', 'born_w')}, size, {rs('stability', 'death')} from stable")
 def _(t):
-    return _hierarchy(t)["clusters"]
+    return _hierarchy(t)["clusters"].drop("cluster", "parent")
 
 
-@query("select_clusters")
+@query(
+    "select_clusters",
+    f"{CHOICE_SQL} select c.size as cluster_size, {r('c.birth', 'cluster_birth')}, d.size as chosen_size, {r('d.birth', 'chosen_birth')} "
+    "from chosen join clusters c using (cid) left join clusters d on d.cid = pick",
+)
 def _(t):
-    return selection.select_clusters(_hierarchy(t)["clusters"])
+    clusters = _hierarchy(t)["clusters"]
+    picked = selection.select_clusters(clusters)
+    picked = picked.join(_without_names(clusters, "cluster", "size", "birth"), "cluster")
+    return picked.join(_without_names(clusters, "chosen", "size", "birth"), "chosen", "left").drop("cluster", "chosen")
 
 
-@query("membership_probability")
+@query(
+    "membership_probability",
+    f"{CHOICE_SQL} select row_id as point_id, {rs('prob')}, 1::bigint as weight, size as chosen_size "
+    "from fitted left join clusters on cid = pick",
+)
 def _(t):
     tables = _hierarchy(t)
     chosen = selection.select_clusters(tables["clusters"])
-    return selection.membership_probability(tables["tree"], tables["clusters"], chosen)
+    fitted = selection.membership_probability(tables["tree"], tables["clusters"], chosen)
+    return fitted.join(_without_names(tables["clusters"], "chosen", "size"), "chosen", "left").drop("chosen")
 
 
-@query("density_cluster")
+@query("density_cluster", f"{CHOICE_SQL} select row_id, coalesce(cluster, -1) as cluster, {rs('prob')} from fitted left join named using (pick)")
 def _(t):
     return selection.density_cluster(t.vectors, min_cluster_size=K)
 
@@ -1194,8 +1281,64 @@ def _(t):
     return done["labelled"].select("row_id", "cluster", "prob", "is_member", "is_target")
 
 
-@query("job_report")
+def _count_sql(of: str) -> str:
+    return f"(select count(*) from ({of}))"
+
+
+def _pairs_sql(features: Iterable[str], ours: str) -> str:
+    """Number of features and labels that occur together."""
+    return " + ".join(f'(select count(distinct cluster) from {ours} where "{c}" is not null)' for c in features)
+
+
+ALL, MEMBERS, LISTED = (_count_sql(f"select 1 from {of}") for of in ("labelled", "member", "ref"))
+FIGURE_COUNTS = {
+    "sky_scatter_all": f"{ALL} + {LISTED}",
+    "sky_scatter_members": f"{MEMBERS} + {LISTED}",
+    "sky_scatter_prob_all": ALL,
+    "sky_scatter_prob_members": MEMBERS,
+    "sky_hexbin_all": _count_sql(ORACLE["sky_hexbin"]),
+    "sky_quiver_members": f"least({MEMBERS}, 800)",
+    "pm_plane_all": ALL,
+    "pm_plane_all_ellipse": f"least({ALL} // 5, 1)",
+    "pm_plane_prob_all": ALL,
+    "pm_plane_members": MEMBERS,
+    "pm_plane_members_ellipse": f"least({MEMBERS} // 5, 1)",
+    "pm_plane_hexbin_members": _count_sql(ORACLE["pm_hexbin"]),
+    "cmd_members": MEMBERS,
+    "cmd_hexbin_members": _count_sql(ORACLE["cmd_hexbin"]),
+    "cmd_members_vs_valid": f"{MEMBERS} + {LISTED}",
+    "pm_plane_members_vs_valid": f"{MEMBERS} + {LISTED}",
+    "mg_vs_parallax_members": MEMBERS,
+    "hist_by_cluster": f"30 * ({_pairs_sql(jobs.HISTOGRAMS, 'labelled')})",
+    "box_by_cluster_members": _pairs_sql(jobs.SHAPES, "member"),
+    "violin_by_cluster_members": f"100 * ({_pairs_sql(jobs.SHAPES, 'member')})",
+    "prob_hist": "30",
+    "prob_cdf_all": _count_sql("select 1 from labelled where prob is not null"),
+    "prob_cdf_members": _count_sql("select 1 from member where prob is not null"),
+    "members_vs_threshold": "41",
+    "radial_profile_members": "25",
+    "ruwe_vs_g_members": MEMBERS,
+    "panel_labels": "(select count(distinct cluster) from labelled)",
+    "panel_cluster": f"20 * ({_pairs_sql(distributions.PANEL_FEATURES, 'labelled')})",
+    "panel_cluster_sky": ALL,
+    "panel_cluster_cmd": ALL,
+    "panel_cluster_centers": "(select count(distinct cluster) from labelled)",
+    "panel_cluster_vectors": "(select sum(least(n, 800)) from (select count(*) as n from labelled group by cluster))",
+}
+
+
+def _figures_sql(counts: dict[str, str]) -> str:
+    return " union all ".join(f"select '{name}' as name, ({n})::bigint as n" for name, n in counts.items())
+
+
+def _counted(found: dict[str, DataFrame]) -> DataFrame:
+    counts = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, table in found.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("job_report", _figures_sql(FIGURE_COUNTS | {"members_only_check": "1"}))
 def _(t):
+    """Row counts of all tables that the last job wrote, read back by its manifest."""
     folder = _labelled(t)
     manifest = jobs.job_report(
         t.spark,
@@ -1203,15 +1346,10 @@ def _(t):
         f"{folder}/figures",
         f"{folder}/interim/valid_clean.parquet",
     )
-    return manifest.select("name")
+    return _counted({r["name"]: t.spark.read.parquet(r["path"]) for r in manifest.collect()})  # one row a view
 
 
-@query("figure_tables")
+@query("figure_tables", _figures_sql(FIGURE_COUNTS))
 def _(t):
     """Row counts of all distribution tables."""
-    found = jobs.figure_tables(t.labelled, t.ref)
-    counts = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, table in found.items()]
-    out = counts[0]
-    for one in counts[1:]:
-        out = out.unionByName(one)
-    return out
+    return _counted(jobs.figure_tables(t.labelled, t.ref))

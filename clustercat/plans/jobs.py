@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clustercat.operators import compare, distributions, harmonise, members, scale, summary
 from clustercat.operators.density.cells import CELL_ROWS
 from clustercat.operators.density.selection import hierarchy, label_points, select_clusters
-from clustercat.operators.density.neighbours import to_rows
+from clustercat.operators.density.neighbours import searchable, to_rows
 from clustercat.operators.distributions import PANEL_FEATURES
 from clustercat.operators.ranking import panel_labels, positions, sample_rows
 from clustercat.operators.silhouette import silhouette_exact
@@ -107,7 +107,7 @@ def job_cluster(
     tables = hierarchy(scaled, min_cluster_size, min_samples, metric, cell_rows)
     chosen = keep(select_clusters(tables["clusters"], method, epsilon, allow_single_cluster), "selected")
     named = tables["points"].select("point_id", "features").join(label_points(tables, chosen), "point_id")
-    labels = keep(to_rows(scaled, named.drop("point_id")), "labels")
+    labels = keep(to_rows(searchable(scaled, metric), named.drop("point_id")), "labels")
     labelled = _write(members.reattach_all_rows(catalog, labels, threshold), f"{out}/clustered.parquet")
     tree = _write(tables["tree"], f"{out}/condensed_tree.parquet")
     meta = summary.run_meta(summary.clustering_overview(labels), features, min_cluster_size, threshold, labels, catalog)

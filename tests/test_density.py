@@ -67,7 +67,7 @@ def test_unknown_choices(spark):
     with pytest.raises(ValueError):
         selection.density_cluster(frame(spark, sample("blobs")), method="other")
     with pytest.raises(ValueError):
-        selection.density_cluster(frame(spark, sample("blobs")), metric="cosine")
+        selection.density_cluster(frame(spark, sample("blobs")), metric="hamming")
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
@@ -118,11 +118,28 @@ def test_components(spark):
     assert {r.row_id: r.component for r in components.components_at(edges, 1.0).collect()} == {1: 1, 2: 1, 3: 3}
 
 
-def test_deep_trees_level_by_level(spark):
+def test_most_stable_choice(spark):
     rows = [(0, None, 5.0), (1, 0, 1.0), (2, 0, 3.0), (3, 1, 1.0), (4, 1, 4.0), (5, 4, 2.0), (6, 4, 1.0)]
     tree = spark.createDataFrame(rows, "cluster long, parent long, stability double")
-    both = [{r.cluster for r in selection._excess_of_mass(tree, n).collect()} for n in (0, 100)]
-    assert both[0] == both[1] == {2, 3, 4, 5, 6}
+    assert {r.cluster for r in selection._excess_of_mass(tree).collect()} == {2, 3, 4, 5, 6}
+
+
+def test_components_of_many_cuts(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 80), rng.integers(0, 60, 80), rng.integers(1, 9, 80))]
+    edges = spark.createDataFrame(pairs, "a long, b long, w double")
+    cuts = [8.0, 0.5, 3.0, 5.0]
+    every = {(r.cut, r.row_id): r.component for r in components.components_at(edges, cuts).collect()}
+    rows = {i for a, b, _ in pairs for i in (a, b)}
+    assert set(every) == {(c, i) for c in cuts for i in rows}
+    for cut in cuts:
+        home = {i: i for i in rows}
+        for _ in rows:
+            for a, b, w in pairs:
+                if w <= cut:
+                    home[a] = home[b] = min(home[a], home[b])
+        assert {i: every[(cut, i)] for i in rows} == home
+        assert {r.row_id: r.component for r in components.components_at(edges, cut).collect()} == home
 
 
 def test_hierarchy_tables(tables):
@@ -147,3 +164,67 @@ def test_copies_are_neighbours(spark):
     }
     weights = {(r.row_id, r.neighbor_id): r.weight for r in neighbours.mutual_reachability(df, 2).collect()}
     assert weights[(2, 5)] == 0.0 and weights[(1, 2)] == 1.0 and len(weights) == 8
+
+
+def _sphere(metric, x):
+    if metric == "cosine":
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        return 1 - unit @ unit.T
+    lat, lon = x[:, 0], x[:, 1]
+    half = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    return 2 * np.arcsin(np.sqrt(np.minimum(half, 1)))
+
+
+@pytest.mark.parametrize("metric", ["haversine", "cosine"])
+def test_neighbours_on_the_sphere(spark, metric):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3)) if metric == "cosine" else np.c_[rng.uniform(-1.5, 1.5, 200), rng.uniform(-3.1, 3.1, 200)]
+    dist = _sphere(metric, x)
+    np.fill_diagonal(dist, np.inf)
+    df = frame(spark, x)
+    if metric == "cosine":
+        df = df.unionByName(spark.createDataFrame([(999, [0.0, 0.0, 0.0])], df.schema))  # no direction: left out
+    got = neighbours.knn(df, 4, metric, cell_rows=16).toPandas().sort_values(["row_id", "rank"])
+    assert got["neighbor_id"].tolist() == np.argsort(dist, axis=1)[:, :4].ravel().tolist()
+    np.testing.assert_allclose(got["dist"], np.sort(dist, axis=1)[:, :4].ravel(), atol=1e-12)
+    core = {r.row_id: r.core for r in neighbours.core_distance(df, 4, metric, cell_rows=16).collect()}
+    np.testing.assert_allclose([core[i] for i in range(200)], np.sort(dist, axis=1)[:, 3], atol=1e-12)
+
+
+def test_clusters_on_the_sphere(spark):
+    """Two fields across the meridian of 0 degrees and near a pole, where plain coordinates fail."""
+    rng = np.random.default_rng(4)
+    lon = np.r_[rng.normal(0, 0.02, 40) % (2 * np.pi), rng.uniform(0, 2 * np.pi, 40)]
+    lat = np.r_[rng.normal(0, 0.02, 40), np.pi / 2 - np.abs(rng.normal(0, 0.02, 40))]
+    got = selection.density_cluster(frame(spark, np.c_[lat, lon]), 10, metric="haversine").toPandas().sort_values("row_id")
+    label = got["cluster"].to_numpy()
+    assert set(label) - {-1} == {0, 1} and len(set(label[:40]) - {-1}) == len(set(label[40:]) - {-1}) == 1
+    assert (label >= 0).mean() > 0.7
+
+
+@pytest.mark.parametrize("fan_bits", [2, 8])
+def test_nested_cells(spark, monkeypatch, fan_bits):
+    """Many small nodes on several levels find the same neighbours as one level."""
+    from clustercat.operators.density import cells as module
+
+    monkeypatch.setattr(module, "FAN_BITS", fan_bits)
+    x = np.random.default_rng(7).normal(size=(400, 2))
+    placed, cells = build_cells(neighbours.distinct_points(frame(spark, x)), 12)
+    assert cells.depth == 6 and len(cells.bits) == (3 if fan_bits == 2 else 1)
+    assert placed.select("cell").distinct().count() > 40
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    lists = neighbours.neighbour_lists(placed, cells, 3).toPandas().sort_values("point_id")
+    got = [[n["id"] for n in row] for row in lists["neighbours"]]
+    assert got == np.argsort(dist, axis=1)[:, :3].tolist()
+
+
+def test_boxes_of_all_pairs_are_not_visited(spark):
+    """Queries enter few cells: the search goes down the tree, not over all boxes."""
+    from clustercat.operators.density.cells import descend
+
+    x = np.random.default_rng(8).uniform(size=(2000, 2))
+    placed, cells = build_cells(neighbours.distinct_points(frame(spark, x)), 16)
+    asked = placed.select("point_id", "features", F.lit(0.02).alias("radius"), F.col("cell").alias("own"))
+    visits = descend(asked, cells).groupBy("point_id").count().agg(F.avg("count")).first()[0]
+    assert cells.depth >= 7 and visits < 4
