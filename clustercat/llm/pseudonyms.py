@@ -46,8 +46,8 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 KINDS = ("email", "iban", "access", "token", "secret", "ip", "date", "ssn", "phone", "card")
-# No value has neither a digit nor one of these.
-HINT = re.compile(r"[0-9@]|[=:]")
+# Every value has one of these: a digit, an at sign, the mark behind a secret's name, or the start of a token or access key.
+HINT = re.compile(r"[0-9@=:]|gh[pousr]_|sk-|xox[abp]-|AKIA|ASIA")
 
 
 def luhn_digit(payload: str) -> int:
@@ -208,7 +208,7 @@ def _date(key: bytes, value: str, back: bool) -> str | None:
         return None
     era, first_day, days = _era(int(year))
     number -= first_day
-    # A layout is an order of the parts and whether both are two digits wide; each is permuted within itself.
+    # A layout is an order of the parts and how wide they are.
     wide = len(month) == len(day) == 2
     if wide:
         fits = lambda d: not year_first and (d.day > 12) != month_first and month_first
@@ -216,8 +216,8 @@ def _date(key: bytes, value: str, back: bool) -> str | None:
         fits = lambda d: not (len(str(d.month)) <= len(month) and len(str(d.day)) <= len(day)) or (month_first and d.day <= 12)
         if len(month) > len(str(int(month))) or len(day) > len(str(int(day))):  # a padded part keeps two digits
             fits = lambda d: not ((len(month) == 2 or d.month < 10) and (len(day) == 2 or d.day < 10)) or (month_first and d.day <= 12)
-    permutation = Permutation(key, f"date{mark}{year_first}{month_first}{len(month)}{len(day)}{era and '|' + era}", days)
-    while True:  # walk within the dates of this layout
+    permutation = Permutation(key, f"date{era}", days)
+    while True:  # all layouts share one permutation and walk along it to the next date that reads the same in theirs
         number = permutation.undo(number) if back else permutation.apply(number)
         found = datetime.date.fromordinal(first_day + number)
         if not fits(found):
@@ -229,19 +229,22 @@ def _date(key: bytes, value: str, back: bool) -> str | None:
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | None:
-    """The value's pseudonym (or with ``back`` the value of a pseudonym); None if it isn't valid for its kind."""
+def pseudonym(key: bytes, kind: str, value: str, back: bool = False, unvalidated: bool = False) -> str | None:
+    """The value's pseudonym (or with ``back`` the value of a pseudonym); None if it isn't valid for its kind.
+
+    With ``unvalidated`` card and account numbers that fail their check are permuted too.
+    """
     if kind == "card":
         digits = re.sub(r"[^0-9]", "", value)
         if luhn_digit(digits[:-1]) != int(digits[-1]):
-            # Not a card: still a long number that may identify someone.
-            return _number(key, "number", value, back=back)
+            # Not a card, but it may still identify someone.
+            return _number(key, "number", value, back=back) if unvalidated else None
         free = _number(key, f"card{len(digits)}", digits[:-1], fixed=1, back=back)
         return _digits_again(value, free + str(luhn_digit(free)))
     if kind == "iban":
         packed = value.replace(" ", "")
         if not iban_valid(packed):
-            return permute_text(key, "account", value, [None] * 2 + _alphabets(value[2:]), back)
+            return permute_text(key, "account", value, [None] * 2 + _alphabets(value[2:]), back) if unvalidated else None
         body = permute_text(key, f"iban{packed[:2]}", packed[4:], _alphabets(packed[4:]), back)
         moved = body + packed[:2] + "00"
         check = 98 - int("".join(str(int(c, 36)) for c in moved)) % 97
@@ -265,7 +268,7 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
             return None
         country = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
         fixed = len(country[1]) if country else 0
-        return _number(key, f"phone{re.sub('[0-9]', '0', value)}", value, fixed, back)
+        return _number(key, f"phone{len(digits)}", value, fixed, back)
     if kind == "email":
         name, _, domain = value.rpartition("@")
         return f"{permute_text(key, 'email' + domain.lower(), name, _alphabets(name), back)}@{domain}"
@@ -278,7 +281,7 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
     return permute_text(key, "secret", value, _alphabets(value, hexadecimal=True), back)
 
 
-def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def pseudonymise(text: str, key: bytes, back: bool = False, unvalidated: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its values replaced, and ``kind, start, length`` of each in the new text."""
     if not HINT.search(text):
         return text, []
@@ -288,7 +291,7 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
         start, end = m.span("secret_value") if kind == "secret" else m.span()
         # A long value isn't remembered.
         make = pseudonym if end - start <= 2 * LONG else pseudonym.__wrapped__
-        new = make(key, kind, text[start:end], back)
+        new = make(key, kind, text[start:end], back, unvalidated)
         if new is None:
             continue
         out += [text[at:start], new]
@@ -300,14 +303,15 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
 
 
 def pseudonymise_documents(
-    docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text", unvalidated: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, text, values`` and its locator; ``values`` lists ``kind, start, length``.
 
     Whole texts are read. A null text stays null and has no values; an empty one stays empty; repeated
     rows and ids are rows of their own; other columns are ignored; an empty table gives no rows.
-    Numbers that fail their check are still permuted, as plain numbers; addresses and dates
-    that cannot exist stay as they are.
+    Addresses and dates that cannot exist and card and account numbers that fail their check stay as
+    they are; with ``unvalidated`` those numbers are permuted too. A telephone number has one pseudonym
+    in all layouts, a date in all that start with the year.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +320,7 @@ def pseudonymise_documents(
             texts, found = [], []
             for text in batch.column(0):
                 text = text.as_py()
-                new, spans = (None, []) if text is None else pseudonymise(text, key)
+                new, spans = (None, []) if text is None else pseudonymise(text, key, unvalidated=unvalidated)
                 texts.append(new)
                 found.append([{"kind": k, "start": s, "length": n} for k, s, n in spans])
             arrays = [pa.array(texts, pa.string()), pa.array(found, values)]
