@@ -25,11 +25,17 @@ from clustercat.llm.hilbert import hilbert_keys
 from clustercat.storage import keep
 
 
-def usable(vector: Column, size: int) -> Column:
-    """Whether a vector has ``size`` finite components that aren't all zero."""
+def usable(vector: Column) -> Column:
+    """Whether a vector has components, all finite and not all zero."""
     double = vector.cast("array<double>")
     finite = F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == size) & finite & F.exists(double, lambda x: x != 0), F.lit(False))
+    return F.coalesce(finite & F.exists(double, lambda x: x != 0), F.lit(False))
+
+
+def common_size(rows: DataFrame) -> int:
+    """The length that most vectors have, the greatest of several; 0 if there is none."""
+    found = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return found["size"] if found else 0
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -144,7 +150,7 @@ def nearest_neighbours(
     queries: Column,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
-    size: int = 64,
+    size: int | None = None,
     k: int = 10,
     curves: int = 20,
     window: int = 2048,
@@ -158,10 +164,11 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the ``k`` rows nearest to each row that ``queries`` selects, as far as found.
 
     Nearness is Euclidean distance in double precision on the vectors as given; ties
-    go to the smaller id. A row is not its own neighbour: candidates are all other rows. Vectors that are null, of another size, zero, or hold a null or
-    non-finite component take no part, nor do null ids. Of rows that repeat an id
-    with the same vector one takes part; rows with one id and several vectors each take part,
-    as neighbours, also of each other, and as queries. An empty table gives no rows; other columns are ignored.
+    go to the smaller id. A row is not its own neighbour: candidates are all other rows, also those that
+    repeat its id or its vector. Vectors that are null, zero, or hold a null or non-finite component
+    take no part, nor do null ids. Vectors of different lengths have no distance, so those
+    of one length take part: ``size``, by default the length that most of them have. Rows that repeat an id are
+    rows and queries of their own. An empty table gives no rows; other columns are ignored.
 
     The windows beside a query's own that are searched are as many as find the share ``recall`` of the
     true neighbours of about ``trials`` queries, at any number of rows (:func:`fit_reach`).
@@ -169,15 +176,15 @@ def nearest_neighbours(
     Equal vectors are one point on the curves, carrying its ``k + 1`` first rows in order of id,
     which are all that any answer can need.
     """
-    rows = vectors.filter(usable(F.col(vector_column), size) & F.col(id_column).isNotNull()).select(
+    rows = vectors.filter(usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"),
         # Zero has one sign here, so equal vectors are equal keys.
         F.transform(F.col(vector_column).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"),
         F.coalesce(queries, F.lit(False)).alias("asked"),
     )
-    rows = rows.groupBy("id", "vector").agg(F.max("asked").alias("asked"))
-    # An id may stand for several vectors, so rows go by their number in order of id.
-    rows = positions(rows, [], ["id", "vector"]).withColumnRenamed("_pos", "row")
+    size = size or common_size(rows)
+    # An id may stand for several rows, so rows go by their number in order of id.
+    rows = positions(rows.filter(F.size("vector") == size), [], ["id", "vector", "asked"]).withColumnRenamed("_pos", "row")
     rows = keep(rows.withColumn("mark", F.xxhash64("vector")), "vectors")
     by_row = Window.partitionBy("mark", "vector").orderBy("row")
     # The filter on the rank is applied before the exchange too, so a common vector sends few rows.
