@@ -89,7 +89,9 @@ def test_all_documents(shipped, folder):
     for i, text in texts.items():
         assert found[i]["text"] == P.pseudonymise(text, KEY)[0]
         for value in re.findall(r"[a-z]+\.\d+@\S+\.com|\b\d{16}\b|AKIA\w{16}|\d+\.\d+\.\d+\.\d+", text):
-            assert value not in found[i]["text"]
+            # A number that fails its check is no card and stays.
+            decoy = len(value) == 16 and value.isdigit() and P.luhn_digit(value[:-1]) != int(value[-1])
+            assert (value in found[i]["text"]) == decoy
 
 
 def test_odd_rows(shipped):
