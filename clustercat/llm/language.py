@@ -26,14 +26,49 @@ TEMPER = 0.2
 # Labelled documents that each language has in the sample, if there are as many.
 LEAST = 500
 
-_dropped = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+# Parts of a page that don't speak: where they open, and what closes each.
+_opened = re.compile(r"<!--|<(script|style|nav|header|footer|aside)\b", re.IGNORECASE)
+_closed = {
+    None: re.compile("-->"),
+    **{name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "nav", "header", "footer", "aside")},
+}
 _tag = re.compile(r"<[^>]*>")
+_html = re.compile(r"<html\b", re.IGNORECASE)
+_lang = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]+)", re.IGNORECASE)
 _letters = re.compile(r"[^\W\d_]+")
 
 
+def _spoken(html: str) -> str:
+    """The page with each closed silent part as one blank; one that is never closed stays. Every sign is passed once a kind."""
+    parts, at, look, open_ended = [], 0, 0, set()
+    while found := _opened.search(html, look):
+        kind = found[1] and found[1].lower()
+        end = None if kind in open_ended else _closed[kind].search(html, found.end())
+        if end is None:
+            open_ended.add(kind)
+            look = found.end()
+        else:
+            parts += [html[at : found.start()], " "]
+            at = look = end.end()
+    return "".join([*parts, html[at:]])
+
+
 def page_text(html: str) -> str:
     """What a page says, without scripts, styles, navigation and tags."""
-    return _tag.sub(" ", _dropped.sub(" ", html))
+    spoken = _spoken(html)
+    last = spoken.rfind(">") + 1  # behind it no tag ends, so none has to be looked for
+    return _tag.sub(" ", spoken[:last]) + spoken[last:]
+
+
+def declared_language(html: str) -> str:
+    """Start of the ``lang`` that the first ``<html>`` with one declares, in lower case, or nothing."""
+    at = 0
+    while found := _html.search(html, at):
+        at = html.find(">", found.end())
+        at = len(html) if at < 0 else at
+        if lang := _lang.search(html, found.end(), at):
+            return lang[1].lower()
+    return ""
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -96,15 +131,13 @@ def text_evidence(rows: DataFrame, columns: list[str], model: np.ndarray) -> Dat
     ``rows`` has ``text`` and ``is_html``.
     """
     table = model.T * TEMPER
-    declared_pattern = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.IGNORECASE)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             likely, declared = [], []
             for text, is_html in zip(batch.column(0), batch.column(1).to_pylist()):
                 text = text.as_py() or ""
-                found = declared_pattern.search(text) if is_html else None
-                declared.append(found[1].lower() if found else "")
+                declared.append(declared_language(text) if is_html else "")
                 counts = trigram_counts(page_text(text) if is_html else text)
                 at = np.flatnonzero(counts)
                 score = counts[at] @ table[at] if len(at) else np.zeros(table.shape[1])

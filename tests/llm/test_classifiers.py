@@ -1,6 +1,9 @@
 import random
+import re
+import time
 
 import numpy as np
+import pytest
 from conftest_llm import no_documents, odd_documents, with_clashes
 
 from clustercat.llm import language, quality
@@ -120,3 +123,26 @@ def test_an_id_of_many_documents_is_one_row_of_the_sample(shipped):
         "explode(sequence(1, 500)) as k", "*").selectExpr("7L as doc_id", "concat('copy ', k) as text", "lang", "source", "n_chars"))
     sample = quality.labelled_sample(many, labels, "doc_id", "text", 1000).collect()
     assert sorted(r["doc_id"] for r in sample) == list(range(60))
+
+
+def test_pages_are_read_as_by_plain_patterns():
+    silent = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+    declared = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.IGNORECASE)
+    draw = random.Random(3)
+    signs = ["<", ">", "<!--", "-->", "-", "<script", "</script", "</SCRIPT >", "<nav>", "</nav>", "<html ", "<HTML lang='", "lang", " = ",
+             "de", " ", "\n", "word", "é", "<p>", "</p>", "xml:lang=", "<navy", "\""]
+    for _ in range(20_000):
+        html = "".join(draw.choice(signs) for _ in range(draw.randint(0, 16)))
+        assert language.page_text(html) == re.sub("<[^>]*>", " ", silent.sub(" ", html)), html
+        found = declared.search(html)
+        assert language.declared_language(html) == (found[1].lower() if found else ""), html
+
+
+@pytest.mark.parametrize("sign", ["<", "<script ", "<html ", "<!--", "<nav></na", "<html lang=", "<html lang = \n", "</script "])
+def test_long_pages_of_open_marks_take_linear_time(sign):
+    html = sign * (10_000_000 // len(sign))
+    start = time.process_time()
+    language.page_text(html)
+    language.declared_language(html)
+    language.declared_language("<html lang=" + " " * 5_000_000)
+    assert time.process_time() - start < 10
