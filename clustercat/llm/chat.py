@@ -23,8 +23,8 @@ TEMPLATE = {
     "*": {"before": "<s>[ROLE] {role} [/ROLE] ", "after": " [/TURN]", "loss": False},
 }
 CONTROLS = ("<s>", "</s>", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[TURN]", "[/TURN]")
-# State to the roles that may follow; a state is the role before, "" the start.
-TURNS = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+# State to the roles that may follow; a state is the role before, which may be empty or unknown, None the start.
+TURNS = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 
 SEGMENTS = "conv_id {id}, turn_no long, segment_no int, text string, loss boolean, error string"
 BATCH_CHARS = 4 << 20
@@ -77,15 +77,15 @@ def format_chat(
     kind = turns.schema[id_column].dataType.simpleString()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, state, number = (), "", 0
+        opened, state, number = (), None, 0
         for batch in batches:
             out: list[tuple] = []
             size = 0
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (conv,) != opened:
-                    opened, state, number = (conv,), "", 0
+                    opened, state, number = (conv,), None, 0
                 allowed = TURNS.get(state, tuple(TURNS["assistant"]))
-                error = None if role in allowed else f"{role or 'no role'} after {state or 'the start'}"
+                error = None if role in allowed else f"{role or 'no role'} after {'the start' if state is None else state or 'no role'}"
                 for k, (part, loss) in enumerate(turn_segments(role, text, template)):
                     out.append((conv, number, k, part, loss, error))
                     size += len(part)

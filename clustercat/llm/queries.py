@@ -101,25 +101,26 @@ CONTROL_TURN = "</s>[INST] ok [/INST]"
       union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
       union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
     written as (
-      select *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'),
+      select *, row_number() over w as place, lag(role) over w as before, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'),
                                '\[(/?(SYS|INST|ROLE|TURN)\])', '[\\\1', 'g') as escaped
-      from turns),
+      from turns window w as (partition by conv_id order by turn)),
     grouped as (
       select conv_id, count(*) as n_turns,
              string_agg(role || chr(10) || text || chr(10), '' order by turn) as all_text,
              coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as loss_text,
-             sum(length(escaped) + case role when 'system' then 16 when 'user' then 18 else 6 end) as written_chars
+             sum(length(escaped) + case role when 'system' then 16 when 'user' then 18 else 6 end) as written_chars,
+             count(*) filter (not case when place = 1 then role in ('system', 'user') when before = 'user' then role = 'assistant'
+                              else role = 'user' end) as errors
       from written group by conv_id)
     select conv_id, n_turns, sha256(all_text) as turns_sha256, length(loss_text) as loss_chars,
-           sha256(loss_text) as loss_sha256, cast(written_chars as bigint) as formatted_chars
+           sha256(loss_text) as loss_sha256, cast(written_chars as bigint) as formatted_chars, errors
     from grouped""",
 )
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """All conversations and one made of control strings, formatted, kept, and read back."""
+    """All conversations and one made of control strings, formatted, kept, and read back, with the turns out of order."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], turns.schema)
-    read = read_back(keep(format_chat(turns.unionByName(extra)), "chat"))
-    return read.drop("errors")
+    return read_back(keep(format_chat(turns.unionByName(extra)), "chat"))
 
 
 @query("op7_hilbert_neighbours")

@@ -27,12 +27,13 @@ def test_odd_rows(shipped):
         (1, 0, "user", "hello"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, "system", ""),
         (2, 5, None, "x"), (2, 6, "tool", "y"), (None, 0, "user", "long " * 50_000), (None, 1, "assistant", "z"),
         (3, 0, "assistant", "early"),
+        (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, None, "c"), (4, 3, "system", "d"), (4, 4, "user", "e"),
     ]
     turns = with_clashes(shipped.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     segments = chat.format_chat(turns)
     found = {r["conv_id"]: r for r in chat.read_back(segments).collect()}
-    assert {i: r["n_turns"] for i, r in found.items()} == {1: 4, 2: 2, None: 2, 3: 1}
-    assert {i: r["errors"] for i, r in found.items()} == {1: 1, 2: 2, None: 0, 3: 1}
+    assert {i: r["n_turns"] for i, r in found.items()} == {1: 4, 2: 2, None: 2, 3: 1, 4: 5}
+    assert {i: r["errors"] for i, r in found.items()} == {1: 1, 2: 2, None: 0, 3: 1, 4: 2}
     assert found[None]["loss_chars"] == 1 and found[3]["loss_chars"] == 5
     parts = [r for r in segments.collect() if r["conv_id"] == 1]
     parts.sort(key=lambda r: (r["turn_no"], r["segment_no"]))
