@@ -1068,13 +1068,23 @@ CUTS = [1.0, 1.5, 2.0]
 VECTORS_SQL = "select row_id, " + ", ".join(
     f'floor("{c}" * {GRID} + 0.5) / {GRID} as f{i}' for i, c in enumerate(FEATURES, 1)
 ) + " from used"
-PAIRS_SQL = f"""{Z_SQL}, p as ({VECTORS_SQL}),
+SCALED_SQL = "select row_id, " + ", ".join(
+    f'((("{c}" - avg("{c}") over ()) / stddev_pop("{c}") over ())::float)::double as f{i}' for i, c in enumerate(FEATURES, 1)
+) + " from used"
+
+
+def _near_sql(vectors: str, k: int) -> str:
+    """``p`` rows with features, ``d`` all distances, ``nn`` the k nearest, ``core`` the distance of the k-th."""
+    return f"""{Z_SQL}, p as ({vectors}),
 d as (select a.row_id, b.row_id as neighbor_id, sqrt({" + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(1, 6))}) as dist
   from p a, p b where a.row_id <> b.row_id),
-nn as (select *, row_number() over (partition by row_id order by dist, neighbor_id) as rank from d qualify rank <= {K}),
+nn as (select *, row_number() over (partition by row_id order by dist, neighbor_id) as rank from d qualify rank <= {k}),
 core as (select row_id, max(dist) as core from nn group by row_id)"""
 
 
+PAIRS_SQL = _near_sql(VECTORS_SQL, K)
+
+
 @query("knn", f"{PAIRS_SQL} select row_id, rank::int as rank, neighbor_id, {rs('dist')} from nn")
 def _(t):
     return neighbours.knn(t.vectors, K)
@@ -1100,7 +1110,8 @@ def _hierarchy(t: Tables) -> dict[str, DataFrame]:
 
 # The spanning tree by adding the nearest row to a growing set, one row a step. What is joined at some distance stands
 # together in the order of adding, so the hierarchy cuts that order at its longest steps, all equal ones at once.
-SPAN_SQL = f"""{PAIRS_SQL},
+def _span_sql(vectors: str = VECTORS_SQL, k: int = K) -> str:
+    return f"""{_near_sql(vectors, k)},
 pts as (select row_number() over (order by row_id) as i, row_id, f1, f2, f3, f4, f5, core from p join core using (row_id)),
 arr as (select list(core order by i) as c, {", ".join(f"list(f{j} order by i) as a{j}" for j in range(1, 6))}, count(*)::int as n from pts),
 span as (
@@ -1111,18 +1122,21 @@ span as (
       select step, list_transform(best, lambda b, j: case when b is not null then least(b, greatest(c[j], c[cur], sqrt(
         {" + ".join(f"(a{j}[j] - a{j}[cur]) * (a{j}[j] - a{j}[cur])" for j in range(1, 6))}))) end) as nb
       from span, arr where step < n)))"""
-TREE_SQL = f"""{SPAN_SQL},
+
+
+def _tree_sql(vectors: str = VECTORS_SQL, m: int = K) -> str:
+    return f"""{_span_sql(vectors, m)},
 least_w as (select coalesce(min(w) filter (w > 0), 1.0) as f from span),
 line as (select list(row_id order by step) as ids, list(greatest(w, f) order by step) as ws, count(*)::bigint as n
   from span join pts on i = cur, least_w),
 walk as (
   select 'born' as kind, 1::bigint as lo, n as hi, n as cid, null::bigint as parent, null::double as w from line
   union all
-  select case when e - s + 1 < {K} then 'shed' when n_big > 1 then 'born' else 'same' end, s, e,
-    case when e - s + 1 >= {K} and n_big > 1 then s * 10000000 + e else cid end, cid, m
+  select case when e - s + 1 < {m} then 'shed' when n_big > 1 then 'born' else 'same' end, s, e,
+    case when e - s + 1 >= {m} and n_big > 1 then s * 10000000 + e else cid end, cid, m
   from (
     select cid, m, unnest(starts) as s, unnest(ends) as e,
-      len(list_filter(range(1, len(starts) + 1), lambda k: ends[k] - starts[k] + 1 >= {K})) as n_big
+      len(list_filter(range(1, len(starts) + 1), lambda k: ends[k] - starts[k] + 1 >= {m})) as n_big
     from (
       select cid, m, list_concat([lo], cuts) as starts, list_concat(list_transform(cuts, lambda x: x - 1), [hi]) as ends
       from (
@@ -1137,7 +1151,10 @@ stable as (
   select c.*, s.stability, s.death from clusters c join (
     select t.parent as cid, sum(child_size * lambda_val) - sum(child_size) * any_value(birth) as stability, max(lambda_val) as death
     from tree t join clusters k on k.cid = t.parent group by t.parent) s using (cid))"""
-CHOICE_SQL = f"""{TREE_SQL},
+
+
+def _choice_sql(vectors: str = VECTORS_SQL, m: int = K) -> str:
+    return f"""{_tree_sql(vectors, m)},
 ranked as (select *, row_number() over (order by size, cid) as k from stable),
 kids as (select p.k, list(c.k) as below from ranked p join ranked c on c.parent = p.cid group by p.k),
 known as (select r.k, r.stability, coalesce(kids.below, []) as below from ranked r left join kids using (k)),
@@ -1159,6 +1176,9 @@ named as (
   select pick, (row_number() over (order by count(*) desc, min(row_id)) - 1)::int as cluster from fitted where pick is not null group by pick)"""
 
 
+SPAN_SQL, TREE_SQL, CHOICE_SQL = _span_sql(), _tree_sql(), _choice_sql()
+
+
 def _without_names(clusters: DataFrame, column: str, *facts: str) -> DataFrame:
     """Facts of the cluster that ``column`` names, as ``{column}_{fact}``, as clusters' names mean nothing outside a run."""
     return clusters.select(F.col("cluster").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in facts])
@@ -1257,7 +1277,13 @@ def _(t):
     return _prepared(t)[1]["catalog_report"]
 
 
-@query("job_cluster")
+@query(
+    "job_cluster",
+    f"""{_choice_sql(SCALED_SQL, 30)}, found as (
+  select row_id, coalesce(cluster, -1) as cluster, prob from fitted left join named using (pick))
+select row_id, coalesce(cluster, -1) as cluster, {r("coalesce(prob, 0.0)", "prob")}, coalesce(cluster >= 0 and prob >= 0.5, false) as is_member
+from clean left join found using (row_id)""",
+)
 def _(t):
     folder, done = _prepared(t)
     out = jobs.job_cluster(t.spark, f"{folder}/interim/catalog_clean.parquet", f"{folder}/processed")
