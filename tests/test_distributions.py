@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,24 @@ def test_silhouette(spark):
     assert silhouette_sampled(wide, ["f0", "f1", "f2"]).first()[0] == pytest.approx(_silhouette(z, y[y >= 0]))
     assert -1 <= silhouette_sampled(wide, ["f0", "f1", "f2"], sample=30).first()[0] <= 1
     assert silhouette_sampled(wide, ["none"]).first()[0] is None
+
+
+def test_each_distance_between_blocks_is_computed_once(monkeypatch):
+    from clustercat.operators import silhouette as module
+
+    rng = np.random.default_rng(7)
+    x, y, weight = rng.normal(size=(60, 3)), rng.integers(0, 4, 60), rng.integers(1, 3, 60)
+    rows = pd.DataFrame({"point": np.arange(60), "cluster": y, "features": list(x), "weight": weight, "block": np.arange(60) % 3})
+    count, plain = [], module.distances
+    monkeypatch.setattr(module, "distances", lambda a, b: count.append(len(a) * len(b)) or plain(a, b))
+    sums = []
+    for i in range(3):
+        for j in range(i, 4):  # the last block is empty
+            part = rows[rows["block"].isin([i, j])].assign(i=i, j=j)
+            sums.append(module._pair_sums(part))
+    assert sum(count) == 6 * 20 * 20  # six pairs of three blocks of 20 rows
+    got = pd.concat(sums).groupby(["point", "other"])["total"].sum()
+    dist = plain(x, x) * weight
+    for point in range(60):
+        for other in range(4):
+            assert got[(point, other)] == pytest.approx(dist[point, y == other].sum())
