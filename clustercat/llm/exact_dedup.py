@@ -90,6 +90,26 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
         )
 
 
+def _marked(hits: DataFrame, words: int) -> DataFrame:
+    """``place, bits``: a hash filter of the hits' digests in at most ``words`` rows of 64 bits, whatever the number of hits."""
+    mark = F.xxhash64("digest")
+    return hits.groupBy(F.pmod(mark, F.lit(words)).cast("int").alias("place")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(digest), 40), 64) as int))")).alias("bits")
+    )
+
+
+def _maybe_hits(texts: DataFrame, hits: DataFrame, words: int) -> DataFrame:
+    """``texts`` without those whose digest the filter rules out; none that is a hit is lost.
+
+    The filter has a bounded size, so it is broadcast; with far more hits than bits it lets all rows pass.
+    """
+    marked = F.broadcast(keep(_marked(hits, words), "hit-filter"))
+    bit = F.expr("getbit(bits, cast(pmod(shiftright(xxhash64(digest), 40), 64) as int)) = 1")
+    return texts.withColumn("place", F.pmod(F.xxhash64("digest"), F.lit(words)).cast("int")).join(
+        marked, "place"
+    ).filter(bit).drop("place", "bits")
+
+
 def exact_groups(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -97,6 +117,7 @@ def exact_groups(
     digest: Callable[[Column], Column] = sha256,
     batch_bytes: int = 16 << 30,
     salt_rows: int = 1024,
+    filter_words: int = 1 << 19,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, digest, keep_id, group_size, kept`` and its locator.
 
@@ -104,7 +125,8 @@ def exact_groups(
     the row with the smallest id stays (null ids last; of equal ids the first in
     the files). Null texts count as empty; an empty table gives no rows; other columns are
     ignored. ``batch_bytes`` of the digest table enter the state at a time; a group's
-    texts are compared with its first one in parts of about ``salt_rows`` rows.
+    texts are compared with its first one in parts of about ``salt_rows`` rows. Texts that no
+    other equals are kept from the shuffle by a filter of ``filter_words`` rows of 64 bits.
     """
     spark = docs.sparkSession
     texts = located(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
@@ -126,7 +148,8 @@ def exact_groups(
     )
     # There are as many hits as the corpus has groups of copies, so the join is planned as a shuffle at any
     # size; its result is kept so that texts move once.
-    copies = keep(texts.join(hits.hint("shuffle_merge"), "digest"), "copies")
+    found = _maybe_hits(texts, hits, filter_words)
+    copies = keep(found.join(hits.hint("shuffle_merge"), "digest"), "copies")
     leads = copies.filter("_cc_file = at_file and _cc_row = at_row").select(
         "digest", F.col("text").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
