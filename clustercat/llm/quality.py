@@ -102,6 +102,10 @@ class Words:
         ]
 
 
+# Parts of the labelled sample, each judged with the words of the others.
+FOLDS = 5
+
+
 @dataclass
 class Logistic:
     """Logistic model that adds up, for each feature, a step function or (``straight``) a multiple of it."""
@@ -171,7 +175,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_col
     # An id may be that of many documents: the first stands for it, so the sample is bounded.
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_cc_file", "_cc_row"))
     rows = rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_cc_file", "_cc_row")
-    return rows.withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)))
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
 def fit(
@@ -182,36 +186,64 @@ def fit(
     bound: int = 20_000,
     lexicon_size: int = 20_000,
 ) -> QualityModel:
-    """Fit on about ``bound`` labelled documents: words from one half of them, models on the other."""
+    """Fit on about ``bound`` labelled documents.
+
+    The lexicon's evidence comes from all of them. The models must not see words that were
+    found in the very rows they are fitted on, so each fold's features are made
+    with a lexicon of the other folds.
+    """
     small_batches(docs)
     sample = keep(labelled_sample(docs, labels, id_column, text_column, bound), "quality-sample")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int32()]
+
+        def flush():
+            columns = [pa.array(c, k) for c, k in zip((names, marks, folds), kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "fold"])
+
         for batch in batches:
-            names, marks = [], []
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            names, marks, folds = [], [], []
+            for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found: set[str] = set()
                 for words in word_blocks((text.as_py() or "").encode()):
                     for word in set(words):
                         found.update(word_features(bare(word.decode(errors="replace"))))
                 names.extend(found)
                 marks.extend([toxic] * len(found))
+                folds.extend([fold] * len(found))
                 if len(names) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int32())], ["feature", "toxic"])
-                    names, marks = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int32())], ["feature", "toxic"])
-
-    half = sample.filter("half = 0")
-    toxic, clean = half.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
-    counted = half.select("text", "toxic").mapInArrow(emit, "feature string, toxic int")
-    counted = counted.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    strong = counted.filter("t >= 4").withColumn("evidence", odds - 2 * doubt).filter("evidence > 1")
-    strong = strong.orderBy(F.desc("evidence"), "feature").limit(lexicon_size)
-    lexicon = {r["feature"]: r["evidence"] for r in strong.select("feature", "evidence").collect()}
-
-    rows = shapes(sample.filter("half = 1"), "text", ["low", "toxic"], lexicon).collect()  # bounded by the sample
+                    yield flush()
+                    names, marks, folds = [], [], []
+            yield flush()
+
+    counts = [F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")]
+    rows_of = {r["fold"]: (r["t"], r["c"]) for r in sample.groupBy("fold").agg(*counts).collect()}
+    counted = sample.select("text", "toxic", "fold").mapInArrow(emit, "feature string, toxic int, fold int")
+    counted = counted.groupBy("feature", "fold").agg(*counts)
+    # A feature that is rare among toxic rows is in no lexicon; the rest is kept fold by fold.
+    common = counted.groupBy("feature").agg(F.sum("t").alias("all_t"), F.sum("c").alias("all_c")).filter("all_t >= 4")
+    counted = keep(counted.join(common, "feature"), "quality-words")
+
+    def lexicon_without(fold: int | None) -> dict[str, float]:
+        toxic, clean = (sum(n[i] for f, n in rows_of.items() if f != fold) for i in (0, 1))
+        if fold is None:
+            found = counted.select("feature", F.col("all_t").alias("t"), F.col("all_c").alias("c")).distinct()
+        else:
+            own = [F.sum(F.when(F.col("fold") == fold, F.col(c)).otherwise(0)) for c in "tc"]
+            found = counted.groupBy("feature", "all_t", "all_c").agg(own[0].alias("own_t"), own[1].alias("own_c"))
+            found = found.selectExpr("feature", "all_t - own_t as t", "all_c - own_c as c")
+        odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+        doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+        strong = found.filter("t >= 4").withColumn("evidence", odds - 2 * doubt).filter("evidence > 1")
+        strong = strong.orderBy(F.desc("evidence"), "feature").limit(lexicon_size)
+        return {r["feature"]: r["evidence"] for r in strong.select("feature", "evidence").collect()}
+
+    lexicon = lexicon_without(None)
+    rows = []
+    for fold in sorted(rows_of):
+        shaped = shapes(sample.filter(F.col("fold") == fold), "text", ["low", "toxic"], lexicon_without(fold))
+        rows += shaped.collect()  # bounded by the sample
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(SHAPE) + len(TONE))
     low = np.array([r["low"] for r in rows], float)
     bad = np.array([r["toxic"] for r in rows], float)
