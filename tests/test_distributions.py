@@ -162,3 +162,31 @@ def test_each_distance_between_blocks_is_computed_once(monkeypatch):
     for point in range(60):
         for other in range(4):
             assert got[(point, other)] == pytest.approx(dist[point, y == other].sum())
+
+
+def test_sums_of_blocks_larger_than_a_tile():
+    from clustercat.operators import silhouette as module
+
+    rng = np.random.default_rng(8)
+    n = 2 * module.TILE[1] + 300
+    x = rng.normal(size=(n, 3)) + 1000
+    x[1] = x[0] + 1e-9  # so near that a product of matrices has nothing left of it
+    y = np.r_[np.zeros(n - 400), np.arange(400) // 4].astype(int)  # a large cluster and many small ones
+    rows = pd.DataFrame({"point": np.arange(n), "cluster": y, "features": list(x), "weight": 1, "block": np.arange(n) % 2, "i": 0, "j": 1})
+    parts = [rows[rows["block"] == i].assign(i=i, j=i) for i in range(2)] + [rows]
+    got = pd.concat([module._pair_sums(part) for part in parts]).groupby(["point", "other"])["total"].sum()
+    plain = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.testing.assert_allclose(module.distances(x, x), plain, rtol=1e-9)
+    want = np.stack([plain[:, y == c].sum(axis=1) for c in range(100)], axis=1)
+    np.testing.assert_allclose(got.unstack().to_numpy(), want, rtol=1e-9)
+
+
+def test_silhouette_blocks_are_bounded_and_few():
+    """A row goes to each block, so blocks must grow with the table until a task's room is used up."""
+    from clustercat.operators import silhouette as module
+
+    assert module._block_rows(1_600_000, 5, 3) > 60_000
+    assert module._block_rows(10**9, 5, 3) == module.BLOCK_ROWS
+    for width, clusters in ((5, 10**6), (2000, 3), (64, 700)):
+        rows = module._block_rows(10**9, width, clusters)
+        assert rows * width <= module.BLOCK_NUMBERS and rows * min(rows, clusters) <= module.BLOCK_SUMS
