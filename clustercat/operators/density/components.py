@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.storage import drop_kept, keep
+from clustercat.storage import drop_kept, keep, unbroadcast
 
 
 def roots(pointers: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def roots(pointers: DataFrame) -> DataFrame:
         then = now
         for _ in range(3):
             ahead = now.select(F.col("node").alias("root"), F.col("root").alias("ahead"))
-            then = then.select("node", "root").join(ahead, "root", "left").select(
+            then = then.select("node", "root").join(unbroadcast(ahead), "root", "left").select(
                 "node", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moving")
             )
         then = keep(then, "pointers")
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             moved = step.select(F.col("node").alias("root"), F.col("root").alias("to"))
             found = keep(
-                found.join(moved, "root", "left")
+                found.join(unbroadcast(moved), "root", "left")
                 .select("node", F.coalesce("to", "root").alias("root"))
                 .unionByName(step),
                 "components",
@@ -57,31 +57,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rest = pairs
         for end in ("u", "v"):
             moved = step.select(F.col("node").alias(end), F.col("root").alias("to"))
-            rest = rest.join(moved, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            rest = rest.join(unbroadcast(moved), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         rest = keep(rest.filter("u <> v").select("u", "v").distinct(), "pairs")
         drop_kept(pairs)
         pairs = rest
     if found is None:
         return nodes.withColumn("comp", F.col("node"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+    return nodes.join(unbroadcast(found), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
 
 def components_at(edges: DataFrame, cuts: float | Iterable[float]) -> DataFrame:
     """Flat components ``row_id, component`` when edges ``a, b, w`` up to a cut are kept.
 
-    For several cuts the result has ``cut`` too; all of them are found in one search, whose nodes are
-    rows at a cut. A row all of whose edges are longer is a component of its own.
+    For several cuts the result has ``cut`` too. They are taken from the least on: the components of
+    one are the nodes of the next, which adds only the edges between the two cuts, so an edge is looked at
+    once however many cuts there are. A row all of whose edges are longer is a component of its own.
     """
     single = isinstance(cuts, (int, float))
     wanted = sorted({float(c) for c in ([cuts] if single else cuts)})
-    levels = F.array(*[F.lit(c) for c in wanted]).cast("array<double>")
     rows = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    nodes = rows.withColumn("cut", F.explode(levels)).select(F.struct("cut", "id").alias("node"))
-    # An edge counts at every cut from its weight on.
-    short = edges.select("a", "b", F.explode(F.filter(levels, lambda c: F.col("w") <= c)).alias("cut"))
-    ends = [F.struct("cut", F.col(c).alias("id")).alias(end) for c, end in (("a", "u"), ("b", "v"))]
-    found = connected_components(short.select(*ends))
-    every = nodes.join(found, "node", "left").select(
-        F.col("node.cut").alias("cut"), F.col("node.id").alias("row_id"), F.coalesce("comp", "node")["id"].alias("component")
-    )
+    home = rows.select("id", F.col("id").alias("component"))
+    every, below = home.withColumn("cut", F.lit(0.0)).filter("false"), F.lit(True)
+    for cut in wanted:
+        added = edges.filter(below & (F.col("w") <= cut)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if cut != wanted[0]:
+            for end in ("u", "v"):
+                added = added.join(unbroadcast(home.select(F.col("id").alias(end), "component")), end).withColumn(end, F.col("component"))
+                added = added.drop("component")
+        found = connected_components(keep(added, "ends")).select(F.col("node").alias("component"), F.col("comp").alias("to"))
+        home = home.join(unbroadcast(found), "component", "left")
+        home = keep(home.select("id", F.coalesce("to", "component").alias("component")), "home")
+        every, below = every.unionByName(home.withColumn("cut", F.lit(cut))), F.col("w") > cut
+    every = every.select("cut", F.col("id").alias("row_id"), "component")
     return every.drop("cut") if single else every

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.storage import drop_kept, keep
+from clustercat.storage import drop_kept, keep, unbroadcast
 
 # A node's best is max(own, below + its open child's part); its part for its parent is max(a, best + b).
 STATE = ["node", "parent", "own", "below", "kids", "a", "b"]
@@ -99,7 +99,7 @@ def _raked(live: DataFrame, turn: int) -> DataFrame:
         F.count_if(leaf).alias("gone"),
         F.max(F.when(~leaf, F.col("node"))).alias("only"),
     )
-    rest = live.filter("kids > 0").join(gone, "node").withColumns(
+    rest = live.filter("kids > 0").join(unbroadcast(gone), "node").withColumns(
         {"kids": F.col("kids") - F.col("gone"), "below": F.col("below") + F.col("more")}
     )
     me = _order(F.col("node"), turn)
@@ -117,7 +117,7 @@ def _spliced(rest: DataFrame) -> DataFrame:
         F.col("node").alias("parent"), F.col("parent").alias("up"),
         *(F.col(c).alias(f"p_{c}") for c in ("own", "below", "a", "b")),
     )
-    moved = rest.filter(~F.col("out")).join(taken, "parent", "left")
+    moved = rest.filter(~F.col("out")).join(unbroadcast(taken), "parent", "left")
     # Own part a, b; the old parent's best max(p_own, p_below + part) and its part of that.
     floor = F.greatest(F.col("p_a"), F.greatest(F.col("p_own"), F.col("p_below") + F.col("a")) + F.col("p_b"))
     there = F.col("p_own").isNotNull()
@@ -128,7 +128,7 @@ def _spliced(rest: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("waits"), F.lit(0.0).alias("w_a"), F.lit(0.0).alias("w_b"),
     )
     ends = rest.select(F.col("node").alias("waits"), F.col("a").alias("w_a"), F.col("b").alias("w_b"))
-    gone = rest.filter("out").withColumn("waits", F.col("only")).join(ends, "waits")
+    gone = rest.filter("out").withColumn("waits", F.col("only")).join(unbroadcast(ends), "waits")
     return stay.unionByName(gone.select(*STATE, "waits", "w_a", "w_b"))
 
 
@@ -138,7 +138,7 @@ def best_below(tree: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame
     A root's parent is NULL; there may be several trees. ``node`` is unique.
     """
     kids = tree.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
-    live = tree.join(kids, "node", "left").select(
+    live = tree.join(unbroadcast(kids), "node", "left").select(
         "node", "parent", F.col("own").cast("double").alias("own"), F.lit(0.0).alias("below"),
         F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(float("-inf")).alias("a"), F.lit(0.0).alias("b"),
     )
@@ -176,13 +176,13 @@ def _resolved(tree: DataFrame, known: DataFrame, waiting: DataFrame) -> DataFram
         links = line.select(
             F.col("node").alias("waits"), F.col("waits").alias("next"), F.col("low").alias("n_low"), F.col("add").alias("n_add")
         )
-        step = keep(line.join(ends, "waits", "left").join(links, "waits", "left"), "waiting")
+        step = keep(line.join(unbroadcast(ends), "waits", "left").join(unbroadcast(links), "waits", "left"), "waiting")
         done = step.filter("best is not null").select("node", F.greatest("low", F.col("best") + F.col("add")).alias("best"))
         known = known.unionByName(done)
         line = step.filter("best is null").select(
             "node", F.col("next").alias("waits"),
             F.greatest("low", F.col("n_low") + F.col("add")).alias("low"), (F.col("n_add") + F.col("add")).alias("add"),
         )
-    sums = tree.filter("parent is not null").select("node", "parent").join(known, "node")
+    sums = tree.filter("parent is not null").select("node", "parent").join(unbroadcast(known), "node")
     sums = sums.groupBy(F.col("parent").alias("node")).agg(F.sum("best").alias("below"))
-    return tree.join(sums, "node", "left").select("node", "own", F.coalesce("below", F.lit(0.0)).alias("below"))
+    return tree.join(unbroadcast(sums), "node", "left").select("node", "own", F.coalesce("below", F.lit(0.0)).alias("below"))

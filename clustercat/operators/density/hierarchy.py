@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustercat.operators.density.components import connected_components, roots
-from clustercat.storage import keep
+from clustercat.storage import keep, unbroadcast
 
 SEGMENT_EDGES = 500_000
 # kind: "link" small part id -> to; "shed" small part id falls out of a cluster;
@@ -111,7 +111,7 @@ def _segments(edges: DataFrame, m: int, segment_edges: int) -> tuple[DataFrame,
             low.select(F.struct("block", F.col("a").alias("id")).alias("u"), F.struct("block", F.col("b").alias("id")).alias("v"))
         )
         found = keep(found, "parts")
-        totals = found.join(sizes, "node").groupBy("comp").agg(F.sum("size").alias("total"))
+        totals = found.join(unbroadcast(sizes), "node").groupBy("comp").agg(F.sum("size").alias("total"))
         moves = keep(
             found.join(totals, "comp").select(
                 F.col("node.block").alias("block"), F.col("node.id").alias("id"), F.col("comp.id").alias("part"), "total"
@@ -120,7 +120,7 @@ def _segments(edges: DataFrame, m: int, segment_edges: int) -> tuple[DataFrame,
         )
         high = placed.filter(~F.col("lighter"))
         for c in "ab":
-            high = high.join(moves.withColumnRenamed("id", c), ["block", c], "left").withColumns(
+            high = high.join(unbroadcast(moves.withColumnRenamed("id", c)), ["block", c], "left").withColumns(
                 {
                     c: F.coalesce("part", c),
                     f"{c}_size": F.coalesce("total", f"{c}_size"),
@@ -189,7 +189,7 @@ def condensed_tree(
     every = every.withColumn("w", F.greatest("w", F.lit(floor)))
     for c in "ab":
         weights = points.select(F.col("point_id").alias(c), F.col("weight").alias(f"{c}_size"))
-        every = every.join(weights, c).withColumn(f"{c}_large", F.lit(False))
+        every = every.join(unbroadcast(weights), c).withColumn(f"{c}_large", F.lit(False))
     every = keep(every, "sized")
     cut, count = _segments(every, m, segment_edges)
     events = keep(cut.groupBy("seg").applyInPandas(lambda pdf: _sweep(pdf, m), EVENTS), "events")
@@ -200,7 +200,7 @@ def condensed_tree(
     ends = events.filter("kind = 'child'").select(
         F.col("id").alias("cluster"), F.col("to").alias("parent"), F.col("w").alias("born_w"), "size"
     )
-    nodes = keep(made.join(ends, "cluster", "left"), "nodes")
+    nodes = keep(made.join(unbroadcast(ends), "cluster", "left"), "nodes")
     same = keep(_same_cluster(nodes), "same")
 
     def merged(df: DataFrame, column: str) -> DataFrame:
@@ -215,9 +215,9 @@ def condensed_tree(
     falls = events.filter("kind = 'shed'").select(F.col("id").alias("root"), F.col("to").alias("cluster"), "w")
     fallen = (
         points.select("point_id", "weight")
-        .join(last, "point_id", "left")
+        .join(unbroadcast(last), "point_id", "left")
         .withColumn("root", F.coalesce("root", "point_id"))
-        .join(falls, "root")
+        .join(unbroadcast(falls), "root")
         .drop("root")
     )
     # What joined a cluster at the very weight it ended at belongs to its parent.

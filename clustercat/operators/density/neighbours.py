@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clustercat.functions.geometry import boxed, check_metric, distances, matrix, on_sphere, real_distance
 from clustercat.operators.density.cells import CELL_ROWS, Cells, build_cells, descend, visit
-from clustercat.storage import keep
+from clustercat.storage import keep, unbroadcast
 
 LISTS = "point_id bigint, dist array<double>, id array<bigint>, weight array<bigint>"
 BLOCK = 512
@@ -44,15 +44,25 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """For each asked point its k nearest held ones, itself excluded, by distance then id."""
+    """For each asked point its k nearest held ones, itself excluded, by distance then id.
+
+    With a ``radius`` only what lies within it, and only points that have something there.
+    """
     held = held.sort_values("point_id")
     x, ids, weights = matrix(held["features"]), held["point_id"].to_numpy(), held["weight"].to_numpy()
     a, a_ids = matrix(asked["features"]), asked["point_id"].to_numpy()
-    out = {"point_id": a_ids, "dist": [], "id": [], "weight": []}
+    radius = asked["radius"].to_numpy() if "radius" in asked else None
+    out: dict[str, list] = {"point_id": [], "dist": [], "id": [], "weight": []}
     for start in range(0, len(a), BLOCK):
+        rows = a_ids[start : start + BLOCK]
         d = distances(a[start : start + BLOCK], x, metric)
-        d[a_ids[start : start + BLOCK, None] == ids[None, :]] = np.inf
+        d[rows[:, None] == ids[None, :]] = np.inf
+        if radius is not None:
+            d[d > radius[start : start + BLOCK, None]] = np.inf
+            some = np.isfinite(d).any(axis=1)
+            rows, d = rows[some], d[some]
         order = _least(d, k)
+        out["point_id"].extend(rows)
         for dist, near in zip(np.take_along_axis(d, order, axis=1), order):
             found = np.isfinite(dist)
             out["dist"].append(dist[found])
@@ -69,7 +79,8 @@ def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
     """``point_id, neighbours``: the k nearest distinct points, nearest first.
 
     First inside the own cell; the k-th distance found there bounds the search,
-    and only cells whose box is that near are asked as well.
+    and only cells whose box is that near are asked as well. They answer with what lies within the
+    bound, since nothing farther can be among the k nearest.
     """
     metric = cells.metric
     slim = placed.select("point_id", "cell", "features", "weight")
@@ -82,7 +93,7 @@ def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
         return keep(lists, "lists")
     lists = keep(lists, "lists")
     radius = F.when(F.size("neighbours") == k, F.element_at("neighbours", k)["dist"]).otherwise(float("inf"))
-    bounded = slim.withColumnRenamed("cell", "own").join(lists.select("point_id", radius.alias("radius")), "point_id")
+    bounded = slim.withColumnRenamed("cell", "own").join(unbroadcast(lists.select("point_id", radius.alias("radius"))), "point_id")
     queries = descend(bounded.select("point_id", "features", "radius", "own"), cells)
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -121,12 +132,12 @@ def row_neighbours(df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, k
         "point_id", F.col("n.id").alias("at"), F.col("n.dist").alias("dist")
     )
     own = placed.select("point_id", F.col("point_id").alias("at"), F.lit(0.0).alias("dist"))
-    held = near.unionByName(own).join(offered.withColumnRenamed("point_id", "at"), "at")
+    held = near.unionByName(own).join(unbroadcast(offered.withColumnRenamed("point_id", "at")), "at")
     entries = F.transform("ids", lambda i: F.struct(F.col("dist"), i.alias("id")))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, k + 1)
     best = held.select("point_id", entries.alias("e")).groupBy("point_id").agg(best.alias("best"))
     mine = F.slice(F.filter("best", lambda e: e["id"] != F.col(key)), 1, k)
-    return rows.join(best, "point_id").select(key, F.posexplode(mine).alias("pos", "n")).select(
+    return rows.join(unbroadcast(best), "point_id").select(key, F.posexplode(mine).alias("pos", "n")).select(
         key, (F.col("pos") + 1).alias("rank"), F.col("n.id").alias("neighbor_id"), F.col("n.dist").alias("dist")
     )
 
@@ -153,7 +164,7 @@ def with_core(placed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
 
     core = F.aggregate("neighbours", start, step)["core"]
     farthest = F.coalesce(F.array_max("neighbours")["dist"], F.lit(0.0))
-    joined = placed.join(lists, "point_id")
+    joined = placed.join(unbroadcast(lists), "point_id")
     return keep(joined.withColumn("core", F.coalesce(core, farthest)).drop("neighbours"), "core")
 
 
@@ -170,7 +181,7 @@ def core_distance(
 def to_rows(df: DataFrame, per_point: DataFrame, key: str = "row_id") -> DataFrame:
     """Give every row its point's values; rows without features are left out."""
     rows = df.select(key, F.col("features").cast("array<double>").alias("features"))
-    return rows.join(per_point, "features").drop("features")
+    return rows.join(unbroadcast(per_point), "features").drop("features")
 
 
 def mutual_reachability(
@@ -182,7 +193,7 @@ def mutual_reachability(
     core = keep(to_rows(df, with_core(placed, lists, k).select("features", "core"), key), "row-core")
     return (
         row_neighbours(df, placed, lists, k, key)
-        .join(core.withColumnRenamed("core", "core_a"), key)
-        .join(core.select(F.col(key).alias("neighbor_id"), F.col("core").alias("core_b")), "neighbor_id")
+        .join(unbroadcast(core.withColumnRenamed("core", "core_a")), key)
+        .join(unbroadcast(core.select(F.col(key).alias("neighbor_id"), F.col("core").alias("core_b"))), "neighbor_id")
         .select(key, "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))
     )

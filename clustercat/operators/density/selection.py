@@ -13,7 +13,7 @@ from clustercat.operators.density.hierarchy import SEGMENT_EDGES, cluster_stabil
 from clustercat.operators.density.neighbours import prepare, searchable, to_rows, with_core
 from clustercat.operators.density.spanning import min_span_tree
 from clustercat.operators.ranking import positions
-from clustercat.storage import keep
+from clustercat.storage import keep, unbroadcast
 
 METHODS = ("eom", "leaf")
 
@@ -21,11 +21,11 @@ METHODS = ("eom", "leaf")
 def _topmost(clusters: DataFrame, flagged: DataFrame) -> DataFrame:
     """``cluster, chosen``: the highest flagged cluster on the way up, itself included."""
     marks = flagged.select("cluster", F.col("cluster").alias("chosen"))
-    now = keep(clusters.select("cluster", F.col("parent").alias("up")).join(marks, "cluster", "left"), "chosen")
+    now = keep(clusters.select("cluster", F.col("parent").alias("up")).join(unbroadcast(marks), "cluster", "left"), "chosen")
     while not now.filter("up is not null").isEmpty():
         above = now.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("chosen").alias("higher"))
         now = keep(
-            now.join(above, "up", "left").select(
+            now.join(unbroadcast(above), "up", "left").select(
                 "cluster", F.col("next").alias("up"), F.coalesce("higher", "chosen").alias("chosen")
             ),
             "chosen",
@@ -118,7 +118,7 @@ def label_points(tables: dict[str, DataFrame], chosen: DataFrame) -> DataFrame:
     )
     names = positions(sizes, F.desc("size"), F.asc("first"), name="cluster").select("chosen", F.col("cluster").cast("int"))
     known = fitted.join(names, "chosen", "left").select("point_id", "cluster", "prob")
-    every = tables["points"].select("point_id").join(known, "point_id", "left")
+    every = tables["points"].select("point_id").join(unbroadcast(known), "point_id", "left")
     return every.select(
         "point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("prob", F.lit(0.0)).alias("prob")
     )
@@ -146,5 +146,5 @@ def density_cluster(
     tables = hierarchy(df, min_cluster_size, min_samples, metric, cell_rows, segment_edges, key)
     chosen = keep(select_clusters(tables["clusters"], method, epsilon, allow_single_cluster), "selected")
     labels = label_points(tables, chosen)
-    named = tables["points"].select("point_id", "features").join(labels, "point_id").drop("point_id")
+    named = tables["points"].select("point_id", "features").join(unbroadcast(labels), "point_id").drop("point_id")
     return to_rows(searchable(df, metric, key), named, key)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clustercat.functions.geometry import distances, matrix, norm
 from clustercat.operators.density.cells import Cells, descend, visit
 from clustercat.operators.density.components import roots
-from clustercat.storage import drop_kept, keep
+from clustercat.storage import drop_kept, keep, unbroadcast
 
 BLOCK = 512
 CACHED_ROWS = 4096
@@ -239,18 +239,18 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
     points = forest.select("point_id", "cell", "features", "core", F.col("comp").alias("fragment"))
     names = keep(points.select("fragment", F.col("fragment").alias("comp")).distinct(), "names")
     while not names.select("comp").distinct().limit(2).count() < 2:
-        labelled = points.join(names, "fragment").drop("fragment")
+        labelled = points.join(unbroadcast(names), "fragment").drop("fragment")
         levels = _node_facts(labelled, cells)
         picks = _round_picks(labelled, cells, levels)
         # Hook on if the other's own way out is shorter, or equally long and its
         # name smaller: no chain of such hooks can return to where it began.
         other = picks.select(F.col("comp").alias("to"), F.col("w").alias("other_w"))
         falls = (F.col("w") > F.col("other_w")) | ((F.col("w") == F.col("other_w")) & (F.col("to") < F.col("comp")))
-        hooks = keep(picks.join(other, "to").filter(falls), "hooks")
+        hooks = keep(picks.join(unbroadcast(other), "to").filter(falls), "hooks")
         parts.append(hooks.select("a", "b", "w"))
         ends = roots(hooks.select(F.col("comp").alias("node"), F.col("to").alias("parent")))
         ends = ends.select(F.col("node").alias("comp"), "root")
-        merged = names.join(ends, "comp", "left").select("fragment", F.coalesce("root", "comp").alias("comp"))
+        merged = names.join(unbroadcast(ends), "comp", "left").select("fragment", F.coalesce("root", "comp").alias("comp"))
         merged = keep(merged, "names")
         for old in [names, *levels]:
             drop_kept(old)
