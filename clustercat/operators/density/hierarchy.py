@@ -2,8 +2,9 @@
 
 Edges sorted by weight build the hierarchy bottom up: two parts that are both
 large enough make a new cluster, a small part joining a large one falls out of
-it there. The sorted edges are cut into segments of bounded size, each swept in
-one task. A segment must know what the lighter ones have joined, and is told by
+it there. Where there are many edges, blocks of neighbouring cells are swept first,
+each in one task, as far as no edge out of the block has its turn before. What
+is left is sorted and cut into segments of bounded size, each swept in one task. A segment must know what the lighter ones have joined, and is told by
 halving: components of the lighter half are contracted in the heavier half, then
 both halves are cut again; all halves of one size share one job. What a
 segment cannot know, the cluster a contracted part belongs to, it leaves open as
@@ -26,14 +27,27 @@ SEGMENT_EDGES = 500_000
 # kind: "link" small part id -> to; "shed" small part id falls out of a cluster;
 # "born" cluster id is made; "child" cluster id ends in a larger one; "top" the
 # cluster of the large part id at the segment's end. The cluster meant is `to`,
-# or, if `to` is NULL, the one part `open` had before the segment.
+# or, if `to` is NULL, the one part `open` had before the segment. Blocks are segments
+# below 0, and also report "rest" an edge id, to that has to wait, and "part" the part
+# `to` that a point id with such edges is in.
 EVENTS = "seg int, kind string, id bigint, id_open bigint, to bigint, open bigint, w double, size bigint"
 
 
 def _sweep(pdf: pd.DataFrame, m: int) -> pd.DataFrame:
-    """Join the parts of one segment, lightest edge first, and report what happens."""
+    """Join the parts of one segment, lightest edge first, and report what happens.
+
+    An edge that is ``out`` leads from ``a`` out of the segment. From its weight on nothing can be joined to
+    that part here, nor to a part that an edge which waits for this leads to.
+    """
     pdf = pdf.sort_values(["w", "a", "b"])
     seg = int(pdf["seg"].iloc[0])
+    waits: dict[int, float] = {}  # part -> least weight of an edge that has to wait
+    ends: list[int] = []
+    if "out" in pdf:
+        out = pdf["out"].to_numpy(dtype=bool)
+        ends = pdf["a"][out].tolist()
+        for node, w in zip(ends, pdf["w"][out]):
+            waits.setdefault(node, w)
     parent: dict[int, int] = {}
     size: dict[int, int] = {}
     cluster: dict[int, tuple] = {}  # part -> (cluster, open reference)
@@ -55,14 +69,23 @@ def _sweep(pdf: pd.DataFrame, m: int) -> pd.DataFrame:
         cluster[part] = (made, None)
 
     touched = set()
-    for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"]):
-        a, b = find(a), find(b)
+    inner = pdf[~out] if "out" in pdf else pdf
+    for node_a, node_b, w in zip(inner["a"], inner["b"], inner["w"]):
+        a, b = find(node_a), find(node_b)
+        first = min(waits.get(a, math.inf), waits.get(b, math.inf))
+        if first < w:
+            waits[a], waits[b] = min(waits.get(a, w), w), min(waits.get(b, w), w)
+            events.append(("rest", node_a, None, node_b, None, w, None))
+            ends += [node_a, node_b]
+            continue
         keep_part, gone = min(a, b), max(a, b)
         parts = [a] if a == b else [a, b]
         held = {p: cluster.pop(p) for p in parts if p in cluster}
         sizes = {p: size[p] for p in parts}
         total = sum(sizes.values())
         parent[gone], size[keep_part] = keep_part, total
+        if first < math.inf:
+            waits[keep_part] = first
         if len(held) == 1:
             cluster[keep_part] = next(iter(held.values()))
         elif len(held) == 2 or total >= m:
@@ -80,12 +103,54 @@ def _sweep(pdf: pd.DataFrame, m: int) -> pd.DataFrame:
     for part in touched:
         if part in cluster:
             events.append(("top", part, None, *cluster[part], None, size[part]))
-    out = pd.DataFrame(events, columns=["kind", "id", "id_open", "to", "open", "w", "size"])
-    for c in ("id", "id_open", "to", "open", "size"):
-        out[c] = pd.array(out[c].tolist(), dtype="Int64")
-    out["w"] = out["w"].astype("float64")
-    out.insert(0, "seg", np.int32(seg))
-    return out
+    for node in dict.fromkeys(ends):
+        part = find(node)
+        events.append(("part", node, None, part, None, None, size[part]))
+    columns = list(zip(*events)) or [()] * 7
+    found = pd.DataFrame({"kind": columns[0]}, dtype="object")
+    # By way of floats, identifiers beyond 2^53 would not survive.
+    for c, values in zip(("id", "id_open", "to", "open", "w", "size"), columns[1:]):
+        found[c] = pd.array(values, dtype="Float64" if c == "w" else "Int64")
+    found["w"] = found["w"].astype("float64")
+    found.insert(0, "seg", np.int32(seg))
+    return found
+
+
+def _swept_blocks(edges: DataFrame, m: int, segment_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Events of the blocks ``a_block, b_block`` of the edges' ends, and the edges left, between the parts made.
+
+    Of equal weights the edges taken here are first, which is an order like any other. A block of more
+    edges than a segment may have is not swept.
+    """
+    inside = F.col("a_block") == F.col("b_block")
+    row = ["a", "b", "w", "a_size", "b_size", "a_large", "b_large"]
+    rows = edges.filter(inside).select((-1 - F.col("a_block")).cast("int").alias("seg"), *row, F.lit(False).alias("out"))
+    for c in "ab":
+        end, no = F.col(c), F.lit(False)
+        rows = rows.unionByName(
+            edges.filter(~inside).select(
+                (-1 - F.col(f"{c}_block")).cast("int").alias("seg"), end.alias("a"), end.alias("b"), "w",
+                F.col(f"{c}_size").alias("a_size"), F.col(f"{c}_size").alias("b_size"),
+                no.alias("a_large"), no.alias("b_large"), no.isNotNull().alias("out"),
+            )
+        )
+    heavy = keep(rows.groupBy("seg").count().filter(F.col("count") > segment_edges).select("seg"), "heavy")
+    events = rows.join(heavy, "seg", "left_anti").groupBy("seg").applyInPandas(lambda pdf: _sweep(pdf, m), EVENTS)
+    events = keep(events, "block-events")
+    unswept = rows.filter(~F.col("out")).join(heavy, "seg", "left_semi").select(*row)
+    waiting = events.filter("kind = 'rest'").select(F.col("id").alias("a"), F.col("to").alias("b"), "w")
+    rest = edges.filter(~inside).select(*row).unionByName(unswept).unionByName(waiting, allowMissingColumns=True)
+    parts = events.filter("kind = 'part'")
+    for c in "ab":
+        named = parts.select(F.col("id").alias(c), F.col("to").alias("part"), F.col("size").alias("total"))
+        rest = rest.join(unbroadcast(named), c, "left").withColumns(
+            {
+                c: F.coalesce("part", c),
+                f"{c}_size": F.coalesce("total", f"{c}_size"),
+                f"{c}_large": F.when(F.col("total").isNotNull(), F.col("total") >= m).otherwise(F.col(f"{c}_large")),
+            }
+        ).drop("part", "total")
+    return events.filter("kind not in ('rest', 'part')"), keep(rest.select(*row), "rest")
 
 
 def _segments(edges: DataFrame, m: int, segment_edges: int) -> tuple[DataFrame, int]:
@@ -187,13 +252,23 @@ def condensed_tree(
     every = keep(edges.select("a", "b", "w").unionByName(large), "edges")
     floor = every.agg(F.min(F.when(F.col("w") > 0, F.col("w"))).alias("w")).first()["w"] or 1.0
     every = every.withColumn("w", F.greatest("w", F.lit(floor)))
+    blocks = every.count() / segment_edges if "cell" in points.columns else 0
+    if blocks > 1:
+        deep, wanted = int(points.agg(F.max("cell")).first()[0]).bit_length(), math.ceil(math.log2(2 * blocks))
+        block = F.shiftright("cell", max(0, deep - wanted))
+    else:
+        block = F.lit(0)
     for c in "ab":
-        weights = points.select(F.col("point_id").alias(c), F.col("weight").alias(f"{c}_size"))
+        weights = points.select(F.col("point_id").alias(c), F.col("weight").alias(f"{c}_size"), block.alias(f"{c}_block"))
         every = every.join(unbroadcast(weights), c).withColumn(f"{c}_large", F.lit(False))
     every = keep(every, "sized")
-    cut, count = _segments(every, m, segment_edges)
+    known = None
+    if blocks > 1:
+        known, every = _swept_blocks(every, m, segment_edges)
+    cut, count = _segments(every.drop("a_block", "b_block"), m, segment_edges)
     events = keep(cut.groupBy("seg").applyInPandas(lambda pdf: _sweep(pdf, m), EVENTS), "events")
-    if count > 1:
+    if known is not None or count > 1:
+        events = events if known is None else known.unionByName(events)
         events = keep(_close_references(events), "events")
 
     made = events.filter("kind = 'born'").select(F.col("id").alias("cluster"), F.col("w").alias("made_w"))

@@ -228,3 +228,26 @@ def test_boxes_of_all_pairs_are_not_visited(spark):
     asked = placed.select("point_id", "features", F.lit(0.02).alias("radius"), F.col("cell").alias("own"))
     visits = descend(asked, cells).groupBy("point_id").count().agg(F.avg("count")).first()[0]
     assert cells.depth >= 7 and visits < 4
+
+
+def test_blocks_leave_few_edges_to_segments(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1, float(w)) for i, w in enumerate(np.round(rng.uniform(0.1, 2.0, 239), 1))]
+    span = spark.createDataFrame(edges, "a long, b long, w double")
+    points = spark.createDataFrame([(i, 1 + 4 * (i % 50 == 7), 0.1, i // 30) for i in range(240)], "point_id long, weight long, core double, cell long")
+    left, segments = [], hierarchy._segments
+
+    def counted(edges, m, segment_edges):
+        left.append(edges.count())
+        return segments(edges, m, segment_edges)
+
+    monkeypatch.setattr(hierarchy, "_segments", counted)
+
+    def found(points, segment_edges):
+        tree, clusters = hierarchy.condensed_tree(span, points, 4, segment_edges)
+        fallen = {(r.child, round(r.lambda_val, 9)) for r in tree.filter("not is_cluster").collect()}
+        return fallen, sorted((r["size"], round(r.birth, 9)) for r in clusters.collect())
+
+    plain, blocks = found(points, 10_000), found(points, 60)
+    assert blocks == plain
+    assert left[1] < left[0] / 2
