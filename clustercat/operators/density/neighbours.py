@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustercat.functions.geometry import boxed, check_metric, distances, matrix, on_sphere, real_distance
+from clustercat.functions.geometry import boxed, check_metric, distances, matrix, norm, on_sphere, real_distance
 from clustercat.operators.density.cells import CELL_ROWS, Cells, build_cells, descend, visit
 from clustercat.storage import keep, unbroadcast
 
-LISTS = "point_id bigint, dist array<double>, id array<bigint>, weight array<bigint>"
 BLOCK = 512
 
 
@@ -31,77 +30,116 @@ def distinct_points(df: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
-def _least(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least values per row, in order; of equal values the first columns."""
-    if d.shape[1] <= k:
-        return np.argsort(d, axis=1, kind="stable")
-    order = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
-    near = np.take_along_axis(d, order, axis=1)
-    tied = (d <= near.max(axis=1)[:, None]).sum(axis=1) > k
-    order = np.take_along_axis(order, np.argsort(near, axis=1, kind="stable"), axis=1)
-    order[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
-    return order
+def _rough(a: np.ndarray, x: np.ndarray, metric: str):
+    """A function from some rows of ``a`` to something that grows with their distances to ``x``, and how far that may be off.
+
+    For the straight distance it is the square by a product of matrices, around the middle of ``x``.
+    """
+    if metric == "euclidean":
+        middle = x.mean(axis=0)
+        x, near = x - middle, a - middle
+        xx, aa = (x * x).sum(axis=1), (near * near).sum(axis=1)
+        reach = np.sqrt(xx.max()) + np.sqrt(aa.max())
+        slack = 8 * (x.shape[1] + 8) * np.finfo("float64").eps * reach * reach
+        if np.isfinite(slack):
+            flat = np.ascontiguousarray(-2 * x.T)
+
+            def squares(rows: slice) -> np.ndarray:
+                found = near[rows] @ flat
+                found += xx
+                found += aa[rows, None]
+                return found
+
+            return squares, slack
+    return None, 0.0
 
 
 def _nearest(asked: pd.DataFrame, held: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
     """For each asked point its k nearest held ones, itself excluded, by distance then id.
 
-    With a ``radius`` only what lies within it, and only points that have something there.
+    With a ``radius`` only what lies within it, and only points that have something there. Rough distances leave a short
+    list for each point, whose distances are then worked out one by one.
     """
     held = held.sort_values("point_id")
     x, ids, weights = matrix(held["features"]), held["point_id"].to_numpy(), held["weight"].to_numpy()
     a, a_ids = matrix(asked["features"]), asked["point_id"].to_numpy()
+    squares, slack = _rough(a, x, metric)
     radius = asked["radius"].to_numpy() if "radius" in asked else None
+    at = np.minimum(np.searchsorted(ids, a_ids), len(ids) - 1)
+    own = ids[at] == a_ids
     out: dict[str, list] = {"point_id": [], "dist": [], "id": [], "weight": []}
     for start in range(0, len(a), BLOCK):
-        rows = a_ids[start : start + BLOCK]
-        d = distances(a[start : start + BLOCK], x, metric)
-        d[rows[:, None] == ids[None, :]] = np.inf
+        rows = slice(start, start + BLOCK)
+        part = a[rows]
+        if squares is None:
+            d = distances(part, x, metric)
+            d[np.isnan(d)] = np.inf
+        else:
+            d = squares(rows)
+        itself = np.flatnonzero(own[rows])
+        d[itself, at[rows][itself]] = np.inf
+        limit = np.full(len(part), np.inf)
+        if radius is not None:
+            limit = radius[rows] if squares is None else radius[rows] ** 2
+        many = np.arange(len(part)) if radius is None else np.flatnonzero((d <= (limit + slack)[:, None]).sum(axis=1) > 2 * k)
+        if len(many) and k < len(x):
+            limit[many] = np.minimum(limit[many], np.partition(d[many], k - 1, axis=1)[:, k - 1])
+        row, to = np.nonzero(d <= (limit + slack)[:, None])
+        dist = norm((part[row, j] - x[to, j] for j in range(x.shape[1])), metric)
+        good = np.isfinite(dist) & ~((to == at[rows][row]) & own[rows][row])
         if radius is not None:
-            d[d > radius[start : start + BLOCK, None]] = np.inf
-            some = np.isfinite(d).any(axis=1)
-            rows, d = rows[some], d[some]
-        order = _least(d, k)
-        out["point_id"].extend(rows)
-        for dist, near in zip(np.take_along_axis(d, order, axis=1), order):
-            found = np.isfinite(dist)
-            out["dist"].append(dist[found])
-            out["id"].append(ids[near[found]])
-            out["weight"].append(weights[near[found]])
-    return pd.DataFrame(out)
+            good &= dist <= radius[rows][row]
+        row, to, dist = row[good], to[good], dist[good]
+        order = np.lexsort((to, dist, row))
+        row, to, dist = row[order], to[order], dist[order]
+        ends = np.searchsorted(row, np.arange(len(part) + 1))
+        near, heavy = ids[to], weights[to]
+        for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+            if radius is None or hi > lo:
+                hi = min(hi, lo + k)
+                out["point_id"].append(a_ids[start + i])
+                out["dist"].append(dist[lo:hi])
+                out["id"].append(near[lo:hi])
+                out["weight"].append(heavy[lo:hi])
+    return pd.DataFrame(out, dtype="object")  # without rows too, a column of lists
 
 
 def _zipped(lists: DataFrame) -> DataFrame:
-    return lists.select("point_id", F.arrays_zip("dist", "id", "weight").alias("neighbours"))
+    return lists.withColumn("neighbours", F.arrays_zip("dist", "id", "near_weight")).drop("dist", "id", "near_weight")
 
 
 def neighbour_lists(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``point_id, neighbours``: the k nearest distinct points, nearest first.
+    """``placed`` with ``neighbours``: the k nearest distinct points, nearest first.
 
     First inside the own cell; the k-th distance found there bounds the search,
     and only cells whose box is that near are asked as well. They answer with what lies within the
     bound, since nothing farther can be among the k nearest.
     """
-    metric = cells.metric
-    slim = placed.select("point_id", "cell", "features", "weight")
+    metric, columns = cells.metric, placed.columns
+    found = "dist array<double>, id array<bigint>, near_weight array<bigint>"
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(pdf, pdf, k, metric)
+        near = _nearest(pdf, pdf, k, metric)
+        return pdf[columns].assign(dist=near["dist"].array, id=near["id"].array, near_weight=near["weight"].array)
 
-    lists = _zipped(slim.groupBy("cell").applyInPandas(own, LISTS))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in placed.dtypes), found])
+    lists = keep(_zipped(placed.groupBy("cell").applyInPandas(own, schema)), "lists")
     if cells.depth == 0:
-        return keep(lists, "lists")
-    lists = keep(lists, "lists")
+        return lists
     radius = F.when(F.size("neighbours") == k, F.element_at("neighbours", k)["dist"]).otherwise(float("inf"))
-    bounded = slim.withColumnRenamed("cell", "own").join(unbroadcast(lists.select("point_id", radius.alias("radius"))), "point_id")
-    queries = descend(bounded.select("point_id", "features", "radius", "own"), cells)
+    queries = descend(lists.select("point_id", "features", radius.alias("radius"), F.col("cell").alias("own")), cells)
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(asked, held, k, metric)
+        return _nearest(asked, held, k, metric).rename(columns={"weight": "near_weight"})
 
-    far = _zipped(visit(queries, slim, answer, LISTS))
+    slim = placed.select("point_id", "cell", "features", "weight")
+    far = _zipped(visit(queries, slim, answer, f"point_id bigint, {found}"))
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("neighbours"))), 1, k)
-    return keep(lists.unionByName(far).groupBy("point_id").agg(merged.alias("neighbours")), "lists")
+    far = keep(far.groupBy("point_id").agg(merged.alias("far")), "far")
+    merged = F.slice(F.array_sort(F.concat("neighbours", "far")), 1, k)
+    return keep(
+        lists.join(unbroadcast(far), "point_id", "left").select(*columns, F.coalesce(merged, "neighbours").alias("neighbours")), "lists"
+    )
 
 
 def searchable(df: DataFrame, metric: str, key: str = "row_id") -> DataFrame:
@@ -117,10 +155,12 @@ def prepare(df: DataFrame, k: int, metric: str, cell_rows: int, key: str):
     return placed, cells, neighbour_lists(placed, cells, k)
 
 
-def row_neighbours(df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, key: str = "row_id") -> DataFrame:
+def row_neighbours(
+    df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, key: str = "row_id", core: DataFrame | None = None
+) -> DataFrame:
     """``row_id, rank, neighbor_id, dist`` for every row, from the neighbour lists of the positions.
 
-    A row's copies are its neighbours at distance 0. A position offers its ``k + 1`` smallest
+    With the positions' ``core`` distances also ``core_a`` and ``core_b``, those of the row and of the neighbour. A row's copies are its neighbours at distance 0. A position offers its ``k + 1`` smallest
     row ids, more than any list can hold, so a position with many copies stays short.
     """
     rows = keep(to_rows(df, placed.select("features", "point_id"), key), "placed-rows")
@@ -128,17 +168,26 @@ def row_neighbours(df: DataFrame, placed: DataFrame, lists: DataFrame, k: int, k
     # The filter on the rank also runs before the exchange.
     offered = rows.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     offered = offered.groupBy("point_id").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    facts = [] if core is None else ["core"]
+    if core is not None:
+        offered = offered.join(unbroadcast(core.select("point_id", "core")), "point_id")
     near = lists.select("point_id", F.explode("neighbours").alias("n")).select(
         "point_id", F.col("n.id").alias("at"), F.col("n.dist").alias("dist")
     )
     own = placed.select("point_id", F.col("point_id").alias("at"), F.lit(0.0).alias("dist"))
     held = near.unionByName(own).join(unbroadcast(offered.withColumnRenamed("point_id", "at")), "at")
-    entries = F.transform("ids", lambda i: F.struct(F.col("dist"), i.alias("id")))
+    entries = F.transform("ids", lambda i: F.struct(F.col("dist"), i.alias("id"), *facts))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, k + 1)
-    best = held.select("point_id", entries.alias("e")).groupBy("point_id").agg(best.alias("best"))
+    of_own = [F.max(F.when(F.col("at") == F.col("point_id"), F.col(c))).alias(c) for c in facts]
+    best = held.select("point_id", "at", entries.alias("e"), *facts).groupBy("point_id").agg(best.alias("best"), *of_own)
     mine = F.slice(F.filter("best", lambda e: e["id"] != F.col(key)), 1, k)
-    return rows.join(unbroadcast(best), "point_id").select(key, F.posexplode(mine).alias("pos", "n")).select(
-        key, (F.col("pos") + 1).alias("rank"), F.col("n.id").alias("neighbor_id"), F.col("n.dist").alias("dist")
+    return rows.join(unbroadcast(best), "point_id").select(key, *facts, F.posexplode(mine).alias("pos", "n")).select(
+        key,
+        (F.col("pos") + 1).alias("rank"),
+        F.col("n.id").alias("neighbor_id"),
+        F.col("n.dist").alias("dist"),
+        *[F.col(c).alias(f"{c}_a") for c in facts],
+        *[F.col(f"n.{c}").alias(f"{c}_b") for c in facts],
     )
 
 
@@ -150,7 +199,7 @@ def knn(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_
 
 
 def with_core(placed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Add ``core``: the distance within which k other rows lie, copies counted.
+    """``placed`` with ``core``: the distance within which k other rows lie, copies counted.
 
     With fewer than k other rows it is the distance to the farthest.
     """
@@ -158,14 +207,13 @@ def with_core(placed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     start = F.struct(seen.alias("seen"), F.when(seen >= k, 0.0).alias("core"))
 
     def step(acc, n):
-        total = acc["seen"] + n["weight"]
+        total = acc["seen"] + n["near_weight"]
         core = F.when(acc["core"].isNull() & (total >= k), n["dist"]).otherwise(acc["core"])
         return F.struct(total.alias("seen"), core.alias("core"))
 
     core = F.aggregate("neighbours", start, step)["core"]
     farthest = F.coalesce(F.array_max("neighbours")["dist"], F.lit(0.0))
-    joined = placed.join(unbroadcast(lists), "point_id")
-    return keep(joined.withColumn("core", F.coalesce(core, farthest)).drop("neighbours"), "core")
+    return keep(lists.select(*placed.columns, F.coalesce(core, farthest).alias("core")), "core")
 
 
 def core_distance(
@@ -190,10 +238,5 @@ def mutual_reachability(
     """``row_id, neighbor_id, weight`` of the neighbour pairs: the largest of both core distances and the distance."""
     df = searchable(df, metric, key)
     placed, _, lists = prepare(df, k, metric, cell_rows, key)
-    core = keep(to_rows(df, with_core(placed, lists, k).select("features", "core"), key), "row-core")
-    return (
-        row_neighbours(df, placed, lists, k, key)
-        .join(unbroadcast(core.withColumnRenamed("core", "core_a")), key)
-        .join(unbroadcast(core.select(F.col(key).alias("neighbor_id"), F.col("core").alias("core_b"))), "neighbor_id")
-        .select(key, "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))
-    )
+    pairs = row_neighbours(df, placed, lists, k, key, with_core(placed, lists, k))
+    return pairs.select(key, "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))

@@ -251,3 +251,16 @@ def test_blocks_leave_few_edges_to_segments(spark, monkeypatch):
     plain, blocks = found(points, 10_000), found(points, 60)
     assert blocks == plain
     assert left[1] < left[0] / 2
+
+
+def test_neighbours_bring_both_core_distances(spark):
+    """Pairs come with the core distances of both rows, so that no pair is joined to the rows again."""
+    x = np.random.default_rng(9).normal(size=(120, 2))
+    df = frame(spark, np.r_[x, x[:5]])
+    placed, cells, lists = neighbours.prepare(df, 3, "euclidean", 16, "row_id")
+    assert set(placed.columns) < set(lists.columns)
+    core = neighbours.with_core(placed, lists, 3)
+    known = {r.row_id: r.core for r in neighbours.core_distance(df, 3, cell_rows=16).collect()}
+    pairs = neighbours.row_neighbours(df, placed, lists, 3, core=core).collect()
+    assert len(pairs) == 3 * 125
+    assert all((r.core_a, r.core_b) == (known[r.row_id], known[r.neighbor_id]) for r in pairs)
