@@ -1,12 +1,11 @@
 """Exact minimum spanning tree of the mutual reachability graph.
 
-The graph is complete, so its edges are never listed. Each round every component
-finds its shortest edge to another one: first inside each cell, which also tells
-how far a better one could be, then in the few cells within that distance. A
-cell whose points all belong to the asking component is not visited.
-
-Most merges need no round at all: as long as a component's shortest edge inside
-its cell is shorter than its way out of the cell, it can be merged on the spot.
+The graph is complete, so its edges are never listed. Each cell makes the least tree of its own points.
+An edge of it that is no longer than the way out of the cell, for one of the parts it joins, belongs to the whole
+tree; so most merges need no round at all. The other edges of a cell's tree are the only ones inside the cell that may yet be needed.
+Each round every component finds its shortest edge to another one: among those edges, which also tells how far a better one
+could be, then in the few cells within that distance. A cell whose points all belong to the asking component is not
+visited. A cell's points travel as one row.
 """
 
 from __future__ import annotations
@@ -17,16 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clustercat.functions.geometry import distances, matrix, norm
-from clustercat.operators.density.cells import Cells, descend, visit
+from clustercat.operators.density.cells import Cells, descend_blocks, visit
 from clustercat.operators.density.components import roots
 from clustercat.storage import drop_kept, keep, unbroadcast
 
 BLOCK = 512
-CACHED_ROWS = 4096
 PICK = "comp bigint, w double, to bigint, a bigint, b bigint"
+# A row a cell: its points in the order of their ids, with the place of their fragment; the fragments, named by their
+# smallest point; the edges made, and the others, between fragments u and v.
 FOREST = (
-    "point_id bigint, cell bigint, features array<double>, core double, comp bigint, "
-    "edge_a bigint, edge_b bigint, edge_w double"
+    "cell bigint, ids array<bigint>, features array<double>, core array<double>, place array<int>, "
+    "fragment array<bigint>, core_lo array<double>, core_hi array<double>, "
+    "made array<struct<a: bigint, b: bigint, w: double>>, left array<struct<u: bigint, v: bigint, w: double, a: bigint, b: bigint>>"
 )
 
 
@@ -45,77 +46,96 @@ def _nearest_foreign(blocks, comp: np.ndarray, other: np.ndarray) -> tuple[np.nd
     return np.concatenate(best), np.concatenate(at)
 
 
-def _blocks(x, core, y, y_core, metric):
-    for start in range(0, len(x), BLOCK):
-        yield start, _reach(x[start : start + BLOCK], core[start : start + BLOCK], y, y_core, metric)
-
-
 def _first_per(comp, w, lo, hi) -> np.ndarray:
     """Index of each component's least (w, lo, hi)."""
     order = np.lexsort((hi, lo, w, comp))
     return order[np.r_[True, np.diff(comp[order]) != 0]]
 
 
-def _find(parent: np.ndarray, i: int) -> int:
+def _find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = i = parent[parent[i]]
     return i
 
 
-def _merge_in_cell(pdf: pd.DataFrame, metric: str) -> pd.DataFrame:
-    """Merge components of one cell while nothing outside can be nearer.
+def _cell_tree(x: np.ndarray, core: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and weights of a least spanning tree of some points, made by adding the nearest point to a growing set."""
+    n = len(x)
+    axes, rows = np.ascontiguousarray(x.T), np.arange(n)
+    outside, core_left = rows[1:].copy(), core[1:].copy()
+    axes = axes[:, 1:].copy()
+    best, by = np.full(n - 1, np.inf), np.zeros(n - 1, dtype="int64")
+    a, b, w = np.zeros(n - 1, dtype="int64"), np.zeros(n - 1, dtype="int64"), np.zeros(n - 1)
+    at, last = 0, n - 1
+    for step in range(n - 1):
+        d = norm((axis - value for axis, value in zip(axes[:, :last], x[at])), metric)
+        np.maximum(d, core_left[:last], out=d)
+        np.maximum(d, core[at], out=d)
+        closer = d < best[:last]
+        np.copyto(best[:last], d, where=closer)
+        np.copyto(by[:last], at, where=closer)
+        i = int(best[:last].argmin())
+        a[step], b[step], w[step] = by[i], outside[i], best[i]
+        at = int(outside[i])
+        last -= 1  # the last one outside takes the place of the one that leaves
+        outside[i], core_left[i], best[i], by[i] = outside[last], core_left[last], best[last], by[last]
+        axes[:, i] = axes[:, last]
+    return a, b, w
 
-    A component is named by its first row, rows being in id order.
-    """
-    pdf = pdf.sort_values("point_id").reset_index(drop=True)
-    x, core = matrix(pdf["features"]), pdf["core"].to_numpy()
-    n = len(pdf)
-    rows = comp = np.arange(n)
-    parent = rows.copy()
-    way_out = np.maximum(core, pdf["clear"].to_numpy())
-    cached = list(_blocks(x, core, x, core, metric)) if n <= CACHED_ROWS else None
-    edges: list[tuple[int, int, float]] = []
-    while True:
-        w, to = _nearest_foreign(cached or _blocks(x, core, x, core, metric), comp, comp)
-        safe = np.full(n, np.inf)
-        np.minimum.at(safe, comp, way_out)
-        before = len(edges)
-        for i in _first_per(comp, w, np.minimum(rows, to), np.maximum(rows, to)):
-            if np.isfinite(w[i]) and w[i] <= safe[comp[i]]:
-                a, b = _find(parent, comp[i]), _find(parent, comp[to[i]])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    edges.append((i, to[i], w[i]))
-        if len(edges) == before:
-            break
-        comp = np.array([_find(parent, c) for c in comp])
-    ids = pdf["point_id"].to_numpy()
-    out = pdf[["point_id", "cell", "features", "core"]].copy()
-    out["comp"] = ids[comp]
-    pad = [None] * (n - len(edges))
-    out["edge_a"] = pd.array([ids[min(a, b)] for a, b, _ in edges] + pad, dtype="Int64")
-    out["edge_b"] = pd.array([ids[max(a, b)] for a, b, _ in edges] + pad, dtype="Int64")
-    out["edge_w"] = pd.array([w for _, _, w in edges] + pad, dtype="Float64")
-    return out
 
+def _merge_in_cell(pdf: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """Merge the points of one cell to fragments while nothing outside can be nearer, as one row of ``FOREST``.
 
-def _picks(left: pd.DataFrame, right: pd.DataFrame, metric: str) -> pd.DataFrame:
-    """Each left component's shortest edge to a right point of another component.
+    The edges of the cell's tree come lightest first. What has been left once is longer than the way out of both its parts,
+    and so is every later edge of a part it touches, unless the other part has a longer way out.
+    """
+    pdf = pdf.sort_values("point_id")
+    x, core, ids = matrix(pdf["features"]), pdf["core"].to_numpy(), pdf["point_id"].to_numpy()
+    parent = np.arange(len(pdf)).tolist()
+    safe = np.maximum(core, pdf["clear"].to_numpy()).tolist()
+    a, b, w = _cell_tree(x, core, metric)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a, w))
+    made = np.zeros(len(w), dtype=bool)
+    for at, i, j, weight in zip(order.tolist(), a[order].tolist(), b[order].tolist(), w[order].tolist()):
+        i, j = _find(parent, i), _find(parent, j)
+        if weight < np.inf and (weight <= safe[i] or weight <= safe[j]):
+            i, j = min(i, j), max(i, j)
+            parent[j], safe[i] = i, min(safe[i], safe[j])
+            made[at] = True
+    part = np.array([_find(parent, i) for i in range(len(parent))])
+    names, place = np.unique(part, return_inverse=True)
+    lo, hi = np.full(len(names), np.inf), np.full(len(names), -np.inf)
+    np.minimum.at(lo, place, core)
+    np.maximum.at(hi, place, core)
+    left = ~made & np.isfinite(w)
+    edges = [{"a": i, "b": j, "w": d} for i, j, d in zip(ids[a[made]].tolist(), ids[b[made]].tolist(), w[made].tolist())]
+    others = [
+        {"u": u, "v": v, "w": d, "a": i, "b": j}
+        for u, v, d, i, j in zip(*(c.tolist() for c in (ids[part[a[left]]], ids[part[b[left]]], w[left], ids[a[left]], ids[b[left]])))
+    ]
+    row = [pdf["cell"].iloc[0], ids, x.ravel(), core, place.astype("int32"), ids[names], lo, hi, edges, others]
+    return pd.DataFrame([row], columns=["cell", "ids", "features", "core", "place", "fragment", "core_lo", "core_hi", "made", "left"])
+
+
+def _picks(asked: pd.DataFrame, found: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """The shortest edge from each component of the blocks ``asked`` to a point of another one in the block ``found``.
 
     An edge is never shorter than either end's core distance. Rows come in the
     order of theirs, and one that cannot improve on its component's best so far,
     or on the bound it came with, is skipped.
     """
-    codes, comps = pd.factorize(left["comp"].to_numpy())
+    core, a, comp, bound = (np.concatenate(asked[c].tolist()) for c in ("core", "ids", "comp", "radius"))
+    codes, comps = pd.factorize(comp)
     best = np.full(len(comps), np.inf)
-    if "bound" in left:
-        best[codes] = left["bound"]
-    right = right.sort_values("core", kind="stable")
-    y, y_core = matrix(right["features"]), right["core"].to_numpy()
-    other, b = right["comp"].to_numpy(), right["point_id"].to_numpy()
-    order = np.argsort(left["core"].to_numpy(), kind="stable")
-    codes, x = codes[order], matrix(left["features"])[order]
-    core, a = left["core"].to_numpy()[order], left["point_id"].to_numpy()[order]
+    best[codes] = bound
+    right = found.iloc[0]
+    order = np.argsort(right["core"], kind="stable")
+    y, y_core = right["features"].reshape(len(order), -1)[order], right["core"][order]
+    other, b = right["comp"][right["place"]][order], right["ids"][order]
+    order = np.argsort(core, kind="stable")
+    codes, x = codes[order], np.concatenate(asked["features"].tolist()).reshape(len(core), -1)[order]
+    core, a = core[order], a[order]
     edge = np.full((len(comps), 2), -1)
     for start in range(0, len(x), BLOCK):
         rows = np.arange(start, min(start + BLOCK, len(x)))
@@ -144,21 +164,17 @@ def _picks(left: pd.DataFrame, right: pd.DataFrame, metric: str) -> pd.DataFrame
     )
 
 
-def _empty_picks() -> pd.DataFrame:
-    return pd.DataFrame({c: [] for c in ("comp", "w", "to", "a", "b")})
-
-
 FACTS = ["comp_lo", "comp_hi", "core_lo", "core_hi"]
 
 
-def _node_facts(labelled: DataFrame, cells: Cells) -> list[DataFrame]:
+def _node_facts(names: DataFrame, cells: Cells) -> list[DataFrame]:
     """The nodes of each level with the least and greatest component and core distance they hold."""
 
     def agg(low: str, high: str, core_low: str, core_high: str) -> list:
         sides = zip(FACTS, (F.min, F.max, F.min, F.max), (low, high, core_low, core_high))
         return [f(c).alias(name) for name, f, c in sides]
 
-    facts = labelled.groupBy(F.col("cell").alias("child")).agg(*agg("comp", "comp", "core", "core"))
+    facts = names.groupBy(F.col("cell").alias("child")).agg(*agg("comp", "comp", "core_lo", "core_hi"))
     levels: list[DataFrame] = []
     for nodes in reversed(cells.nodes):
         levels.insert(0, keep(nodes.join(facts, "child"), "facts"))
@@ -185,39 +201,51 @@ def _far_corners(nodes: pd.DataFrame, metric: str) -> pd.DataFrame:
     return out[np.isfinite(out["bound"])].groupby("comp", as_index=False).min()
 
 
-def _round_picks(labelled: DataFrame, cells: Cells, levels: list[DataFrame]) -> DataFrame:
+def _round_picks(blocks: DataFrame, names: DataFrame, left: DataFrame, cells: Cells, levels: list[DataFrame]) -> DataFrame:
     """The shortest way out of every component: ``comp, w, to, a, b``."""
     metric = cells.metric
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _empty_picks() if pdf["comp"].nunique() == 1 else _picks(pdf, pdf, metric)
-
-    mixed = levels[-1].filter("comp_lo <> comp_hi").select(F.col("child").alias("cell"))
-    near = keep(labelled.join(mixed, "cell", "left_semi").groupBy("cell").applyInPandas(inside, PICK), "picks")
+    least = F.min(F.struct("w", "to", "a", "b")).alias("p")
+    ways = left.select(F.col("u").alias("comp"), "w", F.col("v").alias("to"), "a", "b")
+    ways = ways.unionByName(left.select(F.col("v").alias("comp"), "w", F.col("u").alias("to"), "a", "b"))
+    near = keep(ways.groupBy("comp").agg(least).select("comp", "p.*"), "picks")
     bounds = near.select("comp", F.col("w").alias("bound"))
     for nodes in levels:
         corners = nodes.groupBy("cell").applyInPandas(lambda pdf: _far_corners(pdf, metric), "comp bigint, bound double")
         bounds = bounds.unionByName(corners)
-    bounds = keep(bounds.groupBy("comp").agg(F.min("bound").alias("bound")), "bounds")
+    bounds = bounds.groupBy("comp").agg(F.min("bound").alias("bound"))
+    # The fragments' components and bounds, a row a cell.
+    known = names.join(unbroadcast(bounds), "comp", "left").groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "comp", F.coalesce("bound", F.lit(0.0)).alias("bound")))).alias("known")
+    )
+    known = keep(known.select("cell", F.col("known.comp").alias("comp"), F.col("known.bound").alias("bound")), "known")
+    labelled = blocks.join(unbroadcast(known), "cell")
+
+    def ask(batches):
+        for pdf in batches:
+            out = []
+            for own, ids, features, core, place, comp, bound in pdf.itertuples(index=False):
+                bound = bound[place]
+                some = np.flatnonzero(core < bound)
+                if len(some):
+                    x = features.reshape(len(ids), -1)[some].ravel()
+                    out.append([own, ids[some], x, core[some], comp[place[some]], bound[some]])
+            yield pd.DataFrame(out, columns=["own", "ids", "features", "core", "comp", "radius"])
+
+    asked = labelled.select("cell", "ids", "features", "core", "place", "comp", "bound").mapInPandas(
+        ask, "own bigint, ids array<bigint>, features array<double>, core array<double>, comp array<bigint>, radius array<double>"
+    )
 
-    def useful(asked: pd.DataFrame, nodes: pd.DataFrame) -> np.ndarray:
+    def useful(comp: np.ndarray, radius: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
         """Pairs whose node holds another component and a core distance below the bound."""
-        comp = asked["comp"].to_numpy()
         ours = (nodes["comp_lo"].to_numpy() == comp) & (nodes["comp_hi"].to_numpy() == comp)
-        return ~ours & (nodes["core_lo"].to_numpy() < asked["radius"].to_numpy())
-
-    asked = labelled.join(bounds, "comp").filter("core < bound")
-    asked = asked.select("point_id", "features", F.col("bound").alias("radius"), F.col("cell").alias("own"), "core", "comp")
-    queries = descend(asked, cells, levels, useful).withColumnRenamed("radius", "bound")
+        return ~ours & (nodes["core_lo"].to_numpy() < radius)
 
-    def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _empty_picks() if asked.empty or found.empty else _picks(asked, found, metric)
-
-    far = visit(queries, labelled, answer, PICK)
-    least = F.min(F.struct("w", "to", "a", "b")).alias("p")
+    queries = descend_blocks(asked, cells, levels, useful)
+    held = labelled.drop("bound")
+    far = visit(queries, held, lambda asked, found: _picks(asked, found, metric), PICK, by="own", rows=F.size("ids"))
     picks = keep(near.unionByName(far).groupBy("comp").agg(least).select("comp", "p.*"), "picks")
     drop_kept(near)
-    drop_kept(bounds)
+    drop_kept(known)
     return picks
 
 
@@ -225,23 +253,22 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
     """Edges ``a, b, w`` of a minimum spanning tree; ``core`` has ``clear`` and ``core`` per point.
 
     The points with the fragments they form inside their cells are written once. A round writes only
-    the names of the fragments, each with the component it has come to belong to.
+    the names of the fragments, each with the component it has come to belong to, and the edges left between them.
     """
     metric = cells.metric
     slim = core.select("point_id", "cell", "features", "core", "clear")
     forest = keep(slim.groupBy("cell").applyInPandas(lambda pdf: _merge_in_cell(pdf, metric), FOREST), "forest")
-    edges = forest.filter("edge_w is not null").select(
-        F.col("edge_a").alias("a"), F.col("edge_b").alias("b"), F.col("edge_w").alias("w")
-    )
+    edges = forest.select(F.inline("made"))
     if cells.depth == 0:
         return edges
     parts = [keep(edges, "edges")]
-    points = forest.select("point_id", "cell", "features", "core", F.col("comp").alias("fragment"))
-    names = keep(points.select("fragment", F.col("fragment").alias("comp")).distinct(), "names")
+    blocks = forest.select("cell", "ids", "features", "core", "place")
+    left = keep(forest.select(F.inline("left")), "left")
+    names = forest.select("cell", F.posexplode(F.arrays_zip("fragment", "core_lo", "core_hi")).alias("pos", "f"))
+    names = keep(names.select("cell", "pos", "f.core_lo", "f.core_hi", F.col("f.fragment").alias("comp")), "names")
     while not names.select("comp").distinct().limit(2).count() < 2:
-        labelled = points.join(unbroadcast(names), "fragment").drop("fragment")
-        levels = _node_facts(labelled, cells)
-        picks = _round_picks(labelled, cells, levels)
+        levels = _node_facts(names, cells)
+        picks = _round_picks(blocks, names, left, cells, levels)
         # Hook on if the other's own way out is shorter, or equally long and its
         # name smaller: no chain of such hooks can return to where it began.
         other = picks.select(F.col("comp").alias("to"), F.col("w").alias("other_w"))
@@ -249,12 +276,16 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
         hooks = keep(picks.join(unbroadcast(other), "to").filter(falls), "hooks")
         parts.append(hooks.select("a", "b", "w"))
         ends = roots(hooks.select(F.col("comp").alias("node"), F.col("to").alias("parent")))
-        ends = ends.select(F.col("node").alias("comp"), "root")
-        merged = names.join(unbroadcast(ends), "comp", "left").select("fragment", F.coalesce("root", "comp").alias("comp"))
-        merged = keep(merged, "names")
-        for old in [names, *levels]:
+
+        def renamed(df: DataFrame, column: str) -> DataFrame:
+            named = unbroadcast(ends.select(F.col("node").alias(column), "root"))
+            return df.join(named, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+
+        merged = keep(renamed(names, "comp"), "names")
+        rest = keep(renamed(renamed(left, "u"), "v").filter("u <> v").select(*left.columns), "left")
+        for old in [names, left, *levels]:
             drop_kept(old)
-        names = merged
+        names, left = merged, rest
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

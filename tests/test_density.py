@@ -264,3 +264,24 @@ def test_neighbours_bring_both_core_distances(spark):
     pairs = neighbours.row_neighbours(df, placed, lists, 3, core=core).collect()
     assert len(pairs) == 3 * 125
     assert all((r.core_a, r.core_b) == (known[r.row_id], known[r.neighbor_id]) for r in pairs)
+
+
+def test_cell_leaves_only_edges_of_its_own_tree():
+    """What a cell leaves to the rounds is the rest of its tree: one edge less than it has fragments."""
+    import pandas as pd
+
+    x = np.random.default_rng(10).normal(size=(80, 3))
+    reach, core = bruteforce.reach_matrix(x, 3)
+    pdf = pd.DataFrame({"point_id": range(80), "cell": 4, "features": list(x), "core": core, "clear": np.abs(x[:, 0])})
+    row = spanning._merge_in_cell(pdf, "euclidean").iloc[0]
+    made, left = row["made"], row["left"]
+    assert len(left) == len(row["fragment"]) - 1 > 0 and len(made) + len(left) == 79
+    a, b, w = spanning._cell_tree(x, core, "euclidean")
+    np.testing.assert_allclose(w, reach[a, b])
+    linked = np.zeros(reach.shape, bool)
+    linked[a, b] = linked[b, a] = True
+    assert len(bruteforce.components(np.arange(80), linked)) == 1
+    for e in left:  # longer than the way out of both fragments it joins
+        for end in (e["u"], e["v"]):
+            inside = row["fragment"][row["place"]] == end
+            assert e["w"] > np.maximum(core, np.abs(x[:, 0]))[inside].min()
