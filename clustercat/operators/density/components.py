@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clustercat.storage import drop_kept, keep, unbroadcast
 
+BLOCK_EDGES = 200_000
+
 
 def roots(pointers: DataFrame) -> DataFrame:
     """``node, root``: where each pointer ``node -> parent`` ends, by pointer jumping.
@@ -66,27 +71,72 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(unbroadcast(found), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
 
+def _labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``label`` with the parts that the edges ``u, v`` join under the smaller label; every label is its own."""
+    while True:
+        a, b = label[u], label[v]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        apart = low != high
+        if not apart.any():
+            return label
+        u, v = u[apart], v[apart]
+        label = label.copy()
+        np.minimum.at(label, high[apart], low[apart])
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def _stars(cuts: list[float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``cut, node, star`` for blocks of the edges as they are read: the smallest node that the block joins each to."""
+
+    def joined(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = np.concatenate([p["w"].to_numpy() for p in parts])
+        ends = np.concatenate([p[c].to_numpy() for c in "ab" for p in parts])
+        ids, at = np.unique(ends, return_inverse=True)
+        a, b = at[: len(w)], at[len(w) :]
+        label, below = np.arange(len(ids)), -np.inf
+        for cut in cuts:
+            added = (w > below) & (w <= cut) if below > -np.inf else w <= cut
+            label, below = _labels(label, a[added], b[added]), cut
+            yield pd.DataFrame({"cut": cut, "node": ids, "star": ids[label]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= BLOCK_EDGES:
+                yield from joined(held)
+                held = []
+        if sum(map(len, held)):
+            yield from joined(held)
+
+    return run
+
+
 def components_at(edges: DataFrame, cuts: float | Iterable[float]) -> DataFrame:
     """Flat components ``row_id, component`` when edges ``a, b, w`` up to a cut are kept.
 
-    For several cuts the result has ``cut`` too. They are taken from the least on: the components of
-    one are the nodes of the next, which adds only the edges between the two cuts, so an edge is looked at
-    once however many cuts there are. A row all of whose edges are longer is a component of its own.
+    For several cuts the result has ``cut`` too. All cuts share one pass: blocks of the edges, in the order in which they are
+    stored, are joined first, each in its task. Only nodes of several blocks meet in the search for components after that, so it is
+    small where neighbouring edges are stored together. A row all of whose edges are longer is a component of its own.
     """
     single = isinstance(cuts, (int, float))
     wanted = sorted({float(c) for c in ([cuts] if single else cuts)})
-    rows = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    home = rows.select("id", F.col("id").alias("component"))
-    every, below = home.withColumn("cut", F.lit(0.0)).filter("false"), F.lit(True)
-    for cut in wanted:
-        added = edges.filter(below & (F.col("w") <= cut)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if cut != wanted[0]:
-            for end in ("u", "v"):
-                added = added.join(unbroadcast(home.select(F.col("id").alias(end), "component")), end).withColumn(end, F.col("component"))
-                added = added.drop("component")
-        found = connected_components(keep(added, "ends")).select(F.col("node").alias("component"), F.col("comp").alias("to"))
-        home = home.join(unbroadcast(found), "component", "left")
-        home = keep(home.select("id", F.coalesce("to", "component").alias("component")), "home")
-        every, below = every.unionByName(home.withColumn("cut", F.lit(cut))), F.col("w") > cut
-    every = every.select("cut", F.col("id").alias("row_id"), "component")
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b"))
+    kind = ends.schema["id"].dataType
+    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
+    typed = edges.filter(whole).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.col("w").cast("double").alias("w"))
+    schema = StructType().add("cut", "double").add("node", kind).add("star", kind)
+    stars = typed.mapInPandas(_stars(wanted), schema)
+    # An edge without one of its ends joins nothing.
+    lone = edges.filter(~whole).select(F.explode(F.array("a", "b")).alias("node"))
+    lone = lone.select(F.explode(F.array(*map(F.lit, wanted))).alias("cut"), F.col("node").cast(kind).alias("node")) if wanted else None
+    stars = stars if lone is None else stars.unionByName(lone.withColumn("star", F.col("node")))
+    stars = keep(stars, "stars")
+    met = stars.groupBy("cut", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    links = stars.filter("node <> star").join(unbroadcast(met), ["cut", "node"], "left_semi")
+    links = keep(links.select(F.struct("cut", "node").alias("u"), F.struct("cut", F.col("star").alias("node")).alias("v")), "links")
+    found = connected_components(links).select("node.cut", F.col("node.node").alias("star"), F.col("comp.node").alias("component"))
+    every = stars.join(unbroadcast(found), ["cut", "star"], "left").groupBy("cut", F.col("node").alias("row_id"))
+    every = keep(every.agg(F.min(F.coalesce("component", "star")).alias("component")), "home")
     return every.drop("cut") if single else every

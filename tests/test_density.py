@@ -285,3 +285,21 @@ def test_cell_leaves_only_edges_of_its_own_tree():
         for end in (e["u"], e["v"]):
             inside = row["fragment"][row["place"]] == end
             assert e["w"] > np.maximum(core, np.abs(x[:, 0]))[inside].min()
+
+
+def test_components_join_blocks_of_edges_first(spark, monkeypatch):
+    """Only nodes that several blocks of edges have in common take part in the search for components."""
+    searched, search = [], components.connected_components
+
+    def counted(edges):
+        searched.append(edges.count())
+        return search(edges)
+
+    monkeypatch.setattr(components, "connected_components", counted)
+    rows = [(i, i + 1, 1.0 if i % 100 else 3.0) for i in range(1, 2000)] + [(5000, None, 0.5)]
+    edges = spark.createDataFrame(rows, "a long, b long, w double").coalesce(2)
+    every = components.components_at(edges, [2.0, 4.0]).collect()
+    low = {r.row_id: r.component for r in every if r.cut == 2.0}
+    assert low == {i: max(1, (i - 1) // 100 * 100 + 1) for i in range(1, 2001)} | {5000: 5000, None: None}
+    assert {r.component for r in every if r.cut == 4.0} == {1, 5000, None} and len(every) == 2 * 2002
+    assert len(searched) == 1 and searched[0] < 20
