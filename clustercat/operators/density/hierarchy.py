@@ -216,19 +216,19 @@ def _close_references(events: DataFrame) -> DataFrame:
         "asked",
     )
     open_tops = tops.filter("cluster is null").select("node", "part", "node.seg")
-    pointers = open_tops.join(asked.withColumnRenamed("node", "parent"), ["part", "seg"]).select("node", "parent")
+    pointers = open_tops.join(unbroadcast(asked.withColumnRenamed("node", "parent")), ["part", "seg"]).select("node", "parent")
     ends = roots(pointers)
     known = tops.filter("cluster is not null").select(F.col("node").alias("root"), "cluster")
     meaning = (
-        asked.join(ends, "node", "left")
+        asked.join(unbroadcast(ends), "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
-        .join(known, "root")
+        .join(unbroadcast(known), "root")
         .select("part", "seg", "cluster")
     )
     meaning = keep(meaning, "meaning")
     for reference, target in (("open", "to"), ("id_open", "id")):
         named = meaning.withColumnsRenamed({"part": reference, "cluster": "_c"})
-        events = events.join(named, [reference, "seg"], "left").withColumn(target, F.coalesce("_c", target)).drop("_c")
+        events = events.join(unbroadcast(named), [reference, "seg"], "left").withColumn(target, F.coalesce("_c", target)).drop("_c")
     return events
 
 
@@ -280,9 +280,9 @@ def condensed_tree(
 
     def merged(df: DataFrame, column: str) -> DataFrame:
         named = same.select(F.col("node").alias(column), "root")
-        return df.join(named, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+        return df.join(unbroadcast(named), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
-    clusters = merged(nodes.join(same.select(F.col("node").alias("cluster")), "cluster", "left_anti"), "parent")
+    clusters = merged(nodes.join(unbroadcast(same.select(F.col("node").alias("cluster"))), "cluster", "left_anti"), "parent")
     clusters = keep(clusters.select("cluster", "parent", "born_w", "size"), "clusters")
 
     links = events.filter("kind = 'link'").select(F.col("id").alias("node"), F.col("to").alias("parent"))
@@ -299,13 +299,13 @@ def condensed_tree(
     late = F.coalesce(F.col("w") >= F.col("born_w"), F.lit(False))
     fallen = keep(
         merged(fallen, "cluster")
-        .join(clusters.drop("size"), "cluster")
+        .join(unbroadcast(clusters.drop("size")), "cluster")
         .select("cluster", "point_id", "weight", "w", late.alias("late"), F.when(late, F.col("parent")).otherwise(F.col("cluster")).alias("parent")),
         "fallen",
     )
     left = fallen.filter("late").groupBy("cluster").agg(F.sum("weight").alias("left"))
     clusters = keep(
-        clusters.join(left, "cluster", "left").select(
+        clusters.join(unbroadcast(left), "cluster", "left").select(
             "cluster",
             "parent",
             F.when(F.col("parent").isNull(), 0.0).otherwise(1.0 / F.col("born_w")).alias("birth"),
@@ -341,7 +341,7 @@ def _same_cluster(nodes: DataFrame) -> DataFrame:
     """
     instant = roots(nodes.filter("made_w = born_w").select(F.col("cluster").alias("node"), "parent"))
     real = nodes.filter("parent is not null and made_w < born_w").select("cluster", F.col("parent").alias("node"))
-    real = real.join(instant, "node", "left").select("cluster", F.coalesce("root", "node").alias("parent"))
+    real = real.join(unbroadcast(instant), "node", "left").select("cluster", F.coalesce("root", "node").alias("parent"))
     alone = real.groupBy("parent").agg(F.count("*").alias("n"), F.min("cluster").alias("node")).filter("n = 1")
     pointers = instant.select("node", F.col("root").alias("parent")).unionByName(alone.select("node", "parent"))
     return roots(pointers)
@@ -357,7 +357,7 @@ def cluster_stability(tree: DataFrame, clusters: DataFrame) -> DataFrame:
             F.sum("child_size").alias("n"),
             F.max("lambda_val").alias("death"),
         )
-        .join(births, "parent")
+        .join(unbroadcast(births), "parent")
         .select(F.col("parent").alias("cluster"), (F.col("held") - F.col("n") * F.col("birth")).alias("stability"), "death")
     )
-    return clusters.join(sums, "cluster")
+    return clusters.join(unbroadcast(sums), "cluster")

@@ -57,7 +57,7 @@ def select_clusters(
         parents = stable.filter("parent is not null").select(F.col("parent").alias("cluster")).distinct()
         flagged = stable.select("cluster").join(parents, "cluster", "left_anti")
     if not allow_single_cluster:
-        flagged = flagged.join(stable.filter("parent is not null").select("cluster"), "cluster")
+        flagged = flagged.join(unbroadcast(stable.filter("parent is not null").select("cluster")), "cluster")
     chosen = _topmost(stable, flagged)
     if epsilon <= 0:
         return chosen
@@ -79,11 +79,11 @@ def select_clusters(
 def membership_probability(tree: DataFrame, stable: DataFrame, chosen: DataFrame) -> DataFrame:
     """``point_id, chosen, prob``: lambda of the point over the largest in its cluster, at most 1; 0 for noise."""
     deaths = stable.select(F.col("cluster").alias("chosen"), "death")
-    of_parent = chosen.join(deaths, "chosen", "left").withColumnRenamed("cluster", "parent")
+    of_parent = chosen.join(unbroadcast(deaths), "chosen", "left").withColumnRenamed("cluster", "parent")
     points = tree.filter(~F.col("is_cluster")).select("parent", F.col("child").alias("point_id"), "lambda_val", "child_size")
     share = F.try_divide(F.least("lambda_val", "death"), F.col("death"))
     prob = F.when(F.col("chosen").isNull(), 0.0).otherwise(F.coalesce(share, F.lit(1.0)))
-    return points.join(of_parent, "parent").select("point_id", "chosen", prob.alias("prob"), F.col("child_size").alias("weight"))
+    return points.join(unbroadcast(of_parent), "parent").select("point_id", "chosen", prob.alias("prob"), F.col("child_size").alias("weight"))
 
 
 def hierarchy(
@@ -117,7 +117,7 @@ def label_points(tables: dict[str, DataFrame], chosen: DataFrame) -> DataFrame:
         F.sum("weight").alias("size"), F.min("point_id").alias("first")
     )
     names = positions(sizes, F.desc("size"), F.asc("first"), name="cluster").select("chosen", F.col("cluster").cast("int"))
-    known = fitted.join(names, "chosen", "left").select("point_id", "cluster", "prob")
+    known = fitted.join(unbroadcast(names), "chosen", "left").select("point_id", "cluster", "prob")
     every = tables["points"].select("point_id").join(unbroadcast(known), "point_id", "left")
     return every.select(
         "point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("prob", F.lit(0.0)).alias("prob")

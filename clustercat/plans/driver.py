@@ -19,7 +19,7 @@ from clustercat.plans import jobs
 from clustercat.operators.quantiles import group_quantiles, median_mad, robust_limits
 from clustercat.operators.silhouette import silhouette_exact, silhouette_sampled
 from clustercat.sources import tables
-from clustercat.storage import new_path
+from clustercat.storage import new_path, unbroadcast
 
 CATALOG_MAP = {
     "ra": "ra", "dec": "dec", "parallax": "parallax", "pmra": "pmra", "pmdec": "pmdec",
@@ -1181,7 +1181,7 @@ SPAN_SQL, TREE_SQL, CHOICE_SQL = _span_sql(), _tree_sql(), _choice_sql()
 
 def _without_names(clusters: DataFrame, column: str, *facts: str) -> DataFrame:
     """Facts of the cluster that ``column`` names, as ``{column}_{fact}``, as clusters' names mean nothing outside a run."""
-    return clusters.select(F.col("cluster").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in facts])
+    return unbroadcast(clusters.select(F.col("cluster").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in facts]))
 
 
 @query("min_span_tree", f"{SPAN_SQL} select {r('w')}, count(*) as n from span where w is not null group by round(w, 6) + 0.0")
