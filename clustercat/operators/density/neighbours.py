@@ -238,5 +238,14 @@ def mutual_reachability(
     """``row_id, neighbor_id, weight`` of the neighbour pairs: the largest of both core distances and the distance."""
     df = searchable(df, metric, key)
     placed, _, lists = prepare(df, k, metric, cell_rows, key)
-    pairs = row_neighbours(df, placed, lists, k, key, with_core(placed, lists, k))
+    known = with_core(placed, lists, k)
+    if df.groupBy(key).count().filter("count > 1").isEmpty():
+        pairs = row_neighbours(df, placed, lists, k, key, known).filter(F.col(key).isNotNull() & F.col("neighbor_id").isNotNull())
+    else:  # a key that repeats stands for each of its rows
+        core = keep(to_rows(df, known.select("features", "core"), key), "row-core")
+        pairs = (
+            row_neighbours(df, placed, lists, k, key)
+            .join(unbroadcast(core.withColumnRenamed("core", "core_a")), key)
+            .join(unbroadcast(core.select(F.col(key).alias("neighbor_id"), F.col("core").alias("core_b"))), "neighbor_id")
+        )
     return pairs.select(key, "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("weight"))
