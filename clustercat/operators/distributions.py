@@ -266,6 +266,30 @@ def covariance_ellipse(df: DataFrame, x: str, y: str, n_sigma: float = 2.0) -> D
 # Shapes by cluster
 
 
+def _side_by_side(df: DataFrame, features: list[str]) -> DataFrame:
+    """``cluster, f0, f1, …``: the features by their places."""
+    return df.select("cluster", *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+
+
+def _unpivoted(wide: DataFrame, features: list[str], columns: dict[str, str]) -> DataFrame:
+    """``feature, cluster`` and ``columns``, each from the column of ``wide`` that its pattern names for the feature's place."""
+    records = [
+        F.struct(F.lit(c).alias("feature"), *[F.col(of.format(f"f{i}")).alias(name) for name, of in columns.items()])
+        for i, c in enumerate(features)
+    ]
+    return wide.select("cluster", F.inline(F.array(*records)))
+
+
+def member_shapes(df: DataFrame, feature: str | list[str]) -> DataFrame:
+    """``feature, cluster, n, lo, hi, std, q1, med, q3`` of the members' values, all features side by side."""
+    features = [feature] if isinstance(feature, str) else list(feature)
+    require_columns(df, (*features, "cluster"))
+    wide = _side_by_side(df.filter("is_member"), features)
+    profile = group_profile(wide, ["cluster"], {f"f{i}": [0.25, 0.5, 0.75] for i in range(len(features))})
+    named = {"n": "{}_n", "lo": "{}_min", "hi": "{}_max", "std": "{}_std", "q1": "{}_q0", "med": "{}_q1", "q3": "{}_q2"}
+    return keep(_unpivoted(profile, features, named).filter("n > 0"), "shapes")
+
+
 def _member_values(df: DataFrame, feature: str | list[str]) -> tuple[DataFrame, list[str]]:
     """Members' values as ``x`` and the columns they are grouped by."""
     features = [feature] if isinstance(feature, str) else list(feature)
@@ -274,17 +298,15 @@ def _member_values(df: DataFrame, feature: str | list[str]) -> tuple[DataFrame,
     return (rows.drop("feature"), ["cluster"]) if isinstance(feature, str) else (rows, ["feature", "cluster"])
 
 
-def box_stats(df: DataFrame, feature: str | list[str]) -> DataFrame:
+def box_stats(df: DataFrame, feature: str | list[str], shapes: DataFrame | None = None) -> DataFrame:
     """Members per cluster: quartiles, whiskers within 1.5 IQR, number of outliers.
 
-    For a list of features the result has a ``feature`` column too.
+    For a list of features the result has a ``feature`` column too. ``shapes`` is what
+    :func:`member_shapes` found for the same features, if it is known already.
     """
     rows, by = _member_values(df, feature)
-    quartiles = group_quantiles(rows, by, {"x": [0.25, 0.5, 0.75]})
-    quartiles = keep(
-        quartiles.select(*by, F.col("x_q0").alias("q1"), F.col("x_q1").alias("med"), F.col("x_q2").alias("q3")),
-        "quartiles",
-    )
+    shapes = member_shapes(df, feature) if shapes is None else shapes
+    quartiles = shapes.select(*by, "q1", "med", "q3")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     x = F.col("x")
@@ -336,9 +358,12 @@ def _kernel_sums(rows: DataFrame, by: list[str], points: int) -> DataFrame:
                 grid[-1] = hi
                 x = part["x"].to_numpy()
                 total = held.setdefault(key, np.zeros(points))
-                for start in range(0, len(x), 4096):
-                    z = (grid[:, None] - x[None, start : start + 4096]) / h
-                    total += np.exp(-0.5 * z * z).sum(axis=1)
+                for start in range(0, len(x), 512):  # a block that stays in the processor's cache
+                    z = grid[:, None] - x[None, start : start + 512]
+                    z /= h
+                    z *= z
+                    z *= -0.5
+                    total += np.exp(z, out=z).sum(axis=1)
             if len(held) >= HELD_GROUPS:
                 yield rest()
         if held:
@@ -350,22 +375,18 @@ def _kernel_sums(rows: DataFrame, by: list[str], points: int) -> DataFrame:
     return sums.select(*by, F.posexplode("s").alias("grid_i", "s")).groupBy(*by, "grid_i").agg(F.sum("s").alias("s"))
 
 
-def violin_density(df: DataFrame, feature: str | list[str], points: int = 100) -> DataFrame:
+def violin_density(
+    df: DataFrame, feature: str | list[str], points: int = 100, shapes: DataFrame | None = None
+) -> DataFrame:
     """Members per cluster: Gaussian kernel density on an even grid, and the median.
 
     What is shuffled is one vector of the grid a group and task, not the rows. For a list of
-    features the result has a ``feature`` column too.
+    features the result has a ``feature`` column too. ``shapes`` is as in :func:`box_stats`.
     """
     rows, by = _member_values(df, feature)
-    shape = group_profile(rows, by, {"x": [0.5]}).select(
-        *by,
-        F.col("x_n").alias("n"),
-        F.col("x_min").alias("lo"),
-        F.col("x_max").alias("hi"),
-        (F.col("x_std") * F.pow(F.col("x_n"), F.lit(-0.2))).alias("h"),
-        F.col("x_q0").alias("median"),
-    )
-    shape = keep(shape, "shape")
+    shapes = member_shapes(df, feature) if shapes is None else shapes
+    h = F.col("std") * F.pow(F.col("n"), F.lit(-0.2))
+    shape = shapes.select(*by, "n", "lo", "hi", h.alias("h"), F.col("med").alias("median"))
     sums = _kernel_sums(rows.join(shape.filter(F.col("lo") < F.col("hi")), by), by, points)
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     at = F.when(F.col("grid_i") == points - 1, F.col("hi")).otherwise(F.col("lo") + F.col("grid_i") * step)
@@ -444,10 +465,11 @@ def cluster_panel(df: DataFrame, labels: Iterable[int] | None = None, bins: int
     if labels is not None:
         df = df.filter(F.col("cluster").isin(list(labels)))
     features = [c for c in PANEL_FEATURES if c in df.columns]
-    long = keep(_long(df.filter(F.col("cluster").isNotNull()), features, "cluster"), "long")
-    by = ["feature", "cluster"]
-    notes = median_mad(long, by, ["x"]).withColumnsRenamed({"x_median": "median", "x_mad": "mad"})
-    return histogram(long, "x", bins, by=by).join(notes, by)
+    wide = keep(_side_by_side(df.filter(F.col("cluster").isNotNull()), features), "panels")
+    by, places = ["feature", "cluster"], [f"f{i}" for i in range(len(features))]
+    notes = _unpivoted(median_mad(wide, ["cluster"], places), features, {"median": "{}_median", "mad": "{}_mad"})
+    values = _long(wide.withColumnsRenamed(dict(zip(places, features))), features, "cluster")
+    return histogram(values, "x", bins, by=by).join(notes, by)
 
 
 def cluster_panel_points(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -190,3 +190,22 @@ def test_silhouette_blocks_are_bounded_and_few():
     for width, clusters in ((5, 10**6), (2000, 3), (64, 700)):
         rows = module._block_rows(10**9, width, clusters)
         assert rows * width <= module.BLOCK_NUMBERS and rows * min(rows, clusters) <= module.BLOCK_SUMS
+
+
+def test_box_and_violin_share_their_quartiles(df, monkeypatch):
+    features = ["ra", "dec"]
+    sort = lambda table: sorted(map(tuple, table.collect()))
+    alone = sort(d.box_stats(df, features)), sort(d.violin_density(df, features, 10))
+    shapes = d.member_shapes(df, features)
+    monkeypatch.setattr(d, "group_profile", None)
+    shared = sort(d.box_stats(df, features, shapes)), sort(d.violin_density(df, features, 10, shapes))
+    assert [len(t) for t in shared] == [2, 20] and shared[0] == alone[0]
+    for one, two in zip(shared[1], alone[1]):
+        assert one[:3] == two[:3] and one[3:] == pytest.approx(two[3:])
+
+
+def test_a_panel_skips_missing_values_and_features_without_any(spark):
+    rows = [(0, 1.0, None), (0, 3.0, None), (0, float("nan"), None), (1, 5.0, 2.0), (None, 9.0, 9.0)]
+    wide = spark.createDataFrame(rows, "cluster int, parallax double, ruwe double")
+    found = {(r.feature, r.cluster): (r.median, r.mad) for r in d.cluster_panel(wide, bins=2).collect()}
+    assert found == {("parallax", 0): (2.0, 1.0), ("parallax", 1): (5.0, 0.0), ("ruwe", 1): (2.0, 0.0)}

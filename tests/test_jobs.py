@@ -1,8 +1,11 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clustercat.plans import jobs
+from clustercat.together import together
 
 CATALOG = {"ra": "ra", "dec": "dec", "parallax": "parallax", "pmra": "pmra", "pmdec": "pmdec", "g": "phot_g_mean_mag", "bp": "phot_bp_mean_mag", "rp": "phot_rp_mean_mag", "ruwe": "ruwe"}
 REFERENCE = {"ra": "RA_ICRS", "dec": "DE_ICRS", "parallax": "plx", "pmra": "pmRA", "pmdec": "pmDE", "gmag": "Gmag", "color": "Bp-Rp"}
@@ -64,3 +67,16 @@ def test_row_numbers_without_a_key(spark):
     rows = spark.range(100).select((F.col("id") % 90).alias("a"), F.lit(None).cast("string").alias("b"))
     numbered = [sorted((r.row_id, r.a) for r in jobs.with_row_id(rows.repartition(n), None).collect()) for n in (1, 4)]
     assert numbered[0] == numbered[1] and [i for i, _ in numbered[0]] == list(range(100))
+
+
+def test_independent_jobs_run_side_by_side(spark):
+    """Each waits for the other inside a job of its own; results come in the order given, errors are raised."""
+    met = threading.Barrier(2, timeout=60)
+
+    def build(n):
+        met.wait()
+        return spark.range(n).count()
+
+    assert list(together(spark, {"a": lambda: build(3), "b": lambda: build(5)}, ["b"]).items()) == [("a", 3), ("b", 5)]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, {"a": lambda: 1 // 0, "b": lambda: 1})
