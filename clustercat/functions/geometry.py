@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def norm(gaps, metric: str = "euclidean") -> np.ndarray:
     return np.sqrt(total) if metric == "euclidean" else total
 
 
+def norm_of(gaps: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """As :func:`norm`, to the last bit, of a matrix with a row for each axis."""
+    if metric == "euclidean":
+        return np.sqrt(np.add.reduce(gaps * gaps))
+    return np.add.reduce(np.abs(gaps)) if metric == "manhattan" else np.maximum.reduce(np.abs(gaps))
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """All distances between the rows of two matrices."""
     return norm((np.subtract.outer(a[:, j], b[:, j]) for j in range(a.shape[1])), metric)
@@ -68,3 +77,13 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
 def matrix(column) -> np.ndarray:
     """Rows of an array column as a float matrix."""
     return np.array(column.tolist(), dtype="float64") if len(column) else np.zeros((0, 0))
+
+
+def flat_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of an Arrow column of arrays as a float matrix; a missing number is NaN."""
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) > 1:
+        raise ValueError(f"features of different lengths: {widths[:5]}")
+    values = pc.list_flatten(column)
+    values = values.to_numpy() if isinstance(values, pa.ChunkedArray) else values.to_numpy(zero_copy_only=False)
+    return values.astype("float64", copy=False).reshape(len(column), widths[0] if widths else 0)

@@ -176,13 +176,16 @@ def descend(
     return now.filter("cell <> own")
 
 
-def descend_blocks(queries: DataFrame, cells: Cells, levels: list[DataFrame], useful: Callable[..., np.ndarray]) -> DataFrame:
+def descend_blocks(
+    queries: DataFrame, cells: Cells, levels: list[DataFrame], useful: Callable[..., np.ndarray] | None = None
+) -> DataFrame:
     """As :func:`descend`, for queries that come as one row a cell, their columns as arrays of the same order.
 
-    ``queries`` has ``own`` and the arrays ``ids, features`` (end to end), ``core, comp, radius``. ``useful(comp, radius, nodes)``
-    may rule out pairs of some queries and a node each. The result has a row for each cell with those that go there.
+    ``queries`` has ``own`` and arrays, among them ``features`` (end to end) and ``radius``. ``useful(comp, radius, nodes)``
+    may rule out pairs of some queries, of an array ``comp``, and a node each. The result has a row for each cell with those that go there.
     """
-    arrays = ["ids", "features", "core", "comp", "radius"]
+    arrays = [c for c in queries.columns if c != "own"]
+    others = [c for c in arrays if c != "features"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in queries.select("own", *arrays).dtypes), "cell bigint"])
     metric = cells.metric
 
@@ -190,33 +193,36 @@ def descend_blocks(queries: DataFrame, cells: Cells, levels: list[DataFrame], us
         out: dict[str, list] = {c: [] for c in ("own", *arrays, "cell")}
         lo, hi = matrix(nodes["lo"]), matrix(nodes["hi"])
         for block in asked.itertuples(index=False):
-            x = block.features.reshape(len(block.ids), -1)
+            x = block.features.reshape(len(block.radius), -1)
             first, last, widest = x.min(axis=0), x.max(axis=0), block.radius.max()
             gaps = (np.maximum(np.maximum(lo[:, j] - last[j], first[j] - hi[:, j]), 0.0) for j in range(x.shape[1]))
             some = np.flatnonzero(norm(gaps, metric) <= widest * (1 + 1e-9))
             row, at = within(x, block.radius, lo[some], hi[some], metric)
             at = some[at]
-            good = useful(block.comp[row], block.radius[row], nodes.iloc[at])
-            row, at = row[good], at[good]
+            if useful is not None:
+                good = useful(block.comp[row], block.radius[row], nodes.iloc[at])
+                row, at = row[good], at[good]
             order = np.argsort(at, kind="stable")
             row, at = row[order], at[order]
             starts = np.flatnonzero(np.r_[True, np.diff(at) != 0]) if len(at) else []
             for start, rows in zip(starts, np.split(row, starts[1:]) if len(at) else []):
                 out["own"].append(block.own)
                 out["features"].append(x[rows].ravel())
-                for c in ("ids", "core", "comp", "radius"):
+                for c in others:
                     out[c].append(getattr(block, c)[rows])
                 out["cell"].append(nodes["child"].iloc[at[start]])
         return pd.DataFrame(out, dtype="object")
 
     now = queries.select("own", *arrays).withColumn("cell", F.lit(0).cast("bigint"))
     for nodes in levels:
-        now = visit(now, nodes, enter, schema, by="own", rows=F.size("ids"))
+        now = visit(now, nodes, enter, schema, by="own", rows=F.size("radius"))
     return now.filter("cell <> own")
 
 
-def visit(queries: DataFrame, points: DataFrame, task, schema: str, by: str = "point_id", rows: Column | None = None) -> DataFrame:
-    """Run ``task(queries, points)`` once per target cell.
+def visit(
+    queries: DataFrame, points: DataFrame, task, schema: str, by: str = "point_id", rows: Column | None = None, arrow: bool = False
+) -> DataFrame:
+    """Run ``task(queries, points)`` once per target cell, on pandas frames or, if asked, on Arrow tables.
 
     A cell that many queries visit is served by several tasks, each with its
     share of the queries, dealt out ``by`` a column, and a copy of the cell's few points. A row of the queries
@@ -230,4 +236,5 @@ def visit(queries: DataFrame, points: DataFrame, task, schema: str, by: str = "p
     right = points.join(chunks, "cell").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     ).drop("chunks")
-    return left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInPandas(task, schema)
+    both = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk"))
+    return both.applyInArrow(task, schema) if arrow else both.applyInPandas(task, schema)

@@ -10,7 +10,7 @@ from clustercat.operators.density.cells import CELL_ROWS
 from clustercat.operators.density.components import roots
 from clustercat.operators.density.contraction import best_below
 from clustercat.operators.density.hierarchy import SEGMENT_EDGES, cluster_stability, condensed_tree
-from clustercat.operators.density.neighbours import prepare, searchable, to_rows, with_core
+from clustercat.operators.density.neighbours import prepare, searchable, to_rows
 from clustercat.operators.density.spanning import min_span_tree
 from clustercat.operators.ranking import positions
 from clustercat.storage import keep, unbroadcast
@@ -97,8 +97,7 @@ def hierarchy(
 ) -> dict[str, DataFrame]:
     """Every table from points to cluster stabilities: points, edges, tree, clusters."""
     k = max(1, int(min_samples or min_cluster_size))
-    placed, cells, lists = prepare(searchable(df, metric, key), k, metric, cell_rows, key)
-    points = with_core(placed, lists, k)
+    _, cells, points = prepare(searchable(df, metric, key), k, metric, cell_rows, key, core_only=True)
     edges = keep(min_span_tree(points, cells).withColumn("w", real_distance(F.col("w"), metric)), "span")
     points = points.withColumn("core", real_distance(F.col("core"), metric))
     tree, clusters = condensed_tree(edges, points, min_cluster_size, segment_edges)

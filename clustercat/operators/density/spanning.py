@@ -3,7 +3,7 @@
 The graph is complete, so its edges are never listed. Each cell makes the least tree of its own points.
 An edge of it that is no longer than the way out of the cell, for one of the parts it joins, belongs to the whole
 tree; so most merges need no round at all. The other edges of a cell's tree are the only ones inside the cell that may yet be needed.
-Each round every component finds its shortest edge to another one: among those edges, which also tells how far a better one
+Each round every component but the largest finds its shortest edge to another one: among those edges, which also tells how far a better one
 could be, then in the few cells within that distance. A cell whose points all belong to the asking component is not
 visited. A cell's points travel as one row.
 """
@@ -15,18 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustercat.functions.geometry import distances, matrix, norm
+from clustercat.functions.geometry import distances, matrix, norm, norm_of
 from clustercat.operators.density.cells import Cells, descend_blocks, visit
 from clustercat.operators.density.components import roots
 from clustercat.storage import drop_kept, keep, unbroadcast
 
-BLOCK = 512
+# Distances that exist at a time, few enough for a core's cache.
+BLOCK_PAIRS = 1 << 15
 PICK = "comp bigint, w double, to bigint, a bigint, b bigint"
 # A row a cell: its points in the order of their ids, with the place of their fragment; the fragments, named by their
 # smallest point; the edges made, and the others, between fragments u and v.
 FOREST = (
     "cell bigint, ids array<bigint>, features array<double>, core array<double>, place array<int>, "
-    "fragment array<bigint>, core_lo array<double>, core_hi array<double>, "
+    "fragment array<bigint>, held array<bigint>, core_lo array<double>, core_hi array<double>, "
     "made array<struct<a: bigint, b: bigint, w: double>>, left array<struct<u: bigint, v: bigint, w: double, a: bigint, b: bigint>>"
 )
 
@@ -36,22 +37,6 @@ def _reach(a, a_core, b, b_core, metric) -> np.ndarray:
     return np.maximum(np.maximum(distances(a, b, metric), a_core[:, None]), b_core[None, :])
 
 
-def _nearest_foreign(blocks, comp: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the least value in a column of another component, and that column."""
-    best, at = [], []
-    for start, block in blocks:
-        masked = np.where(comp[start : start + len(block), None] == other[None, :], np.inf, block)
-        at.append(masked.argmin(axis=1))
-        best.append(masked[np.arange(len(block)), at[-1]])
-    return np.concatenate(best), np.concatenate(at)
-
-
-def _first_per(comp, w, lo, hi) -> np.ndarray:
-    """Index of each component's least (w, lo, hi)."""
-    order = np.lexsort((hi, lo, w, comp))
-    return order[np.r_[True, np.diff(comp[order]) != 0]]
-
-
 def _find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = i = parent[parent[i]]
@@ -68,7 +53,7 @@ def _cell_tree(x: np.ndarray, core: np.ndarray, metric: str) -> tuple[np.ndarray
     a, b, w = np.zeros(n - 1, dtype="int64"), np.zeros(n - 1, dtype="int64"), np.zeros(n - 1)
     at, last = 0, n - 1
     for step in range(n - 1):
-        d = norm((axis - value for axis, value in zip(axes[:, :last], x[at])), metric)
+        d = norm_of(axes[:, :last] - x[at][:, None], metric)
         np.maximum(d, core_left[:last], out=d)
         np.maximum(d, core[at], out=d)
         closer = d < best[:last]
@@ -114,54 +99,64 @@ def _merge_in_cell(pdf: pd.DataFrame, metric: str) -> pd.DataFrame:
         {"u": u, "v": v, "w": d, "a": i, "b": j}
         for u, v, d, i, j in zip(*(c.tolist() for c in (ids[part[a[left]]], ids[part[b[left]]], w[left], ids[a[left]], ids[b[left]])))
     ]
-    row = [pdf["cell"].iloc[0], ids, x.ravel(), core, place.astype("int32"), ids[names], lo, hi, edges, others]
-    return pd.DataFrame([row], columns=["cell", "ids", "features", "core", "place", "fragment", "core_lo", "core_hi", "made", "left"])
+    held = np.bincount(place, minlength=len(names))
+    row = [pdf["cell"].iloc[0], ids, x.ravel(), core, place.astype("int32"), ids[names], held, lo, hi, edges, others]
+    return pd.DataFrame(
+        [row], columns=["cell", "ids", "features", "core", "place", "fragment", "held", "core_lo", "core_hi", "made", "left"]
+    )
+
+
+def _shortest(
+    x: np.ndarray, core: np.ndarray, a: np.ndarray, y: np.ndarray, y_core: np.ndarray, b: np.ndarray, best: float, metric: str
+) -> tuple[float, int, int]:
+    """The least mutual reachability below ``best`` of a row of ``x`` and one of ``y``, by ids ``a`` and ``b`` where equal; or rows -1.
+
+    Only what lies in the box within ``best`` around the other side is looked at. An edge is never shorter than either end's
+    core distance, so rows come in the order of theirs, and those that can't improve on the best so far are left out.
+    """
+    reach, edge = best * (1 + 1e-9), (-1, -1)
+    held = np.flatnonzero((y_core < best) & ((y >= np.fmin.reduce(x) - reach) & (y <= np.fmax.reduce(x) + reach)).all(axis=1))
+    if not len(held):
+        return best, *edge
+    near = (x >= np.fmin.reduce(y[held]) - reach) & (x <= np.fmax.reduce(y[held]) + reach)
+    asked = np.flatnonzero((core < best) & near.all(axis=1))
+    asked, held = asked[np.argsort(core[asked], kind="stable")], held[np.argsort(y_core[held], kind="stable")]
+    start = 0
+    while start < len(asked) and core[asked[start]] < best:
+        width = int(np.searchsorted(y_core[held], best))
+        if not width:
+            break
+        rows, to = asked[start : start + max(1, BLOCK_PAIRS // width)], held[:width]
+        start += len(rows)
+        w = _reach(x[rows], core[rows], y[to], y_core[to], metric)
+        least = np.nanmin(w, initial=np.inf)
+        if least < best:
+            i, j = np.nonzero(w == least)
+            first = np.lexsort((b[to[j]], a[rows[i]]))[0]
+            best, edge = float(least), (int(rows[i[first]]), int(to[j[first]]))
+    return best, *edge
 
 
 def _picks(asked: pd.DataFrame, found: pd.DataFrame, metric: str) -> pd.DataFrame:
     """The shortest edge from each component of the blocks ``asked`` to a point of another one in the block ``found``.
 
-    An edge is never shorter than either end's core distance. Rows come in the
-    order of theirs, and one that cannot improve on its component's best so far,
-    or on the bound it came with, is skipped.
+    Edges as long as the bound a component came with are left out.
     """
     core, a, comp, bound = (np.concatenate(asked[c].tolist()) for c in ("core", "ids", "comp", "radius"))
-    codes, comps = pd.factorize(comp)
-    best = np.full(len(comps), np.inf)
-    best[codes] = bound
+    x = np.concatenate(asked["features"].tolist()).reshape(len(core), -1)
     right = found.iloc[0]
-    order = np.argsort(right["core"], kind="stable")
-    y, y_core = right["features"].reshape(len(order), -1)[order], right["core"][order]
-    other, b = right["comp"][right["place"]][order], right["ids"][order]
-    order = np.argsort(core, kind="stable")
-    codes, x = codes[order], np.concatenate(asked["features"].tolist()).reshape(len(core), -1)[order]
-    core, a = core[order], a[order]
-    edge = np.full((len(comps), 2), -1)
-    for start in range(0, len(x), BLOCK):
-        rows = np.arange(start, min(start + BLOCK, len(x)))
-        rows = rows[core[rows] < best[codes[rows]]]
-        if not len(rows):
-            continue
-        width = int(np.searchsorted(y_core, best[codes[rows]].max()))
-        if not width:
-            continue
-        block = [(0, _reach(x[rows], core[rows], y[:width], y_core[:width], metric))]
-        w, to = _nearest_foreign(block, comps[codes[rows]], other[:width])
-        for i in _first_per(codes[rows], w, a[rows], b[to]):
-            code = codes[rows[i]]
-            if w[i] < best[code]:
-                best[code], edge[code] = w[i], (rows[i], to[i])
-    hit = edge[:, 0] >= 0
-    i, j = edge[hit, 0], edge[hit, 1]
-    return pd.DataFrame(
-        {
-            "comp": comps[hit],
-            "w": best[hit],
-            "to": other[j],
-            "a": np.minimum(a[i], b[j]),
-            "b": np.maximum(a[i], b[j]),
-        }
-    )
+    y, y_core, b = right["features"].reshape(len(right["ids"]), -1), right["core"], right["ids"]
+    other = right["comp"][right["place"]]
+    order = np.argsort(comp, kind="stable")
+    picks = []
+    for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        name = comp[rows[0]]
+        foreign = np.flatnonzero(other != name)
+        best, i, j = _shortest(x[rows], core[rows], a[rows], y[foreign], y_core[foreign], b[foreign], bound[rows[0]], metric)
+        if i >= 0:
+            i, j = rows[i], foreign[j]
+            picks.append((name, best, other[j], min(a[i], b[j]), max(a[i], b[j])))
+    return pd.DataFrame(picks, columns=["comp", "w", "to", "a", "b"]).astype({"w": "float64"})
 
 
 FACTS = ["comp_lo", "comp_hi", "core_lo", "core_hi"]
@@ -201,18 +196,21 @@ def _far_corners(nodes: pd.DataFrame, metric: str) -> pd.DataFrame:
     return out[np.isfinite(out["bound"])].groupby("comp", as_index=False).min()
 
 
-def _round_picks(blocks: DataFrame, names: DataFrame, left: DataFrame, cells: Cells, levels: list[DataFrame]) -> DataFrame:
-    """The shortest way out of every component: ``comp, w, to, a, b``."""
+def _round_picks(
+    blocks: DataFrame, names: DataFrame, left: DataFrame, cells: Cells, levels: list[DataFrame], largest: int
+) -> DataFrame:
+    """The shortest way out of every component but the ``largest``: ``comp, w, to, a, b``."""
     metric = cells.metric
+    asks = ~F.col("comp").eqNullSafe(F.lit(largest))
     least = F.min(F.struct("w", "to", "a", "b")).alias("p")
     ways = left.select(F.col("u").alias("comp"), "w", F.col("v").alias("to"), "a", "b")
     ways = ways.unionByName(left.select(F.col("v").alias("comp"), "w", F.col("u").alias("to"), "a", "b"))
-    near = keep(ways.groupBy("comp").agg(least).select("comp", "p.*"), "picks")
+    near = keep(ways.filter(asks).groupBy("comp").agg(least).select("comp", "p.*"), "picks")
     bounds = near.select("comp", F.col("w").alias("bound"))
     for nodes in levels:
         corners = nodes.groupBy("cell").applyInPandas(lambda pdf: _far_corners(pdf, metric), "comp bigint, bound double")
         bounds = bounds.unionByName(corners)
-    bounds = bounds.groupBy("comp").agg(F.min("bound").alias("bound"))
+    bounds = bounds.filter(asks).groupBy("comp").agg(F.min("bound").alias("bound"))
     # The fragments' components and bounds, a row a cell.
     known = names.join(unbroadcast(bounds), "comp", "left").groupBy("cell").agg(
         F.array_sort(F.collect_list(F.struct("pos", "comp", F.coalesce("bound", F.lit(0.0)).alias("bound")))).alias("known")
@@ -264,16 +262,22 @@ def min_span_tree(core: DataFrame, cells: Cells) -> DataFrame:
     parts = [keep(edges, "edges")]
     blocks = forest.select("cell", "ids", "features", "core", "place")
     left = keep(forest.select(F.inline("left")), "left")
-    names = forest.select("cell", F.posexplode(F.arrays_zip("fragment", "core_lo", "core_hi")).alias("pos", "f"))
-    names = keep(names.select("cell", "pos", "f.core_lo", "f.core_hi", F.col("f.fragment").alias("comp")), "names")
-    while not names.select("comp").distinct().limit(2).count() < 2:
+    names = forest.select("cell", F.posexplode(F.arrays_zip("fragment", "held", "core_lo", "core_hi")).alias("pos", "f"))
+    names = keep(names.select("cell", "pos", "f.held", "f.core_lo", "f.core_hi", F.col("f.fragment").alias("comp")), "names")
+
+    def largest_two() -> list:
+        sizes = names.groupBy("comp").agg(F.sum("held").alias("held"))
+        return sizes.orderBy(F.desc("held"), "comp").limit(2).collect()
+
+    while len(top := largest_two()) == 2:
         levels = _node_facts(names, cells)
-        picks = _round_picks(blocks, names, left, cells, levels)
+        # The largest component looks for no way out, which would be most of the work: the others' lead to it.
+        picks = _round_picks(blocks, names, left, cells, levels, top[0]["comp"])
         # Hook on if the other's own way out is shorter, or equally long and its
-        # name smaller: no chain of such hooks can return to where it began.
+        # name smaller, or if it has not looked: no chain of such hooks can return to where it began.
         other = picks.select(F.col("comp").alias("to"), F.col("w").alias("other_w"))
         falls = (F.col("w") > F.col("other_w")) | ((F.col("w") == F.col("other_w")) & (F.col("to") < F.col("comp")))
-        hooks = keep(picks.join(unbroadcast(other), "to").filter(falls), "hooks")
+        hooks = keep(picks.join(unbroadcast(other), "to", "left").filter(falls | F.col("other_w").isNull()), "hooks")
         parts.append(hooks.select("a", "b", "w"))
         ends = roots(hooks.select(F.col("comp").alias("node"), F.col("to").alias("parent")))
 

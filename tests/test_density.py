@@ -303,3 +303,58 @@ def test_components_join_blocks_of_edges_first(spark, monkeypatch):
     assert low == {i: max(1, (i - 1) // 100 * 100 + 1) for i in range(1, 2001)} | {5000: 5000, None: None}
     assert {r.component for r in every if r.cut == 4.0} == {1, 5000, None} and len(every) == 2 * 2002
     assert len(searched) == 1 and searched[0] < 20
+
+
+def test_points_of_a_cell_ask_together(spark, monkeypatch):
+    """Other cells are asked by rows of a cell's points, never by a row a point; cores alone need no lists."""
+    x = np.random.default_rng(5).uniform(size=(600, 2))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "row_id long, features array<double>")
+    asked, visit = [], neighbours.visit
+    monkeypatch.setattr(neighbours, "visit", lambda queries, *args, **named: asked.append(queries.count()) or visit(queries, *args, **named))
+    placed, cells, known = neighbours.prepare(df, 4, "euclidean", 64, "row_id", core_only=True)
+    assert "neighbours" not in known.columns and known.count() == 600
+    assert 0 < asked[0] <= (2**cells.depth) ** 2 < 600
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    found = dict(known.select("point_id", "core").collect())
+    assert np.allclose([found[i] for i in range(600)], d[:, 4], rtol=1e-12)
+
+
+def test_largest_component_does_not_ask(spark, monkeypatch):
+    """The others' ways out lead to it, and the tree is as short as the least one of all pairs."""
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.uniform(0, 1, (150, 2)), rng.uniform(0, 1, (30, 2)) + 3, rng.uniform(0, 1, (20, 2)) - 4]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "row_id long, features array<double>")
+    placed, cells, lists = neighbours.prepare(df, 3, "euclidean", 16, "row_id")
+    points = neighbours.with_core(placed, lists, 3)
+    rounds, picks_of = [], spanning._round_picks
+
+    def watched(blocks, names, *args):
+        picks = picks_of(blocks, names, *args)
+        rounds.append(({r.comp for r in names.select("comp").distinct().collect()}, {r.comp for r in picks.collect()}))
+        return picks
+
+    monkeypatch.setattr(spanning, "_round_picks", watched)
+    edges = spanning.min_span_tree(points, cells).toPandas()
+    assert rounds and all(len(comps - asked) == 1 and asked < comps for comps, asked in rounds)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 3]
+    w = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    inside, best, total = np.zeros(200, bool), np.full(200, np.inf), 0.0
+    best[0] = 0
+    for _ in range(200):
+        i = int(np.where(inside, np.inf, best).argmin())
+        inside[i], total, best = True, total + best[i], np.minimum(best, w[i])
+    assert len(edges) == 199 and np.isclose(edges["w"].sum(), total, rtol=1e-12)
+
+
+def test_shortest_edge_between_two_sides():
+    """As among all pairs, whatever the bound and the order of the cores, with equal edges too."""
+    rng = np.random.default_rng(8)
+    for turn in range(40):
+        x, y = np.round(rng.normal(size=(50, 3)), 1), np.round(rng.normal(size=(70, 3)) + turn / 20, 1)
+        a_core, b_core = (np.round(rng.uniform(0, 1, n), 1) for n in (50, 70))
+        a, b = rng.permutation(50), 50 + rng.permutation(70)
+        w = np.maximum(np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)), np.maximum(a_core[:, None], b_core[None, :]))
+        for bound in (np.inf, np.median(w), w.min()):
+            best, i, j = spanning._shortest(x, a_core, a, y, b_core, b, bound, "euclidean")
+            assert (i, j) == (-1, -1) if w.min() >= bound else np.isclose(best, w.min()) and np.isclose(w[i, j], w.min())
